@@ -56,19 +56,17 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where none is named, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    at, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if at is None and context.getCheckpointDir() is None:
-        at = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(at)
-    return at or context.getCheckpointDir()
+        context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return (at or context.getCheckpointDir()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there: lost executors lose nothing, and a plan runs once."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df as a table in the shared folder and goes on from there: lost executors lose nothing, and a plan runs once."""
+    path = f"{checkpoint_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:
