@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op1", "op2", "op3", "op4")
+MODULES = ("op1", "op2", "op3", "op4", "op5")
 
 
 def _modules():
