@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, free_name, prepare
 from .graph import components
 from .kernels import NONSPACE, U64, Words, mix64, shingle_sets, slices
 
@@ -215,3 +215,16 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     component = F.coalesce("component", "doc_id")
     joined = sketched.drop("bands").join(heads, same_set, "left")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the smallest id of their group, with their own columns; of rows that repeat an id, one."""
+    groups = near_duplicate_groups(docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent)
+    name = free_name(docs, "near_id")
+    kept = cut(groups.where("kept").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")))
+    ids = docs[doc_id].cast("long")
+    out = docs.join(kept.select(name), ids == F.col(name), "left_semi")
+    if kept.where("rows > 1").limit(1).count():
+        out = out.dropDuplicates([doc_id])
+    # a null id is in no group, and no copy of anything
+    return out.unionByName(docs.where(ids.isNull()))
