@@ -3,7 +3,9 @@
 One hash of each shingle gives both its bin (the top bits) and its value; a bin
 keeps its smallest value.  Empty bins borrow from full ones by optimal
 densification: a hash of (bin, attempt) names the bin to try next, the same for
-all documents.  BANDS bands of ROWS bins make the bucket keys.
+all documents.  BANDS bands of ROWS bins make the bucket keys: at a similarity of
+0.8 a band agrees with probability 0.26, and none of 42 with 3 in a million.  One
+bit of each bin makes a signature, which leaves out most chance candidates.
 
 Texts with equal shingle sets are one class, and only classes meet in buckets.
 Within a bucket candidates form a star around its smallest class, so a bucket of
@@ -32,8 +34,10 @@ from .common import cut, free_name, prepare
 from .graph import components
 from .kernels import NONSPACE, U64, Words, mix64, shingle_sets, slices
 
-BINS, ROWS = 128, 4
+BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
+#: Bits of two signatures that may differ in a candidate.  A link's differ in 26 of 256 on average and in 64 hardly ever.
+BITS_APART = 64
 #: Members that one copy of a star's centre meets.
 STAR = 4000
 #: Pairs of one further round: at most so many for each member of an open bucket, PAIRS_LEAST at least.
@@ -77,13 +81,19 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _band_keys(sketch: np.ndarray) -> np.ndarray:
     """(documents, BANDS) bucket keys."""
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (len(sketch), BANDS)).copy()
-    parts = sketch.reshape(len(sketch), BANDS, ROWS)
+    parts = sketch[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS)
     for k in range(ROWS):
         key = mix64(key + parts[:, :, k])
     return key
 
 
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+def _signatures(sketch: np.ndarray) -> np.ndarray:
+    """(documents, BINS / 64): a bit of each bin's value, from another hash for each bin."""
+    bits = (mix64(sketch + np.arange(1, BINS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)) >> U64(63)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
 
 def _sketch_map(shingle: int):
@@ -93,16 +103,16 @@ def _sketch_map(shingle: int):
                 values, bounds = shingle_sets(Words(body, offsets, NONSPACE), shingle)
                 sizes = np.diff(bounds)
                 some = sizes > 0
-                keys = _band_keys(sketches(values, bounds)[some]).view(np.int64)
+                sketch = sketches(values, bounds)[some]
+                keys, signs = _band_keys(sketch).view(np.int64), _signatures(sketch)
                 sums = [np.zeros(high - low, U64) for _ in range(2)]
                 if some.any():
                     for out, salt in zip(sums, (U64(1), U64(0x51ED270B35C1D9F3))):
                         out[some] = np.add.reduceat(mix64(values ^ salt), bounds[:-1][some])
-                counts = np.where(some, BANDS, 0)
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.int64())) for x in (keys, signs)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    [batch.column(0).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"],
                 )
 
     return run
@@ -146,51 +156,52 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return rows.repartition(n, "centre", "part").sortWithinPartitions("centre", "part", "own").mapInArrow(_confirm_map(shingle, percent), "a long, b long")
 
 
-def _alike_in_size(x: str, y: str, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _may_link(percent: int):
+    """Whether the set sizes n, _n and the signatures bits, _bits of two classes allow a link."""
+    apart = " + ".join(f"bit_count(bits[{i}] ^ _bits[{i}])" for i in range(BINS // 64))
+    return F.expr(f"least(n, _n) * 100 >= greatest(n, _n) * {percent} and {apart} <= {BITS_APART}")
 
 
-def _links(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links that join all similar members (bucket, id, n) of a bucket."""
+def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links that join all similar members (bucket, id) of a bucket; heads: (id, n, bits)."""
+    there = heads.select(F.col("id").alias("centre"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
+    centre = members.groupBy("bucket").agg(F.min("id").alias("centre"))
+    stars = members.join(centre, "bucket").where("id <> centre").groupBy("id", "centre").count()
+    stars = cut(stars.join(heads, "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"), "count"))
+    # first each member with the centre it shares most buckets with, which settles most buckets
+    best = stars.groupBy("member").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("b"))
+    tested = cut(best.select((-F.col("b.minus")).alias("centre"), "member"))
+    links = cut(confirm(tested, texts, shingle, percent))
+    labels = components(links)
+    label = lambda column: labels.withColumnsRenamed({"node": column, "label": f"{column}_label"})
 
     def settle(pairs: DataFrame) -> None:
+        """Confirms pairs of different components that no round has had yet."""
         nonlocal links, tested, labels
-        found = cut(confirm(pairs, texts, shingle, percent))
-        links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
-        labels = components(links)
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of different components, of sizes that allow a link, that no round has had."""
-        pairs = pairs.where("here <> there").where(_alike_in_size("n", "_n", percent)).select("centre", "member").distinct()
-        swapped = tested.select(F.col("member").alias("centre"), F.col("centre").alias("member"))
-        return cut(pairs.join(tested.union(swapped), ["centre", "member"], "left_anti"))
-
-    links = tested = labels = None
-    centre = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("_n"))
-    stars = members.join(centre, "bucket").where("id <> centre").where(_alike_in_size("n", "_n", percent)).groupBy(F.col("id").alias("member"), "centre").count()
-    # first each member with the centre it shares most buckets with, which settles most buckets
-    best = stars.groupBy("member").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("b"))
-    settle(cut(best.select((-F.col("b.minus")).alias("centre"), "member")))
-    for further in (False, True):
-        part, parts = 0, 1
-        while part < parts:
-            named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-            each = named.groupBy("bucket").agg(F.min(F.struct("id", "label", "n")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-            open_ = each.where("lo <> hi").select("bucket", "c", "size")
-            left = cut(named.join(open_, "bucket").select("bucket", "id", "n", "label", "size", "c"))
-            if not further:  # all other stars around each bucket's smallest member
-                pairs = left.select(F.col("c.id").alias("centre"), F.col("id").alias("member"), F.col("label").alias("here"), F.col("c.label").alias("there"), "n", F.col("c.n").alias("_n"))
-            else:  # stars around the members outside the centre's component, in as many rounds as keep each in bounds
-                rest = left.where("label <> c.label")
-                if part == 0:
-                    total = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-                    parts = max(1, -(-int(total) // max(PAIRS_LEAST, PAIRS_EACH * left.count())))
-                rest = rest.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select("bucket", F.col("id").alias("centre"), F.col("label").alias("here"), F.col("n").alias("_n"))
-                pairs = rest.join(left.select("bucket", F.col("id").alias("member"), F.col("label").alias("there"), "n"), "bucket")
-            part += 1
-            pairs = fresh(pairs.where("centre <> member"))
-            if pairs.limit(1).count():
-                settle(pairs)
+        apart = pairs.join(label("centre"), "centre", "left").join(label("member"), "member", "left").where("coalesce(centre_label, centre) <> coalesce(member_label, member)")
+        had = tested.union(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
+        fresh = cut(apart.select("centre", "member").distinct().join(had, ["centre", "member"], "left_anti"))
+        if fresh.limit(1).count():
+            found = cut(confirm(fresh, texts, shingle, percent))
+            links, tested = links.union(found), tested.union(fresh)
+            if found.limit(1).count():
+                labels = components(links)
+
+    settle(stars)  # all other stars
+    part, parts = 0, 1
+    while part < parts:
+        # members outside their bucket's centre's component, as centres of stars of their own, in as many rounds as keep each in bounds
+        named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        each = named.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+        left = cut(named.join(each.where("lo <> hi").select("bucket", F.col("c.label").alias("main"), "size"), "bucket").join(heads, "id"))
+        rest = left.where("label <> main")
+        if part == 0:
+            total, n = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], left.count()
+            parts = max(1, -(-int(total) // max(PAIRS_LEAST, PAIRS_EACH * n)))
+        rest = rest.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select("bucket", F.col("id").alias("centre"), F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
+        pairs = rest.join(left.select("bucket", F.col("id").alias("member"), "label", "n", "bits"), "bucket").where(_may_link(percent) & F.expr("label <> _label"))
+        settle(pairs.select("centre", "member"))
+        part += 1
     return links
 
 
@@ -205,15 +216,16 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     sketched = cut(source.mapInArrow(_sketch_map(shingle), _SKETCH))
     same_set = ["n_shingles", "set_a", "set_b"]
     some = sketched.where(F.col("n_shingles") > 0)
-    classes = cut(some.groupBy(*same_set).agg(F.min(F.struct("doc_id", "bands")).alias("head")).select(*same_set, F.col("head.doc_id").alias("head"), "head.bands"))
-    members = classes.select(F.col("head").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(members.join(shared, "bucket"))
+    classes = cut(some.groupBy(*same_set).agg(F.min(F.struct("doc_id", "bands", "bits")).alias("head")).select(*same_set, F.col("head.doc_id").alias("head"), "head.bands", "head.bits"))
+    every = classes.select(F.col("head").alias("id"), F.explode("bands").alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members = cut(every.join(shared, "bucket").select("bucket", "id"))
+    heads = classes.select(F.col("head").alias("id"), F.col("n_shingles").alias("n"), "bits")
     texts = cut(source.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi"))
-    labels = components(_links(members, texts, shingle, percent)).withColumnRenamed("node", "head")
-    heads = classes.drop("bands").join(labels, "head", "left").select(*same_set, F.coalesce("label", "head").alias("component"))
+    labels = components(_links(members, heads, texts, shingle, percent)).withColumnRenamed("node", "head")
+    heads = classes.select("head", *same_set).join(labels, "head", "left").select(*same_set, F.coalesce("label", "head").alias("component"))
     component = F.coalesce("component", "doc_id")
-    joined = sketched.drop("bands").join(heads, same_set, "left")
+    joined = sketched.drop("bands", "bits").join(heads, same_set, "left")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
