@@ -1 +1 @@
-
+"""Layout operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-
+"""The operators applied to whole tables, with the same rows in SQL."""
