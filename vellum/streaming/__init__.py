@@ -1 +1 @@
-
+"""Structured Streaming: edits replayed as they come."""
