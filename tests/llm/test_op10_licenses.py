@@ -52,11 +52,11 @@ def test_query(spark, tmp_path):
 
 def test_matching_statistics():
     scanner = licenses._scanner()
-    seqs = [licenses.word_hashes(t).tolist() for _, t in licenses.TEMPLATES + licenses.PHRASES]
+    seqs = [licenses.word_hashes(t).tolist() for t in [t for _, t in licenses.TEMPLATES] + [p for p, _ in licenses.PHRASES]]
     runs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, min(len(s), i + 60) + 1)}
     for text in texts()[5:60]:
         hashes = licenses.word_hashes(text).tolist()
-        code = [int(np.searchsorted(scanner.vocabulary, h)) if (scanner.vocabulary == np.uint64(h)).any() else -1 for h in hashes]
+        code = [int(np.searchsorted(scanner.vocabulary, np.uint64(h))) if (scanner.vocabulary == np.uint64(h)).any() else -1 for h in hashes]
         state = length = 0
         for i, c in enumerate(code):
             state, length = scanner.automaton.step(state, length, c)

@@ -18,7 +18,7 @@ def words(text):
 def documents(spark, texts, first=0):
     """A documents table of texts, or (doc_id, text) pairs."""
     rows = [t if isinstance(t, tuple) else (i + first, t) for i, t in enumerate(texts)]
-    return spark.createDataFrame([(i, t, ("en", "de", None)[i % 3], ("a", "b", "c", None)[i % 4], len(t or "")) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, ("en", "de", None)[(i or 0) % 3], ("a", "b", "c", None)[(i or 0) % 4], len(t or "")) for i, t in rows], DOCS)
 
 
 def save(spark, folder, **tables):

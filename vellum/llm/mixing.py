@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prepare
+from .common import cut, free_name, prepare
 from .kernels import NONSPACE, Words, slices
 
 BLOCK = 64
@@ -188,6 +188,8 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", seed: int = 20,
     times = F.col("taken") / F.col("size")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     per_id = made.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = per_id.select(F.col("doc_id").alias("_mixed_id"), F.when(F.col("size") == 0, 1).otherwise(F.floor(times) + F.when(times - F.floor(times) > draw, 1).otherwise(0)).cast("int").alias("_copies"))
-    joined = docs.join(copies.where("_copies > 0"), docs[doc_id].eqNullSafe(F.col("_mixed_id")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    mixed_id, copies, copy = (free_name(docs, n) for n in ("mixed_id", "copies", "copy"))
+    number = F.when(F.col("size") == 0, 1).otherwise(F.floor(times) + F.when(times - F.floor(times) > draw, 1).otherwise(0)).cast("int")
+    per_id = per_id.select(F.col("doc_id").alias(mixed_id), number.alias(copies)).where(F.col(copies) > 0)
+    joined = docs.join(per_id, docs[doc_id].eqNullSafe(F.col(mixed_id)))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

@@ -4,8 +4,8 @@ One hash of each shingle gives both its bin (the top bits) and its value; a bin
 keeps its smallest value.  Empty bins borrow from full ones by optimal
 densification: a hash of (bin, attempt) names the bin to try next, the same for
 all documents.  BANDS bands of ROWS bins make the bucket keys: at a similarity of
-0.8 a band agrees with probability 0.26, and none of 42 with 3 in a million.  One
-bit of each bin makes a signature, which leaves out most chance candidates.
+0.8 a band agrees with probability 0.26, and none of 42 with 3 in a million.  A
+signature of two bits for each of 1024 bins leaves out most chance candidates.
 
 Texts with equal shingle sets are one class, and only classes meet in buckets.
 Within a bucket candidates form a star around its smallest class, so a bucket of
@@ -36,12 +36,12 @@ from .kernels import NONSPACE, U64, Words, mix64, shingle_sets, slices
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-#: Bits of two signatures that may differ in a candidate.  A link's differ in 26 of 256 on average and in 64 hardly ever.
-BITS_APART = 64
+#: Bins of a signature, and percentage points below the asked similarity down to which its estimate lets a pair through.
+SIGNATURE_BINS, SLACK = 1024, 8
 #: Members that one copy of a star's centre meets.
 STAR = 4000
-#: Pairs of one further round: at most so many for each member of an open bucket, PAIRS_LEAST at least.
-PAIRS_EACH, PAIRS_LEAST = 30, 1_000_000
+#: Comparisons of one further round: at most so many for each member of an open bucket, PAIRS_LEAST at least.
+PAIRS_EACH, PAIRS_LEAST = 200, 50_000_000
 
 
 def _donors() -> np.ndarray:
@@ -87,10 +87,16 @@ def _band_keys(sketch: np.ndarray) -> np.ndarray:
     return key
 
 
-def _signatures(sketch: np.ndarray) -> np.ndarray:
-    """(documents, BINS / 64): a bit of each bin's value, from another hash for each bin."""
-    bits = (mix64(sketch + np.arange(1, BINS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)) >> U64(63)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
+def _signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(documents, 2 * SIGNATURE_BINS / 64): which of its bins a set fills, and a random bit of the smallest value of each."""
+    n, shift = len(bounds) - 1, U64(64 - (SIGNATURE_BINS - 1).bit_length())
+    spot = np.repeat(np.arange(n), np.diff(bounds)) * SIGNATURE_BINS + (values >> shift).astype(np.int64)
+    first = np.ones(len(spot), bool)
+    first[1:] = spot[1:] != spot[:-1]
+    full, bits = np.zeros(n * SIGNATURE_BINS, np.uint8), np.zeros(n * SIGNATURE_BINS, np.uint8)
+    full[spot[first]] = 1
+    bits[spot[first]] = mix64(values[first] ^ U64(0xC2B2AE3D27D4EB4F)) >> U64(63)
+    return np.concatenate([np.packbits(x.reshape(n, -1), axis=1).view(np.int64) for x in (full, bits)], axis=1)
 
 
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
@@ -104,7 +110,7 @@ def _sketch_map(shingle: int):
                 sizes = np.diff(bounds)
                 some = sizes > 0
                 sketch = sketches(values, bounds)[some]
-                keys, signs = _band_keys(sketch).view(np.int64), _signatures(sketch)
+                keys, signs = _band_keys(sketch).view(np.int64), _signatures(values, bounds)[some]
                 sums = [np.zeros(high - low, U64) for _ in range(2)]
                 if some.any():
                     for out, salt in zip(sums, (U64(1), U64(0x51ED270B35C1D9F3))):
@@ -157,9 +163,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 
 def _may_link(percent: int):
-    """Whether the set sizes n, _n and the signatures bits, _bits of two classes allow a link."""
-    apart = " + ".join(f"bit_count(bits[{i}] ^ _bits[{i}])" for i in range(BINS // 64))
-    return F.expr(f"least(n, _n) * 100 >= greatest(n, _n) * {percent} and {apart} <= {BITS_APART}")
+    """Whether the set sizes n, _n and the signatures bits, _bits of two classes allow a link.
+
+    Of the bins that either fills, those filled by one only differ, and half of those
+    that both fill with other values show it.
+    """
+    half = SIGNATURE_BINS // 64
+    total = lambda f: " + ".join(f"bit_count({f(i)})" for i in range(half))
+    either, one = total(lambda i: f"bits[{i}] | _bits[{i}]"), total(lambda i: f"bits[{i}] ^ _bits[{i}]")
+    shown = total(lambda i: f"bits[{i}] & _bits[{i}] & (bits[{i + half}] ^ _bits[{i + half}])")
+    return F.expr(f"least(n, _n) * 100 >= greatest(n, _n) * {percent} and 100 * (({one}) + 2 * ({shown})) <= {100 - percent + SLACK} * ({either})")
 
 
 def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -193,7 +206,9 @@ def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int,
         # members outside their bucket's centre's component, as centres of stars of their own, in as many rounds as keep each in bounds
         named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         each = named.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        left = cut(named.join(each.where("lo <> hi").select("bucket", F.col("c.label").alias("main"), "size"), "bucket").join(heads, "id"))
+        # of two members one is the centre, and their pair is done
+        open_ = each.where("lo <> hi and size > 2").select("bucket", F.col("c.id").alias("middle"), F.col("c.label").alias("main"), "size")
+        left = cut(named.join(open_, "bucket").where("id <> middle").join(heads, "id"))
         rest = left.where("label <> main")
         if part == 0:
             total, n = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], left.count()
