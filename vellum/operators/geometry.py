@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 DEFAULT_ADVANCE, FONT_SHARE = 7.2, 0.8
 
 
-def glyphs(segments: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, i, ch, x0, y0, x1, y1, font_size): one row a character.
+def glyphs(segments: DataFrame, full_height: bool = False) -> DataFrame:
+    """(doc_id, page, seq, i, ch, x0, y0, x1, y1, font_size): one row a character; as tall as its font, or as its segment.
 
     A letter advances by its segment's mean width, a space by half of it.  The spaces
     before a character are the number of its word, so no running sum is needed.
@@ -26,7 +26,17 @@ def glyphs(segments: DataFrame) -> DataFrame:
     x0 = F.col("x") + F.col("a") * (i - F.lit(0.5) * F.col("j"))
     font = F.col("h") * FONT_SHARE
     step = F.when(F.col("ch") == " ", F.col("a") * 0.5).otherwise(F.col("a"))
-    return chars.select("doc_id", "page", "seq", i.alias("i"), "ch", x0.alias("x0"), F.col("y").alias("y0"), (x0 + step).alias("x1"), (F.col("y") + font).alias("y1"), font.alias("font_size"))
+    return chars.select("doc_id", "page", "seq", i.alias("i"), "ch", x0.alias("x0"), F.col("y").alias("y0"), (x0 + step).alias("x1"), (F.col("y") + (F.col("h") if full_height else font)).alias("y1"), font.alias("font_size"))
+
+
+def on_page(segments: DataFrame, page: int) -> DataFrame:
+    """A page's segments; the filter reaches the scan where ``page`` is a column of it."""
+    return segments.where(F.col("page") == page)
+
+
+def overprinted(segments: DataFrame) -> DataFrame:
+    """All pages in one coordinate space, one over the other, page by page."""
+    return segments.withColumn("page", F.lit(0))
 
 
 def flipped(y_top: Column, page_height: float) -> Column:

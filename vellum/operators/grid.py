@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import pad, text_lines
+from ..functions.text import pad, strip_first_token, text_lines
 
 LEAST_ROWS, EMPTY_WIDTH = 25, 80
 
@@ -38,6 +38,22 @@ def write_grid(rows: DataFrame, path: str, numbers: bool = False) -> None:
     rows.select("doc_id", "row_idx", text.alias("value")).repartition("doc_id").sortWithinPartitions("doc_id", "row_idx").select("doc_id", "value").write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
+def padded_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_idx, text): lines after their first space, padded to the longest."""
+    lines = docs.select("doc_id", F.transform(text_lines(F.col("text")), strip_first_token).alias("l"))
+    width = F.coalesce(F.array_max(F.transform("l", lambda x: F.length(x))), F.lit(0))
+    return lines.select("doc_id", F.posexplode(F.transform("l", lambda x: pad(x, width))).alias("row_idx", "text"))
+
+
+def first_of(*extracts: DataFrame) -> DataFrame:
+    """(doc_id, text) of the first extract that has a document with any text in it."""
+    ranked = [e.where(F.col("text").rlike("\\S")).select("doc_id", F.struct(F.lit(i).alias("rank"), "text").alias("t")) for i, e in enumerate(extracts)]
+    every = ranked[0]
+    for e in ranked[1:]:
+        every = every.union(e)
+    return every.groupBy("doc_id").agg(F.min("t").alias("t")).select("doc_id", "t.text")
+
+
 def filled_cells(grids: DataFrame) -> DataFrame:
     """(doc_id, n): cells that aren't spaces."""
     count = F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + F.length(F.replace(x, F.lit(" "))))
