@@ -36,17 +36,20 @@ MOST_LABELLED = 6000
 MOST_FEATURES = 300
 PREFIXES = (4, 5, 6)
 SITE_WEIGHT, SALTS = 0.5, 16
-_UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
-_SYMBOL = np.array([chr(b) in "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~" for b in range(128)] + [False] * 128)
-_LINES = np.arange(256) == 10
+# counts of capital letters, symbols and line feeds, 21 bits each, in one number
+_LETTER_KINDS = np.array([(65 <= b <= 90) + ((chr(b) in "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~") << 21) + ((b == 10) << 42) for b in range(256)], np.int64)
+
+
+def _terms(words: Words) -> list[np.ndarray]:
+    """32-bit hashes of words and of their beginnings, 0 where there is none; each list one for each word."""
+    return [(h >> U64(32)).astype(np.uint32) for h in (words.hashes(), *words.prefix_hashes(PREFIXES))]
 
 
 def document_terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) pairs of a slice, each once: 32-bit hashes of words and of their beginnings."""
-    row = words.row_of_word()
-    terms = [words.hashes(), *(words.prefix_hashes(k) for k in PREFIXES)]
+    """(row, term) pairs of a slice, each once."""
+    row, terms = words.row_of_word(), _terms(words)
     rows, terms = np.concatenate([row] * len(terms)), np.concatenate(terms)
-    rows, terms = rows[terms != 0], (terms[terms != 0] >> U64(32)).astype(np.uint32)
+    rows, terms = rows[terms != 0], terms[terms != 0]
     order = np.lexsort((terms, rows))
     rows, terms = rows[order], terms[order]
     new = np.ones(len(rows), bool)
@@ -60,24 +63,21 @@ SHAPE = 10
 def shape(body: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
     """(rows, SHAPE): the text's form."""
     n = np.maximum(np.diff(offsets), 1)
-
-    def share(table):
-        total = np.concatenate([[0], np.cumsum(table[body])])
-        return (total[offsets[1:]] - total[offsets[:-1]]) / n
-
+    fields = [_LETTER_KINDS] if len(body) < 1 << 21 else [_LETTER_KINDS >> s & 1 for s in (0, 21, 42)]
+    sums = [np.concatenate([[0], np.cumsum(t[body])]) for t in fields]
+    kinds = [t[offsets[1:]] - t[offsets[:-1]] for t in sums]
+    upper, symbol, line = ((kinds[0] >> s & (1 << 21) - 1) / n for s in (0, 21, 42)) if len(kinds) == 1 else (k / n for k in kinds)
     plain = Words(body, offsets, NONSPACE)
     hashes, row = plain.hashes(), plain.row_of_word()
     counts = np.maximum(plain.counts, 1)
     distinct = np.zeros(len(n))
     again = np.zeros(len(n))
     if len(hashes):
-        order = np.lexsort((hashes, row))
-        r, h = row[order], hashes[order]
-        new = np.append(True, (r[1:] != r[:-1]) | (h[1:] != h[:-1]))
-        distinct = np.bincount(r[new], minlength=len(n)) / counts
+        keys = np.sort(row.astype(U64) << U64(40) | hashes >> U64(24))  # row, then 40 bits of the word
+        new = np.append(True, keys[1:] != keys[:-1])
+        distinct = np.bincount((keys[new] >> U64(40)).astype(np.int64), minlength=len(n)) / counts
         same = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
         again = np.bincount(row[1:][same], minlength=len(n)) / counts
-    upper, symbol, line = share(_UPPER), share(_SYMBOL), share(_LINES)
     length = np.log1p(plain.counts)
     out = np.stack([upper, upper > 0.2, symbol, symbol > 0.08, 10 * line, distinct, distinct * length, again, again > 0.2, length], axis=1).astype(np.float64)
     out[:, 9] /= 10
@@ -91,13 +91,32 @@ class Model:
     def __init__(self, terms: np.ndarray, weights: np.ndarray, bias: float):
         self.terms, self.weights, self.bias = terms, weights, bias  # terms sorted; weights: terms, then shape
 
-    def log_odds(self, rows: np.ndarray, terms: np.ndarray, form: np.ndarray) -> np.ndarray:
-        out = form @ self.weights[len(self.terms) :] + self.bias
+
+class Scorer:
+    """Both models over the terms of either."""
+
+    def __init__(self, models: tuple[Model, ...]):
+        self.terms = np.unique(np.concatenate([m.terms for m in models]))
+        self.weights = np.zeros((len(models), len(self.terms)))
+        for own, m in zip(self.weights, models):
+            own[np.searchsorted(self.terms, m.terms)] = m.weights[: len(m.terms)]
+        self.shape = np.array([m.weights[len(m.terms) :] for m in models])
+        self.bias = np.array([m.bias for m in models])
+
+    def log_odds(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(models, rows): terms count once a document."""
+        words = Words(body, offsets, ALNUM)
+        out = self.shape @ shape(body, offsets, words).T + self.bias[:, None]
         if len(self.terms):
-            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-            hit = self.terms[at] == terms
-            out = out + np.bincount(rows[hit], weights=self.weights[at[hit]], minlength=len(form))
-        return out
+            row, found = words.row_of_word(), []
+            for terms in _terms(words):
+                at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+                hit = np.flatnonzero(self.terms[at] == terms)
+                found.append(row[hit] * len(self.terms) + at[hit])
+            pairs = np.unique(np.concatenate(found))
+            rows, term = pairs // len(self.terms), pairs % len(self.terms)
+            out = out + np.array([np.bincount(rows, weights=w[term], minlength=len(offsets) - 1) for w in self.weights])
+        return np.clip(out, -30, 30)
 
 
 def fit(rows: np.ndarray, terms: np.ndarray, form: np.ndarray, y: np.ndarray) -> Model:
@@ -165,20 +184,14 @@ def _features(batches):
 def score(docs: DataFrame, models: tuple[Model, Model], *, text: str = "text") -> tuple[DataFrame, str]:
     """docs with a struct (low, toxic) of each document's own log-odds, and its name."""
     spark = prepare(docs.sparkSession)
-    held, name, at = spark.sparkContext.broadcast(models), free_name(docs, "evidence"), docs.columns.index(text)
+    held, name, at = spark.sparkContext.broadcast(Scorer(models)), free_name(docs, "evidence"), docs.columns.index(text)
     kind = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("toxic", T.DoubleType())])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
 
     def run(batches):
         for batch in batches:
-            odds = [[np.empty(0)], [np.empty(0)]]
-            for _, _, body, offsets in slices(batch.column(at)):
-                words = Words(body, offsets, ALNUM)
-                rows, terms = document_terms(words)
-                form = shape(body, offsets, words)
-                for out, model in zip(odds, held.value):
-                    out.append(np.clip(model.log_odds(rows, terms, form), -30, 30))
-            result = pa.StructArray.from_arrays([pa.array(np.concatenate(o)) for o in odds], names=["low", "toxic"])
+            odds = np.concatenate([np.empty((2, 0)), *[held.value.log_odds(body, offsets) for _, _, body, offsets in slices(batch.column(at))]], axis=1)
+            result = pa.StructArray.from_arrays([pa.array(o) for o in odds], names=["low", "toxic"])
             yield pa.RecordBatch.from_arrays([*batch.columns, result], names=schema.names)
 
     return docs.mapInArrow(run, schema), name

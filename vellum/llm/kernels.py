@@ -116,15 +116,19 @@ class Words:
         codes[~self.inside] = 0
         return mix64(np.add.reduceat(codes, self.starts) * down[self.starts])
 
-    def prefix_hashes(self, length: int) -> np.ndarray:
-        """A hash of each word's first ``length`` bytes; 0 for a word that has no more than those."""
+    def prefix_hashes(self, lengths: tuple[int, ...]) -> list[np.ndarray]:
+        """For each length a hash of each word's first so many bytes; 0 for a word that has no more than those."""
         if not len(self.starts):
-            return np.empty(0, U64)
+            return [np.empty(0, U64) for _ in lengths]
         up, down = _power_tables(len(self.bytes))
         total = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE_CODES[self.bytes] * up[: len(self.bytes)])])
-        stop = np.minimum(self.starts + length, self.ends)
-        out = mix64((total[stop] - total[self.starts]) * down[self.starts] + U64(length))
-        out[self.ends - self.starts <= length] = 0
+        sizes, out = self.ends - self.starts, []
+        for length in lengths:
+            own = np.zeros(len(self.starts), U64)
+            some = np.flatnonzero(sizes > length)
+            at = self.starts[some]
+            own[some] = mix64((total[at + length] - total[at]) * down[at] + U64(length))
+            out.append(own)
         return out
 
 
