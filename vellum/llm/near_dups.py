@@ -176,11 +176,11 @@ def _may_link(percent: int):
 
 
 def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links that join all similar members (bucket, id) of a bucket; heads: (id, n, bits)."""
+    """Confirmed links that join all similar members (bucket, id) of a bucket; heads: (id, n, bits, short keys of the bands)."""
     there = heads.select(F.col("id").alias("centre"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
     centre = members.groupBy("bucket").agg(F.min("id").alias("centre"))
     stars = members.join(centre, "bucket").where("id <> centre").groupBy("id", "centre").count()
-    stars = cut(stars.join(heads, "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"), "count"))
+    stars = cut(stars.join(heads.drop("short"), "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"), "count"))
     # first each member with the centre it shares most buckets with, which settles most buckets
     best = stars.groupBy("member").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("b"))
     tested = cut(best.select((-F.col("b.minus")).alias("centre"), "member"))
@@ -204,7 +204,7 @@ def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int,
     part, parts = 0, 1
     while part < parts:
         # members outside their bucket's centre's component, as centres of stars of their own, in as many rounds as keep each in bounds
-        named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
         each = named.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
         # of two members one is the centre, and their pair is done
         open_ = each.where("lo <> hi and size > 2").select("bucket", F.col("c.id").alias("middle"), F.col("c.label").alias("main"), "size")
@@ -213,8 +213,11 @@ def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int,
         if part == 0:
             total, n = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], left.count()
             parts = max(1, -(-int(total) // max(PAIRS_LEAST, PAIRS_EACH * n)))
-        rest = rest.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select("bucket", F.col("id").alias("centre"), F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
-        pairs = rest.join(left.select("bucket", F.col("id").alias("member"), "label", "n", "bits"), "bucket").where(_may_link(percent) & F.expr("label <> _label"))
+        rest = rest.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        rest = rest.select("bucket", F.col("id").alias("centre"), F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("bits").alias("_bits"), F.col("short").alias("_short"))
+        # once for each pair: in the first band that it shares, and from one side if both are outside
+        once = F.expr("(label = main or centre < id or pmod(xxhash64(id), {p}) <> {k}) and band = array_position(zip_with(short, _short, (x, y) -> x = y), true) - 1".replace("{p}", str(parts)).replace("{k}", str(part)))
+        pairs = rest.join(left, "bucket").where(_may_link(percent) & F.expr("label <> _label") & once).select("centre", F.col("id").alias("member"))
         settle(pairs.select("centre", "member"))
         part += 1
     return links
@@ -230,25 +233,26 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketched = cut(source.mapInArrow(_sketch_map(shingle), _SKETCH))
     same_set = ["n_shingles", "set_a", "set_b"]
-    some = sketched.where(F.col("n_shingles") > 0)
+    some = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(some.groupBy(*same_set).agg(F.min(F.struct("doc_id", "bands", "bits")).alias("head")).select(*same_set, F.col("head.doc_id").alias("head"), "head.bands", "head.bits"))
-    every = classes.select(F.col("head").alias("id"), F.explode("bands").alias("bucket"))
+    every = classes.select(F.col("head").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(every.join(shared, "bucket").select("bucket", "id"))
-    heads = classes.select(F.col("head").alias("id"), F.col("n_shingles").alias("n"), "bits")
+    members = cut(every.join(shared, "bucket").select("bucket", "band", "id"))
+    short = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))
+    heads = classes.select(F.col("head").alias("id"), F.col("n_shingles").alias("n"), "bits", short.alias("short"))
     texts = cut(source.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi"))
     labels = components(_links(members, heads, texts, shingle, percent)).withColumnRenamed("node", "head")
     heads = classes.select("head", *same_set).join(labels, "head", "left").select(*same_set, F.coalesce("label", "head").alias("component"))
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     joined = sketched.drop("bands", "bits").join(heads, same_set, "left")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the smallest id of their group, with their own columns; of rows that repeat an id, one."""
     groups = near_duplicate_groups(docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent)
     name = free_name(docs, "near_id")
-    kept = cut(groups.where("kept").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")))
+    kept = cut(groups.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")))
     ids = docs[doc_id].cast("long")
     out = docs.join(kept.select(name), ids == F.col(name), "left_semi")
     if kept.where("rows > 1").limit(1).count():
