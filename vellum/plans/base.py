@@ -24,7 +24,7 @@ def register(name: str, columns: str, sql: str | None):
         QUERIES[name] = query
         if sql:
             head, body = sql.rsplit("@@", 1) if "@@" in sql else ("", sql)
-            ORACLE_SQL[name] = f"{head} SELECT {', '.join(f'CAST({c} AS {_TYPES[t][1]}) AS {c}' for c, t in typed)} FROM ({body}) AS result"
+            ORACLE_SQL[name] = f"{head} SELECT {', '.join(f'CAST("{c}" AS {_TYPES[t][1]}) AS "{c}"' for c, t in typed)} FROM ({body}) AS result"
         return f
 
     return add
