@@ -52,6 +52,15 @@ def test_query(spark, tmp_path):
             assert not terms
 
 
+def test_sql(spark, tmp_path):
+    import duckdb
+
+    d = save(spark, tmp_path, documents=documents(spark, corpus()))
+    want = duckdb.connect().sql(op7.SQL.replace("FROM documents)", f"FROM '{d}/documents.parquet/*.parquet')"))
+    got = sorted(tuple(r[c] for c in want.columns) for r in op7.query(spark, d).collect())
+    assert got == sorted(want.fetchall()) and any("term" in r[-1] for r in got)
+
+
 def test_sanitise(spark):
     texts = corpus()
     docs = documents(spark, texts).withColumnRenamed("lang", "spans")
