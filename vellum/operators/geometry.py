@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 DEFAULT_ADVANCE, FONT_SHARE = 7.2, 0.8
 
 
-def glyphs(segments: DataFrame, full_height: bool = False) -> DataFrame:
-    """(doc_id, page, seq, i, ch, x0, y0, x1, y1, font_size): one row a character; as tall as its font, or as its segment.
+def glyphs(segments: DataFrame, full_height: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, page, seq, i, ch, x0, y0, x1, y1, font_size): one row a character; as tall as its font, or as its segment.  ``keep``: further columns of the segments.
 
     A letter advances by its segment's mean width, a space by half of it.  The spaces
     before a character are the number of its word, so no running sum is needed.
@@ -18,15 +18,15 @@ def glyphs(segments: DataFrame, full_height: bool = False) -> DataFrame:
     pieces = segments.withColumn("p", F.split("text", " ", -1)).withColumn("a", advance)
     at = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda j: F.when(j == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("text"), F.lit(" "), j)) + 1))
     zipped = F.arrays_zip(F.col("p").alias("word"), at.alias("off"))
-    each = pieces.select("doc_id", "page", "seq", "x", "y", "h", "a", F.size("p").alias("n"), F.posexplode(zipped).alias("j", "z"))
+    each = pieces.select("doc_id", "page", "seq", "x", "y", "h", "a", *keep, F.size("p").alias("n"), F.posexplode(zipped).alias("j", "z"))
     # a word's letters, and the space after it
     letters = F.split(F.when(F.col("j") < F.col("n") - 1, F.concat("z.word", F.lit(" "))).otherwise(F.col("z.word")), "")
-    chars = each.select("doc_id", "page", "seq", "x", "y", "h", "a", "j", F.col("z.off").alias("off"), F.posexplode(letters).alias("k", "ch")).where("ch <> ''")
+    chars = each.select("doc_id", "page", "seq", "x", "y", "h", "a", *keep, "j", F.col("z.off").alias("off"), F.posexplode(letters).alias("k", "ch")).where("ch <> ''")
     i = F.col("off") + F.col("k")
     x0 = F.col("x") + F.col("a") * (i - F.lit(0.5) * F.col("j"))
     font = F.col("h") * FONT_SHARE
     step = F.when(F.col("ch") == " ", F.col("a") * 0.5).otherwise(F.col("a"))
-    return chars.select("doc_id", "page", "seq", i.alias("i"), "ch", x0.alias("x0"), F.col("y").alias("y0"), (x0 + step).alias("x1"), (F.col("y") + (F.col("h") if full_height else font)).alias("y1"), font.alias("font_size"))
+    return chars.select("doc_id", "page", "seq", i.alias("i"), "ch", x0.alias("x0"), F.col("y").alias("y0"), (x0 + step).alias("x1"), (F.col("y") + (F.col("h") if full_height else font)).alias("y1"), font.alias("font_size"), *keep)
 
 
 def on_page(segments: DataFrame, page: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pad, strip_first_token, text_lines
+from .geometry import glyphs
 
 LEAST_ROWS, EMPTY_WIDTH = 25, 80
 
@@ -60,20 +61,30 @@ def filled_cells(grids: DataFrame) -> DataFrame:
     return grids.select("doc_id", count.alias("n"))
 
 
-def glyph_cells(glyphs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, page, x, y, ch, seq, i, region_id): the cell of each glyph inside its page's grid, numbered in order from 0."""
-    placed = glyphs.join(sizes, ["doc_id", "page"])
+def glyph_cells(segments: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, page, x, y, ch, seq, i): the cell of each glyph inside its page's grid.
+
+    Segments meet their page's measures, and are dealt out by page, before they
+    unfold to glyphs, so what follows by page shuffles no glyphs.
+    """
+    measures = ("width", "height", "char_w", "char_h", "min_x", "min_y")
+    placed = glyphs(segments.join(sizes, ["doc_id", "page"]).repartition("doc_id", "page"), keep=measures)
     cell = placed.select(
         "doc_id", "page", "seq", "i", "ch", "width", "height",
         F.round((F.col("x0") - F.col("min_x")) / F.col("char_w")).cast("int").alias("x"), F.round((F.col("y0") - F.col("min_y")) / F.col("char_h")).cast("int").alias("y"),
     ).where("x >= 0 and x < width and y >= 0 and y < height")
+    return cell.select("doc_id", "page", "x", "y", "ch", "seq", "i")
+
+
+def regions(cells: DataFrame) -> DataFrame:
+    """Cells with the number of their glyph, from 0, in order."""
     order = Window.partitionBy("doc_id", "page").orderBy("seq", "i")
-    return cell.select("doc_id", "page", "x", "y", "ch", "seq", "i", (F.row_number().over(order) - 1).cast("long").alias("region_id"))
+    return cells.withColumn("region_id", (F.row_number().over(order) - 1).cast("long"))
 
 
-def last_writer(cells: DataFrame, order: str = "region_id") -> DataFrame:
+def last_writer(cells: DataFrame) -> DataFrame:
     """(doc_id, page, y, x, ch): each cell's last writer."""
-    return cells.groupBy("doc_id", "page", "y", "x").agg(F.max_by("ch", order).alias("ch"))
+    return cells.groupBy("doc_id", "page", "y", "x").agg(F.max_by("ch", F.col("seq").cast("long") * (1 << 31) + F.col("i")).alias("ch"))
 
 
 def cell_rows(cells: DataFrame) -> DataFrame:
