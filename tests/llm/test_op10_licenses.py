@@ -72,3 +72,34 @@ def test_spans_and_columns(spark):
     docs = documents(spark, ["a", None]).withColumnRenamed("lang", "licenses")
     found, name = licenses.scan_licenses(docs)
     assert found.columns == [*docs.columns, "_licenses"] and found.count() == 2 and licenses.scan_licenses(docs.where("false"))[0].count() == 0
+
+
+def test_shared_runs(spark, tmp_path):
+    """A run counts at all its places: in every template that has it, and wherever a template repeats it."""
+    bsd = alnum(licenses.TEMPLATES[2][1])
+    again = "copyright notice this list of conditions and the following disclaimer".split()
+    places = [i for i in range(len(bsd)) if bsd[i : i + len(again)] == again]
+    assert len(places) == 2
+    rows = ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", licenses.TEMPLATES[6][1], licenses.TEMPLATES[7][1]]
+    rows += [" ".join(bsd[places[1] :]), " ".join(again), " ".join([" ".join(again), "x"] * 2), "zz ".join([licenses.TEMPLATES[6][1] + " "] * 3)]
+    got = {r.doc_id: r for r in op10.query(spark, save(spark, tmp_path, documents=documents(spark, rows))).collect()}
+    assert [got[i].labels for i in (0, 1, 2)] == ["cc-by", "cc-by-nc", "cc-by"]
+    assert [got[i].score for i in (0, 1, 2)] == [9 / 13, 1, 1]
+    assert [got[i].score for i in (3, 4, 5)] == [n / len(bsd) for n in (len(bsd) - places[1], len(again), 2 * len(again))]
+    assert got[6].labels == "cc-by-nc" and got[6].score == 1
+    scanner = licenses._scanner()
+    seqs = [licenses.word_hashes(t).tolist() for _, t in licenses.TEMPLATES]
+    for text in texts()[5:60]:  # maximal runs by plain comparison
+        w = licenses.word_hashes(text).tolist()
+        want = set()
+        for t, s in enumerate(seqs):
+            for i in range(len(w)):
+                for f in range(len(s)):
+                    if w[i] == s[f] and (i == 0 or f == 0 or w[i - 1] != s[f - 1]):
+                        n = 1
+                        while i + n < len(w) and f + n < len(s) and w[i + n] == s[f + n]:
+                            n += 1
+                        if n >= licenses.CHAIN_WORDS:
+                            want.add((i, n, t, f))
+        code = [int(np.searchsorted(scanner.vocabulary, np.uint64(h))) if (scanner.vocabulary == np.uint64(h)).any() else -1 for h in w]
+        assert sorted(scanner.read(code)[1]) == sorted(want)

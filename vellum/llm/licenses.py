@@ -2,10 +2,13 @@
 
 The automaton holds all words of all templates; reading a text's words through it
 gives the matching statistics: at each word the longest run of words, ending
-there, that occurs in some template, and where.  Maximal runs of CHAIN_WORDS words
-or more are chained by template, in order of text and template, into covered spans;
-a template is found when its chains cover enough of it.  Short phrases are runs
-too: a phrase ends at a word where the statistics reach the phrase's state.
+there, that occurs in some template; the state and its suffixes know all places of
+the run and of its ends.  Maximal runs of CHAIN_WORDS words or more, at every place
+of every template, are chained by template, in order of text and template, into
+covered spans; each word of a text counts once, for the chain that covers the
+largest share of its template.  A template is found when a chain covers enough of
+it.  Short phrases are runs too: a phrase ends at a word where the statistics reach
+the phrase's state.
 
 Only words that follow each other in some template can start or extend a run, so a
 text is cut at all other words first, and just the pieces left are read.
@@ -73,37 +76,44 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """Of several token sequences; a state knows a place of its longest run: template and end."""
+    """Of several token sequences; a state knows all places of its runs: template and end."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.place = [-1], [0], [(-1, -1)]
+        self.link, self.length = [-1], [0]
         for number, tokens in enumerate(sequences):
             last = 0
+            for token in tokens:
+                last = self._extend(last, token)
+        self.places: list[list[tuple[int, int]]] = [[] for _ in self.next]
+        for number, tokens in enumerate(sequences):
+            state = 0
             for at, token in enumerate(tokens):
-                last = self._extend(last, token, (number, at + 1))
+                up = state = self.next[state][token]
+                while up > 0:
+                    self.places[up].append((number, at + 1))
+                    up = self.link[up]
 
-    def _state(self, length: int, place: tuple[int, int], edges: dict[int, int], link: int) -> int:
+    def _state(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
         self.length.append(length)
-        self.place.append(place)
         self.link.append(link)
         return len(self.next) - 1
 
     def _clone(self, p: int, q: int, token: int) -> int:
         """A state for the runs of q that reach it from p and p's suffixes."""
-        made = self._state(self.length[p] + 1, self.place[q], dict(self.next[q]), self.link[q])
+        made = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
         self.link[q] = made
         while p >= 0 and self.next[p].get(token) == q:
             self.next[p][token] = made
             p = self.link[p]
         return made
 
-    def _extend(self, last: int, token: int, place: tuple[int, int]) -> int:
+    def _extend(self, last: int, token: int) -> int:
         q = self.next[last].get(token)
         if q is not None:  # an earlier sequence has this run
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, token)
-        new, p = self._state(self.length[last] + 1, place, {}, 0), last
+        new, p = self._state(self.length[last] + 1, {}, 0), last
         while p >= 0 and token not in self.next[p]:
             self.next[p][token] = new
             p = self.link[p]
@@ -145,51 +155,90 @@ class Scanner:
         for i, c in enumerate(coded[len(templates) :]):
             home.setdefault(self.automaton.state_of(c), []).append((i, len(c)))
         self.ends: list[list[tuple[int, int]]] = []
+        # places in templates where a state's run or an end of it, CHAIN_WORDS long at least, stands: (template, end) and the words that fit there
+        self.stands: list[dict[tuple[int, int], int]] = []
         for state in range(len(self.automaton.next)):
-            found, at = [], state
+            found, stands, at = [], {}, state
             while at > 0:
                 found += home.get(at, [])
+                if self.automaton.length[at] >= CHAIN_WORDS:
+                    for place in self.automaton.places[at]:
+                        if place[0] < len(templates):
+                            stands.setdefault(place, self.automaton.length[at])
                 at = self.automaton.link[at]
             self.ends.append(found)
+            self.stands.append(stands)
 
     def read(self, tokens: list[int]):
-        """(phrases: (first word, phrase)), (maximal long runs: (first word, words, template, first template word))."""
+        """(phrases: (first word, phrase)), (maximal long runs, at every place: (first word, words, template, first template word))."""
         machine, state, length = self.automaton, 0, 0
         phrases, runs = [], []
+        live: dict[tuple[int, int], int] = {}  # words of the runs that end here, by template and its lead over the text
+
+        def close(end, going):
+            for (template, lead), n in live.items():
+                if (template, lead) not in going:
+                    runs.append((end - n, n, template, end + lead - n))
+
         for at, token in enumerate(tokens):
-            before = (state, length)
             state, length = machine.step(state, length, token)
-            if before[1] >= CHAIN_WORDS and length <= before[1]:  # the run before can't go on
-                runs.append(self._run(at, *before))
+            now = {(t, end - at - 1): min(n, length) for (t, end), n in self.stands[state].items()} if length >= CHAIN_WORDS else {}
+            close(at, now)
+            live = now
             for phrase, size in self.ends[state]:
                 if length >= size:
                     phrases.append((at - size + 1, phrase))
-        if length >= CHAIN_WORDS:
-            runs.append(self._run(len(tokens), state, length))
+        close(len(tokens), ())
         return phrases, runs
 
-    def _run(self, end: int, state: int, length: int) -> tuple[int, int, int, int]:
-        template, template_end = self.automaton.place[state]
-        return end - length, length, template, template_end - length
-
     def chains(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, word after the last, covered share) of chained runs of whole templates, best first."""
+        """(template, first word, word after the last, covered share) of chained runs, best first.
+
+        The best chain of any template takes its words of the text, and so on with the
+        words that are left.
+        """
         out = []
-        for template in {r[2] for r in runs if r[2] < len(self.labels)}:
-            chain: list[tuple[int, int, int, int]] = []
-            for run in sorted(r for r in runs if r[2] == template):
-                if chain and (run[0] - (chain[-1][0] + chain[-1][1]) > GAP or run[3] < chain[-1][3]):
-                    out.append(self._span(template, chain))
-                    chain = []
-                chain.append(run)
-            out.append(self._span(template, chain))
+        while runs:
+            used: set[int] = set()
+            for covered, template, pieces in self._best(runs, used):
+                out.append((template, pieces[0][0], pieces[-1][1], covered))
+                used.update(w for first, end in pieces for w in range(first, end))
+            runs = [left for run in runs for left in self._unused(run, used)]
         return sorted(out, key=lambda s: (-s[3], s))
 
-    def _span(self, template: int, chain) -> tuple[int, int, int, float]:
-        covered = set()
-        for _, size, _, first in chain:
-            covered.update(range(first, first + size))
-        return template, chain[0][0], chain[-1][0] + chain[-1][1], len(covered) / self.sizes[template]
+    def _best(self, runs, used: set[int]):
+        """(covered share, template, pieces (first word, end)) of the best chain that ends with each run, best first, those with used words left out."""
+        runs = sorted(runs, key=lambda r: (r[2], r[0] + r[1], r))
+        words, cut, before = [r[1] for r in runs], [0] * len(runs), [-1] * len(runs)
+        for i, (first, n, template, place) in enumerate(runs):
+            j = i - 1
+            while j >= 0 and runs[j][2] == template and first - (end := runs[j][0] + runs[j][1]) <= GAP:
+                # words of the text and of the template count once
+                both = max(0, end - first, runs[j][3] + runs[j][1] - place)
+                if both < n and words[j] + n - both > words[i]:
+                    words[i], cut[i], before[i] = words[j] + n - both, both, j
+                j -= 1
+        share = [w / self.sizes[r[2]] for w, r in zip(words, runs)]
+        for i in sorted(range(len(runs)), key=lambda i: (-share[i], -words[i], i)):
+            pieces, at = [], i
+            while at >= 0:
+                pieces.append((runs[at][0] + cut[at], runs[at][0] + runs[at][1]))
+                if not used.isdisjoint(range(*pieces[-1])):
+                    break
+                at = before[at]
+            else:
+                yield share[i], runs[i][2], pieces[::-1]
+
+    @staticmethod
+    def _unused(run, used: set[int]):
+        """The parts of a run, CHAIN_WORDS long at least, whose words are not used."""
+        first, n, template, place = run
+        start = first
+        for w in range(first, first + n + 1):
+            if w == first + n or w in used:
+                if w - start >= CHAIN_WORDS:
+                    yield start, w - start, template, place + start - first
+                start = w + 1
 
     def scan(self, words: Words):
         """{row: (phrases, spans)} of the rows with anything found; phrases and spans in words of the row."""
