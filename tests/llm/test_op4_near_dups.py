@@ -73,3 +73,14 @@ def test_repeated_rows_and_columns(spark):
     groups = near_dups.near_duplicate_groups(docs)
     assert sorted((r.doc_id, r.component_id) for r in groups.collect()) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4)]
     assert near_dups.near_duplicate_groups(docs.where("false")).count() == 0
+
+
+def test_short_sets(spark):
+    """No link between small sets is lost to a collision of signature bins: 12 of 15 and 8 of 10 shingles shared."""
+    rows = []
+    for k in range(6000):
+        long, short = ((19, 16), (14, 12))[k % 2]
+        text = [f"k{k}w{i}" for i in range(long)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:short]))]
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicate_groups(documents(spark, rows)).collect()}
+    assert [i for i in got if got[i] != i - i % 2] == []

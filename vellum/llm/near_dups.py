@@ -5,7 +5,9 @@ keeps its smallest value.  Empty bins borrow from full ones by optimal
 densification: a hash of (bin, attempt) names the bin to try next, the same for
 all documents.  BANDS bands of ROWS bins make the bucket keys: at a similarity of
 0.8 a band agrees with probability 0.26, and none of 42 with 3 in a million.  A
-signature of two bits for each of 1024 bins leaves out most chance candidates.
+signature of two bits for each of 1024 bins leaves out most chance candidates: by
+a bound that no link can break, and only sets of more shingles than bins by an
+estimate too.
 
 Texts with equal shingle sets are one class, and only classes meet in buckets.
 Within a bucket candidates form a star around its smallest class, so a bucket of
@@ -36,8 +38,8 @@ from .kernels import NONSPACE, U64, Words, mix64, shingle_sets, slices
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-#: Bins of a signature, and percentage points below the asked similarity down to which its estimate lets a pair through.
-SIGNATURE_BINS, SLACK = 1024, 8
+#: Bins of a signature, and percentage points below the asked similarity down to which its estimate lets a pair of larger sets through.
+SIGNATURE_BINS, SLACK = 1024, 10
 #: Members that one copy of a star's centre meets.
 STAR = 4000
 #: Comparisons of one further round: at most so many for each member of an open bucket, PAIRS_LEAST at least.
@@ -165,14 +167,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 def _may_link(percent: int):
     """Whether the set sizes n, _n and the signatures bits, _bits of two classes allow a link.
 
-    Of the bins that either fills, those filled by one only differ, and half of those
-    that both fill with other values show it.
+    Each shingle that only one set has changes one bin at most, so no more bins differ
+    than the (100 - percent) / (100 + percent) of n + _n shingles that a link allows.
+    That is sure at any size, but says little once most bins are full.  A larger set
+    than there are bins needs the estimate too: of the bins that either fills, those
+    filled by one only differ, and half of those that both fill with other values
+    show it.
     """
     half = SIGNATURE_BINS // 64
     total = lambda f: " + ".join(f"bit_count({f(i)})" for i in range(half))
     either, one = total(lambda i: f"bits[{i}] | _bits[{i}]"), total(lambda i: f"bits[{i}] ^ _bits[{i}]")
     shown = total(lambda i: f"bits[{i}] & _bits[{i}] & (bits[{i + half}] ^ _bits[{i + half}])")
-    return F.expr(f"least(n, _n) * 100 >= greatest(n, _n) * {percent} and 100 * (({one}) + 2 * ({shown})) <= {100 - percent + SLACK} * ({either})")
+    sizes = f"least(n, _n) * 100 >= greatest(n, _n) * {percent}"
+    sure = f"{100 + percent} * (({one}) + ({shown})) <= {100 - percent} * (n + _n)"
+    estimate = f"100 * (({one}) + 2 * ({shown})) <= {100 - percent + SLACK} * ({either})"
+    return F.expr(f"{sizes} and {sure} and (greatest(n, _n) <= {SIGNATURE_BINS} or {estimate})")
 
 
 def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
