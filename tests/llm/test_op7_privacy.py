@@ -74,3 +74,20 @@ def test_sanitise(spark):
         if t and "joe@" in t:
             assert "[EMAIL]" in got[i] and "wizardlike" not in got[i]
     assert sanitise(docs.where("false")).count() == find_private(docs.where("false")).count() == 0
+
+
+def test_sanitise_everywhere(spark):
+    """Disclosing terms go far from their entity, without it, and when they are short."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(200)] + [f"{word()} the Wizardlike Lee joe@x.org writes" for _ in range(12)]
+    texts += [f"person{i}@x.org and the others" for i in range(40)] + ["joe@x.org " + "the " * 30 + "é wizardlike, Lee"]
+    texts += ["漢 Lee the wizardlike", "+1 (706) 555-3138 wizardlike lee@x.org éwizardlike", "the leeward wizardlikes", None]
+    docs = documents(spark, [(None if t and t.startswith("漢") else i, t) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert len(got) == len(texts)
+    far, away, other, whole, null = (got[i] for i in (len(texts) - 5, None, len(texts) - 3, len(texts) - 2, len(texts) - 1))
+    mark = lambda t: t.replace("[REMOVED]", "X").replace("w*", "X").replace("L*", "X").replace("W*", "X")
+    assert mark(far) == "[EMAIL] " + "the " * 30 + "é X, X" and mark(away) == "漢 X the X"
+    assert mark(other) == "[PHONE] X [EMAIL] éwizardlike" and whole == texts[-2] and null is None
+    assert all("Lee" not in got[i] and "the" in got[i] for i in range(200, 212))
