@@ -84,3 +84,11 @@ def test_short_sets(spark):
         rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:short]))]
     got = {r.doc_id: r.component_id for r in near_dups.near_duplicate_groups(documents(spark, rows)).collect()}
     assert [i for i in got if got[i] != i - i % 2] == []
+
+
+def test_shared_ids(spark):
+    """Different texts under one id are documents of their own."""
+    texts = ["a b c d e f", "p q r s t u v", "k l m n o", "P q  r s t u v"]
+    docs = documents(spark, [(1, texts[0]), (1, texts[1]), (1, texts[3]), (1, texts[1]), (2, texts[2]), (3, texts[0]), (3, "x y z"), (4, texts[2]), (None, texts[2])])
+    got = sorted((r.doc_id or 0, r.text.lower().replace("  ", " ")) for r in near_dups.keep_one_of_each(docs).collect())
+    assert got == [(0, texts[2]), (1, texts[0]), (1, texts[1]), (2, texts[2]), (3, "x y z")]

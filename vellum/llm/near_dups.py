@@ -258,13 +258,20 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of their group, with their own columns; of rows that repeat an id, one."""
-    groups = near_duplicate_groups(docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent)
-    name = free_name(docs, "near_id")
-    kept = cut(groups.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")))
+    """The documents with the smallest id of their group, with their own columns.
+
+    Of rows that repeat an id and a text, one; rows that share an id only are
+    documents of their own, of which one stays where they are in one group.
+    """
     ids = docs[doc_id].cast("long")
-    out = docs.join(kept.select(name), ids == F.col(name), "left_semi")
-    if kept.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates([doc_id])
+    name, options = free_name(docs, "near_id"), {"text": text, "shingle": shingle, "percent": percent}
     # a null id is in no group, and no copy of anything
-    return out.unionByName(docs.where(ids.isNull()))
+    some, nameless = docs.where(ids.isNotNull()), docs.where(ids.isNull())
+    if some.groupBy(ids.alias(name)).count().where("count > 1").limit(1).count():
+        # numbers in order of ids, one for each id and text
+        once = some.dropDuplicates([doc_id, text]).orderBy(ids, F.xxhash64(text))
+        out = keep_one_of_each(cut(once.withColumn(name, F.monotonically_increasing_id())), doc_id=name, **options).drop(name)
+    else:
+        kept = cut(near_duplicate_groups(docs, doc_id=doc_id, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)))
+        out = docs.join(kept, ids == F.col(name), "left_semi")
+    return out.unionByName(nameless)
