@@ -8,7 +8,9 @@ a short document in a long one shows.
 A fingerprint is a string: number of shingles, a hash of the whole set, and the
 kept hashes in order, base64 of KEEP_BYTES bytes each.  Equal texts have equal
 fingerprints; documents too short for any kept hash still differ in the set's
-hash.
+hash.  Of n shingles none is kept with probability 0.75 ** n (24 % at 5, 6 % at 10,
+0.3 % at 20); likeness and containment are then 0 for all but equal sets, which is
+no estimate.  Below some 50 shingles estimates are rough.
 
 Defined cases: a null text is empty; an empty set has a fingerprint of its own,
 like itself alone; a text with fewer words than a shingle has its whole word
