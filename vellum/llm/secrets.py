@@ -1,15 +1,17 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
-Each rule is a regular expression together with the literals it can't do without.
-Its trigram query is derived from them: one of the alternatives, and all trigrams
+Each rule is a regular expression together with the literals it can't do without,
+which are given by hand: no expression is parsed, and a wrong literal would lose
+matches.  Its trigram query is derived from the literals: one of the alternatives, and all trigrams
 of that alternative's literals.  The index holds a posting (trigram, document)
 for every trigram of any query that occurs in a document's lower-cased text.
 A rule's candidates are the documents whose postings satisfy its query; they are
 verified with the rule's expression.  A rule without a mandatory trigram has no
-query, and every document is its candidate.
+query, and every document is its candidate, even if its expression has some.
 
 The postings of a document stay together in its row as an array, so the index
-takes no shuffle and its lists can't grow hot; ``postings`` gives it as rows.
+takes no shuffle and its lists can't grow hot; ``postings`` gives it as rows.  Scans test the
+trigrams within each row and intersect no posting lists.
 
 Defined cases: a null text is empty; repeated rows each get their own result;
 positions are in code points, the end exclusive; other columns pass through.
