@@ -11,10 +11,9 @@ first met and kept as arrays; all pieces of a slice step through them together.
 Pieces (words with their leading space, numbers, symbols, white space) come from
 a rule with a bounded window over character classes, so the transducer is back
 in its first state at every piece's start.  A long piece is cut into chunks.
-Each chunk is a map from entry state to exit state and count; the maps compose
-in a scan that starts from guessed entries, all chunks at once, and repeats
-those whose entry turns out otherwise until every entry is its predecessor's
-exit.
+No state maps are made or composed: all chunks run at once from a guessed entry,
+the first state, and those whose entry turns out otherwise run again until every
+entry is its predecessor's exit, in as many rounds as there are chunks at worst.
 
 Defined cases: a null text is empty and has no tokens; repeated rows each get
 their own count; a special token's string inside a text is that one token, and
