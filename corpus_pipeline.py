@@ -50,7 +50,7 @@ STAGES = [
     ("mixing sources to target weights", mixing),
     ("sharding", sharding),
 ]
-#: SQL can't express the classifier's fit; tests hold each stage against brute force.
+#: SQL can't express the classifier's fit; tests hold the quality stage against labels that it hasn't seen, each other stage against brute force.
 ORACLE_SQL = None
 
 

@@ -81,3 +81,29 @@ def test_documents(spark):
     assert mixing.mix(empty).taken().count() == 0 and mixing.mixed_documents(empty).count() == 0
     clash = documents(spark, ["a b", None, (None, "c")]).withColumnsRenamed({"lang": "size", "n_chars": "_copies"})
     assert mixing.mixed_documents(clash).columns == clash.columns
+
+
+def test_documents_by_law(spark):
+    """Copies of each document from the words taken and the seeded draw, and each source's words near its target."""
+    frame, rows = corpus(spark)
+    made = mixing.mix(frame).taken().collect()
+    of_id = {}
+    for r in made:
+        t, n = of_id.get(r.doc_id, (0, 0))
+        of_id[r.doc_id] = (t + r.taken, n + r.size)
+    draws = {r[0]: r[1] % (1 << 30) / (1 << 30) for r in frame.selectExpr("doc_id", "xxhash64(doc_id, 20)").collect()}
+    want, size = [], {}
+    for r in rows:
+        taken, n = of_id[r[0]]
+        want += [r] * (1 if not n else taken // n + (taken % n / n > draws[r[0]]))
+        size[r[3]] = size.get(r[3], 0) + len(words(r[1]))
+    got = [tuple(r) for r in mixing.mixed_documents(frame).collect()]
+    key = lambda r: (r[0], str(r))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    for s, goal in zip(order, targets([size[s] for s in order])):
+        mine = [r for r in rows if r[3] == s]
+        total = sum(len(words(r[1])) for r in got if r[3] == s)
+        # drawing last parts moves a source by half of a document's words each, in the root of squares
+        noise = sum((len(words(r[1])) / 2) ** 2 for r in mine) ** 0.5
+        assert abs(total - goal) <= 4 * noise + max(3 * mixing.BLOCK, 0.02 * goal), (s, total, goal)

@@ -3,6 +3,8 @@ from vellum.llm.common import cut
 from vellum.llm.classify import classify
 from tests.llm.test_op1_decontaminate import brute as contaminated
 from tests.llm.test_op4_near_dups import brute as groups
+from tests.llm.test_op9_classify import corpus as labelled
+from tests.llm.util import save
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +41,15 @@ def test_stages_and_run(spark):
         assert after, title
         before = after
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(before)
+
+
+def test_quality_by_labels(spark, tmp_path):
+    """The quality stage against labels that the classifier hasn't seen; kept rows come unchanged, and once."""
+    docs, labels = labelled(spark)
+    d = save(spark, tmp_path, documents=docs, labels=spark.createDataFrame(labels[:1000], "doc_id long, quality int, toxic int"))
+    rows = {r.doc_id: tuple(r) for r in docs.collect()}
+    got = [tuple(r) for r in corpus_pipeline.quality(spark, docs, d).collect()]
+    kept = {r[0] for r in got}
+    assert len(got) == len(kept) and all(rows[r[0]] == r for r in got)
+    wrong = [i for i, q, t in labels[1000:] if (i in kept) != (q == 1 and t == 0)]
+    assert len(wrong) <= 15, len(wrong)
