@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pieces of a block of with_starts.
+BLOCK = 64
+
 
 def text_lines(text: Column) -> Column:
     """Lines as editors count them: no empty line after a last line feed, none in an empty text, no carriage return at an end."""
@@ -14,6 +17,21 @@ def text_lines(text: Column) -> Column:
     return F.transform(whole, lambda x: F.regexp_replace(x, "\r$", ""))
 
 
+def with_starts(rows: DataFrame, pieces: str, name: str, gap: int = 1) -> DataFrame:
+    """rows with the array of the characters before each of ``pieces``, ``gap`` characters standing between two.
+
+    Running sums go in two levels, within blocks of pieces and over blocks, as a fold
+    over all pieces would copy its array for each of them.
+    """
+    none = F.array(F.lit(0))
+    sums = lambda values, size: F.aggregate(values, none, lambda a, x: F.array_append(a, F.element_at(a, -1) + size(x)))
+    at = F.sequence(F.lit(0), F.expr(f"(size({pieces}) - 1) div {BLOCK}").cast("int"))
+    blocks = F.transform(at, lambda b: sums(F.slice(F.col(pieces), b * BLOCK + 1, F.lit(BLOCK)), lambda x: F.length(x) + gap))
+    out = rows.withColumn("_blocks", blocks).withColumn("_before", sums(F.col("_blocks"), lambda x: F.element_at(x, -1)))
+    whole = F.zip_with(F.col("_blocks"), F.slice("_before", F.lit(1), F.size("_blocks")), lambda x, s: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda v: v + s))
+    return out.withColumn(name, F.flatten(whole)).drop("_blocks", "_before")
+
+
 def not_blank(text: Column) -> Column:
     return text.rlike("(?U)\\S")
 

@@ -3,15 +3,19 @@
 Selections are (doc_id, r0, c0, r1, c1), any corner first, both ends included; rows
 are (doc_id, row_idx, text).  Rows join selections by document; what the edit does
 within a row is string work, so no cell is ever made a row of its own.
+
+Where grid and selection come together, as ``marked`` grids, edits take place within
+a grid's ragged lines: only what is selected is cut out and padded, rows unfold
+once, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_at, put_at, put_growing
+from ..functions.text import blank_at, common_indent_removed, is_block, pad, put_at, put_growing, sanitise, text_lines
 
 MOST_CELLS = 100_000
 TOO_LARGE = "[Selection too large]"
@@ -19,12 +23,78 @@ TOO_LARGE = "[Selection too large]"
 
 def normalised(selections: DataFrame, grids: DataFrame) -> DataFrame:
     """Selections with their first corner above and left, rows cut to the grid (doc_id, height), and their area."""
+    return marked(selections.join(grids.select("doc_id", "height"), "doc_id")).select("doc_id", "top", "bottom", "left", "right", "area")
+
+
+def marked(grids: DataFrame) -> DataFrame:
+    """Grids with their selection (r0, c0, r1, c1) as top, bottom, left, right and area."""
     last = F.greatest(F.col("height") - 1, F.lit(0))
-    corner = selections.join(grids.select("doc_id", "height"), "doc_id")
-    out = corner.select(
-        "doc_id", F.least("r0", "r1", last).alias("top"), F.least(F.greatest("r0", "r1"), last).alias("bottom"), F.least("c0", "c1").alias("left"), F.greatest("c0", "c1").alias("right")
-    )
-    return out.withColumn("area", (F.col("bottom") - F.col("top") + 1) * (F.col("right") - F.col("left") + 1))
+    corners = {"top": F.least("r0", "r1", last), "bottom": F.least(F.greatest("r0", "r1"), last), "left": F.least("c0", "c1"), "right": F.greatest("c0", "c1")}
+    out = grids.withColumns({c: v.cast("int") for c, v in corners.items()}).drop("r0", "c0", "r1", "c1")
+    return out.withColumn("area", (F.col("bottom") - F.col("top") + 1).cast("long") * (F.col("right") - F.col("left") + 1))
+
+
+def fits() -> Column:
+    return F.col("area") <= MOST_CELLS
+
+
+def selection(padded: bool = False) -> Column:
+    """The selected part of each selected row of a marked grid, as far as the grid goes or filled up with spaces."""
+    size = F.col("right") - F.col("left") + 1
+    reach = size if padded else F.least(size, F.greatest(F.col("width").cast("int") - F.col("left"), F.lit(0)))
+    part = lambda x: pad(F.substring(x, F.col("left") + 1, size), reach)
+    return F.transform(F.slice("lines", F.col("top") + 1, F.col("bottom") - F.col("top") + 1), part)
+
+
+def clip() -> Column:
+    """What a copy of the selection holds: nothing if that is too large."""
+    return F.coalesce(F.when(fits(), selection()), F.expr("cast(array() as array<string>)"))
+
+
+def copied_grids(grids: DataFrame, padded: bool = False) -> DataFrame:
+    """copied, for marked grids."""
+    return grids.select("doc_id", F.when(fits(), F.array_join(selection(padded), "\n")).otherwise(F.lit(TOO_LARGE)).alias("text"))
+
+
+def _without_selection(row: Column, text: Column) -> Column:
+    inside = fits() & row.between(F.col("top"), F.col("bottom"))
+    return F.when(inside, blank_at(text, F.col("left"), F.col("right") + 1)).otherwise(text)
+
+
+def cut_grids(grids: DataFrame) -> DataFrame:
+    """cut_out, for marked grids."""
+    rows = grids.select("doc_id", "width", "top", "bottom", "left", "right", "area", F.posexplode("lines").alias("row_idx", "line"))
+    return rows.select("doc_id", "row_idx", _without_selection(F.col("row_idx"), pad(F.col("line"), F.col("width"))).alias("text"))
+
+
+def pasted_grids(grids: DataFrame, piece: Column, row: Column, col: Column, new_width: Column | None = None, cut: bool = False) -> DataFrame:
+    """pasted for an array of rows, put at (row, col) of its own grid; with ``new_width`` as pasted_growing, with ``cut`` after the selection is cut out."""
+    pieces = F.concat(F.array_repeat(F.lit(None).cast("string"), row.cast("int")), piece)
+    keep = ["top", "bottom", "left", "right", "area"] if cut else []
+    wide = grids.withColumn("_col", col.cast("int")).withColumn("_new", (F.lit(0) if new_width is None else new_width).cast("int"))
+    rows = wide.select("doc_id", "width", "_col", "_new", *keep, F.posexplode(F.arrays_zip(F.col("lines").alias("line"), pieces.alias("piece"))).alias("row_idx", "z"))
+    line, piece = F.col("z.line"), F.col("z.piece")
+    if new_width is None:
+        rows = rows.where(line.isNotNull())
+    text = F.coalesce(pad(line, F.col("width")), F.repeat(F.lit(" "), F.col("_new")))
+    if cut:
+        text = _without_selection(F.col("row_idx"), text)
+    put = put_at if new_width is None else put_growing
+    return rows.select("doc_id", "row_idx", F.when(piece.isNotNull(), put(text, F.col("_col"), piece)).otherwise(text).alias("text"))
+
+
+def pasted_text(grids: DataFrame, text: Column, row: Column, col: Column) -> DataFrame:
+    """Rows after a text of another program is pasted at (row, col), the grid growing.
+
+    A rectangular block, by ``is_block``, loses its common indent, and new rows are 80
+    columns wide at least; other texts go in line by line, an empty one as a space.
+    """
+    held = grids.withColumn("_lines", text_lines(sanitise(text)))
+    held = held.withColumn("_block", is_block(F.col("_lines")))
+    plain = F.when(F.size("_lines") == 0, F.array(F.lit(" "))).otherwise(F.col("_lines"))
+    clip = F.when(F.col("_block"), common_indent_removed(F.col("_lines"))).otherwise(plain)
+    new_width = F.when(F.col("_block"), F.greatest(F.col("width"), F.lit(80))).otherwise(F.col("width"))
+    return pasted_grids(held, clip, row, col, new_width)
 
 
 def selected_rows(rows: DataFrame, marks: DataFrame, padded: bool) -> DataFrame:
@@ -78,6 +148,17 @@ def replayed_cells(edits: DataFrame, keys: list[str], order: str) -> DataFrame:
     return edits.groupBy(*keys).agg(F.max_by("ch", order).alias("ch"))
 
 
+def apply_edit(text: str, op: str, start: int, end: int, piece: str) -> str:
+    """The text after one edit; one that reaches outside does nothing."""
+    if op == "insert" and 0 <= start <= len(text):
+        return text[:start] + piece + text[start:]
+    if op == "delete" and 0 <= start < end <= len(text):
+        return text[:start] + text[end:]
+    if op == "replace" and 0 <= start <= end <= len(text):
+        return text[:start] + piece + text[end:]
+    return text
+
+
 def replayed_text(edits: DataFrame) -> DataFrame:
     """(doc_id, text): the text after edits (doc_id, seq, op, start, end, piece), each on the text that the one before left.
 
@@ -87,12 +168,7 @@ def replayed_text(edits: DataFrame) -> DataFrame:
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows, text = rows.sort_values("seq"), ""
         for op, start, end, piece in zip(rows["op"], rows["start"].tolist(), rows["end"].tolist(), rows["piece"]):
-            if op == "insert" and 0 <= start <= len(text):
-                text = text[:start] + piece + text[start:]
-            elif op == "delete" and 0 <= start < end <= len(text):
-                text = text[:start] + text[end:]
-            elif op == "replace" and 0 <= start <= end <= len(text):
-                text = text[:start] + piece + text[end:]
+            text = apply_edit(text, op, start, end, piece)
         return pd.DataFrame({"doc_id": [key[0]], "text": [text]})
 
     return edits.groupBy("doc_id").applyInPandas(run, "doc_id long, text string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import with_starts
+
 DEFAULT_ADVANCE, FONT_SHARE = 7.2, 0.8
 
 
@@ -15,9 +17,8 @@ def glyphs(segments: DataFrame, full_height: bool = False, keep: tuple[str, ...]
     before a character are the number of its word, so no running sum is needed.
     """
     advance = F.when(F.length("text") > 0, F.col("w") / F.length("text")).otherwise(DEFAULT_ADVANCE)
-    pieces = segments.withColumn("p", F.split("text", " ", -1)).withColumn("a", advance)
-    at = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda j: F.when(j == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("text"), F.lit(" "), j)) + 1))
-    zipped = F.arrays_zip(F.col("p").alias("word"), at.alias("off"))
+    pieces = with_starts(segments.withColumn("p", F.split("text", " ", -1)).withColumn("a", advance), "p", "at")
+    zipped = F.arrays_zip(F.col("p").alias("word"), F.col("at").alias("off"))
     each = pieces.select("doc_id", "page", "seq", "x", "y", "h", "a", *keep, F.size("p").alias("n"), F.posexplode(zipped).alias("j", "z"))
     # a word's letters, and the space after it
     letters = F.split(F.when(F.col("j") < F.col("n") - 1, F.concat("z.word", F.lit(" "))).otherwise(F.col("z.word")), "")

@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import pad, strip_first_token, text_lines
+from ..functions.text import numbered, pad, strip_first_token, text_lines
 from .geometry import glyphs
 
 LEAST_ROWS, EMPTY_WIDTH = 25, 80
 
 
-def text_grid(docs: DataFrame) -> DataFrame:
-    """(doc_id, width, height, rows): lines padded to the longest line's bytes, and 25 rows at least."""
-    lines = docs.select("doc_id", text_lines(F.col("text")).alias("l"))
+def text_grid(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, width, height, lines, rows, ...): a text's lines, 25 at least, as they are and padded to the longest line's bytes.
+
+    Operators unfold the ragged ``lines`` and pad what comes out; ``rows`` is made only if it is asked for.  ``keep``: further columns of docs.
+    """
+    lines = docs.select("doc_id", *keep, text_lines(F.col("text")).alias("l"))
     width = F.coalesce(F.array_max(F.transform("l", lambda x: F.octet_length(x))), F.lit(EMPTY_WIDTH))
-    sized = lines.select("doc_id", "l", width.alias("width"), F.greatest(F.size("l"), F.lit(LEAST_ROWS)).alias("height"))
-    full = F.concat("l", F.array_repeat(F.lit(""), F.greatest(F.col("height") - F.size("l"), F.lit(0))))
-    return sized.select("doc_id", "width", "height", F.transform(full, lambda x: pad(x, F.col("width"))).alias("rows"))
+    full = F.concat("l", F.array_repeat(F.lit(""), F.greatest(F.lit(LEAST_ROWS) - F.size("l"), F.lit(0))))
+    sized = lines.select("doc_id", *keep, width.alias("width"), F.greatest(F.size("l"), F.lit(LEAST_ROWS)).alias("height"), full.alias("lines"))
+    return sized.withColumn("rows", padded_rows())
+
+
+def padded_rows() -> Column:
+    """A grid's rows as an array."""
+    return F.transform("lines", lambda x: pad(x, F.col("width")))
 
 
 def grid_rows(grids: DataFrame) -> DataFrame:
     """(doc_id, row_idx, text)."""
-    return grids.select("doc_id", F.posexplode("rows").alias("row_idx", "text"))
+    return grids.select("doc_id", "width", F.posexplode("lines").alias("row_idx", "line")).select("doc_id", "row_idx", pad(F.col("line"), F.col("width")).alias("text"))
+
+
+def saved_text(grids: DataFrame, numbers: bool = False) -> DataFrame:
+    """(doc_id, text): each grid as its file's text, its rows after their number from 1 if asked for."""
+    row = lambda x, i: numbered(pad(x, F.col("width")), i + 1) if numbers else pad(x, F.col("width"))
+    return grids.select("doc_id", F.array_join(F.transform("lines", row), "\n").alias("text"))
 
 
 def grid_text(rows: DataFrame) -> DataFrame:
@@ -32,9 +46,10 @@ def grid_text(rows: DataFrame) -> DataFrame:
 
 
 def write_grid(rows: DataFrame, path: str, numbers: bool = False) -> None:
-    """One text file a document, in its own folder: rows in order, after their number from 1 if asked for."""
-    from ..functions.text import numbered
+    """One text file a document, in its own folder: rows in order, after their number from 1 if asked for.
 
+    Each document is a file that a user opens; for many documents write ``saved_text`` as a table instead.
+    """
     text = numbered(F.col("text"), F.col("row_idx") + 1) if numbers else F.col("text")
     rows.select("doc_id", "row_idx", text.alias("value")).repartition("doc_id").sortWithinPartitions("doc_id", "row_idx").select("doc_id", "value").write.mode("overwrite").partitionBy("doc_id").text(path)
 
@@ -43,7 +58,8 @@ def padded_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row_idx, text): lines after their first space, padded to the longest."""
     lines = docs.select("doc_id", F.transform(text_lines(F.col("text")), strip_first_token).alias("l"))
     width = F.coalesce(F.array_max(F.transform("l", lambda x: F.length(x))), F.lit(0))
-    return lines.select("doc_id", F.posexplode(F.transform("l", lambda x: pad(x, width))).alias("row_idx", "text"))
+    ragged = lines.withColumn("width", width).select("doc_id", "width", F.posexplode("l").alias("row_idx", "line"))
+    return ragged.select("doc_id", "row_idx", pad(F.col("line"), F.col("width")).alias("text"))
 
 
 def first_of(*extracts: DataFrame) -> DataFrame:
@@ -57,8 +73,11 @@ def first_of(*extracts: DataFrame) -> DataFrame:
 
 def filled_cells(grids: DataFrame) -> DataFrame:
     """(doc_id, n): cells that aren't spaces."""
-    count = F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + F.length(F.replace(x, F.lit(" "))))
-    return grids.select("doc_id", count.alias("n"))
+    return grids.select("doc_id", filled().alias("n"))
+
+
+def filled() -> Column:
+    return F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(F.replace(x, F.lit(" "))))
 
 
 def glyph_cells(segments: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -93,23 +112,36 @@ def cell_rows(cells: DataFrame) -> DataFrame:
     return cells.groupBy("doc_id", "page", "y").agg(F.count("*").alias("n"), F.min("x").alias("first_x"), F.max("x").alias("last_x"), F.array_join(F.transform(ordered, lambda c: c["ch"]), "").alias("text"))
 
 
-def priority_paint(segments: DataFrame, width: int = 200, height: int = 100) -> DataFrame:
-    """(doc_id, page, y, x, ch): a segment's characters go into its row of 6 by 12 cells, over blanks, or over anything if it is tall.
+def _painted_rows(segments: DataFrame, width: int, height: int) -> DataFrame:
+    """(doc_id, page, y, cells): each row's cells from x = 0, null where nothing is written.
 
-    The last tall writer h of a cell wins unless it wrote a blank; else the first
-    writer after h of something else wins, of all writers if none is tall.
+    Segments are dealt out by page while they are whole, and a row's segments, at most
+    ``width`` characters of each, are laid over each other in order.
     """
     corner = segments.groupBy("doc_id", "page").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"))
-    placed = segments.join(corner, ["doc_id", "page"])
+    placed = segments.repartition("doc_id", "page").join(corner, ["doc_id", "page"])
     start, row = F.floor((F.col("x") - F.col("min_x")) / 6).cast("int"), F.floor((F.col("y") - F.col("min_y")) / 12).cast("int")
-    # only the columns that fit are unfolded
-    fits = placed.select("doc_id", "page", "seq", (F.col("h") > 14).alias("tall"), start.alias("sx"), row.alias("y"), "text").where(F.col("y") < height)
-    chars = fits.select("doc_id", "page", "seq", "tall", "sx", "y", F.posexplode(F.split(F.substring("text", F.lit(1), F.greatest(F.lit(width) - F.col("sx"), F.lit(0))), "")).alias("i", "ch")).where("ch <> ''")
-    cells = chars.select("doc_id", "page", "seq", "tall", "y", (F.col("sx") + F.col("i")).alias("x"), "ch")
-    key = ["doc_id", "page", "y", "x"]
-    writers = cells.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "tall", "ch"))).alias("w"))
-    tall = F.filter("w", lambda c: c["tall"])
-    h = F.try_element_at(tall, F.lit(-1))
-    later = F.filter("w", lambda c: (c["ch"] != " ") & F.coalesce(c["seq"] > h["seq"], F.lit(True)))
-    ch = F.when(F.coalesce(h["ch"] != " ", F.lit(False)), h["ch"]).otherwise(F.coalesce(F.try_element_at(later, F.lit(1))["ch"], F.lit(" ")))
-    return writers.select(*key, ch.alias("ch"))
+    room = F.greatest(F.lit(width) - start, F.lit(0))
+    fits = placed.select("doc_id", "page", "seq", (F.col("h") > 14).alias("tall"), start.alias("sx"), row.alias("y"), F.substring("text", F.lit(1), room).alias("text")).where((F.col("y") < height) & (F.col("text") != ""))
+    writers = fits.groupBy("doc_id", "page", "y").agg(F.array_sort(F.collect_list(F.struct("seq", "tall", "sx", "text"))).alias("w"))
+
+    def lay(under: Column, s: Column) -> Column:
+        over = F.concat(F.array_repeat(F.lit(None).cast("string"), s["sx"]), F.split(s["text"], ""))
+        wins = lambda a, b: F.when(b.isNull(), a).when(s["tall"] | a.isNull() | (a == " "), b).otherwise(a)
+        return F.zip_with(under, over, wins)
+
+    letters = F.concat(F.array_repeat(F.lit(None).cast("string"), F.get("w", F.lit(0))["sx"]), F.split(F.get("w", F.lit(0))["text"], ""))
+    return writers.select("doc_id", "page", "y", F.aggregate(F.slice("w", F.lit(2), F.size("w")), letters, lay).alias("cells"))
+
+
+def priority_paint(segments: DataFrame, width: int = 200, height: int = 100) -> DataFrame:
+    """(doc_id, page, y, x, ch): a segment's characters go into its row of 6 by 12 cells, over blanks, or over anything if it is tall."""
+    return _painted_rows(segments, width, height).select("doc_id", "page", "y", F.posexplode("cells").alias("x", "ch")).where("ch is not null")
+
+
+def priority_rows(segments: DataFrame, width: int = 200, height: int = 100) -> DataFrame:
+    """The rows of priority_paint's cells, as cell_rows gives them, without a row for each cell."""
+    rows = _painted_rows(segments, width, height)
+    written = F.filter("cells", lambda c: c.isNotNull())
+    first = F.array_position(F.transform("cells", lambda c: c.isNotNull()), True) - 1
+    return rows.select("doc_id", "page", "y", F.size(written).alias("n"), first.alias("first_x"), (F.size("cells") - 1).alias("last_x"), F.array_join(written, "").alias("text"))

@@ -13,7 +13,7 @@ otherwise, and ``merge_exact`` follows it.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REACH, GAP = 8.0, 2
@@ -29,11 +29,23 @@ def line_starts(rows: DataFrame, key: str, value: str, reach: float = REACH) ->
     return rows.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_set(F.col(value).cast("double"))), start, step).alias("starts"))
 
 
+def _at_or_before(starts: str, value: Column) -> Column:
+    """How many of the ordered starts are no greater than the value, by halving."""
+    n = F.size(starts)
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n + 1)), F.lit(1)).cast("int"))
+
+    def halve(s, _):
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        before = F.coalesce(F.get(starts, middle) <= value, F.lit(False))
+        return F.struct(F.when(before, middle + 1).otherwise(s["low"]).alias("low"), F.when(before, s["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve)["low"]
+
+
 def anchored(rows: DataFrame, key: str, value: str, reach: float = REACH) -> DataFrame:
     """rows with the number of their group, ``line_idx``."""
     starts = line_starts(rows, key, value, reach)
-    index = F.size(F.filter("starts", lambda a: a <= F.col(value))) - 1
-    return rows.join(starts, key).withColumn("line_idx", index).drop("starts")
+    return rows.join(starts, key).withColumn("line_idx", _at_or_before("starts", F.col(value)) - 1).drop("starts")
 
 
 def spatial_map(elements: DataFrame) -> DataFrame:

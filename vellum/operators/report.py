@@ -1,13 +1,11 @@
-"""Reports of grids and their regions, as ordered lines of text."""
+"""Reports of grids and their regions, as text."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import numbered
+from ..functions.text import numbered, pad
 
 # The lines that a console report has whatever the page.
 DEFAULTS = (
@@ -25,41 +23,36 @@ CONSOLE_HEAD = "📊 Ferrules Character Matrix Output - Exact Placement Visualiz
 TOGGLES = "Toggle Text Highlighting Toggle Grid Lines"
 
 
-def _stacked(parts: list[DataFrame]) -> DataFrame:
-    """Sections one after another: (doc_id, section, n, line)."""
-    return reduce(DataFrame.union, [p.select("doc_id", F.lit(i).alias("section"), F.col("n").cast("int").alias("n"), "line") for i, p in enumerate(parts)])
+def with_regions(grids: DataFrame, regions: DataFrame) -> DataFrame:
+    """Grids with the array of their regions (doc_id, i, x, y, width, height, confidence, text), in order of i."""
+    own = regions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y", "width", "height", "confidence", "text"))).alias("regions"))
+    none = F.expr("cast(array() as array<struct<i:int,x:int,y:int,width:int,height:int,confidence:double,text:string>>)")
+    return grids.join(own, "doc_id", "left").withColumn("regions", F.coalesce("regions", none))
 
 
-def _line(frame: DataFrame, line: Column, n: int = 0) -> DataFrame:
-    return frame.select("doc_id", F.lit(n).alias("n"), line.alias("line"))
+def _report(grids: DataFrame, *parts: Column) -> DataFrame:
+    return grids.select("doc_id", F.array_join(F.concat(*parts), "\n").alias("text"))
 
 
-def matrix_report(grids: DataFrame, regions: DataFrame, char_w: float, char_h: float, objects: Column) -> DataFrame:
-    """(doc_id, section, n, line): head, rule, rows, rule, regions.  grids: (doc_id, width, height, rows, n_regions)."""
-    rule = F.repeat(F.lit("═"), F.least("width", F.lit(80)))
+def matrix_report(grids: DataFrame, char_w: float, char_h: float) -> DataFrame:
+    """(doc_id, text): head, rule, rows, rule, regions of grids with_regions and the number of their ``objects``, all within a row."""
+    rule = F.array(F.repeat(F.lit("═"), F.least("width", F.lit(80)).cast("int")))
     head = F.format_string(f"Character Matrix (%dx%d) | Char: {char_w:.1f}x{char_h:.1f}pt:", "width", "height")
-    counts = F.format_string("Text Regions: %d | Original Text Objects: %d", "n_regions", objects)
-    rows = grids.select("doc_id", "height", F.posexplode("rows").alias("n", "text"))
-    shown = rows.select("doc_id", "n", F.when(F.col("height") > 20, numbered(F.col("text"), F.col("n"), 3)).otherwise(F.col("text")).alias("line"))
-    each = F.format_string('Region %d: (%d,%d) %dx%d conf:%.2f - "%s"', F.col("i") + 1, "x", "y", "width", "height", "confidence", F.left("text", F.lit(50)))
-    return _stacked([_line(grids, head), _line(grids, counts), _line(grids, rule), shown, _line(grids, rule), regions.select("doc_id", F.col("i").alias("n"), each.alias("line"))])
+    counts = F.format_string("Text Regions: %d | Original Text Objects: %d", F.size("regions"), "objects")
+    row = lambda x, i: F.when(F.col("height") > 20, numbered(pad(x, F.col("width")), i, 3)).otherwise(pad(x, F.col("width")))
+    told = lambda r: F.format_string('Region %d: (%d,%d) %dx%d conf:%.2f - "%s"', r["i"] + 1, r["x"], r["y"], r["width"], r["height"], r["confidence"], F.left(r["text"], F.lit(50)))
+    return _report(grids, F.array(head, counts), rule, F.transform("lines", row), rule, F.transform("regions", told))
 
 
-def console_report(grids: DataFrame, regions: DataFrame, objects: Column) -> DataFrame:
-    """(doc_id, section, n, line), blanks shown as dots; of the first five regions those with text, or three set lines."""
-    rows = grids.select("doc_id", F.posexplode("rows").alias("n", "text")).select("doc_id", "n", numbered(F.translate("text", " ", "·"), F.col("n"), 3).alias("line"))
+def console_report(grids: DataFrame) -> DataFrame:
+    """(doc_id, text), blanks shown as dots; of the first five regions those with text, or three set lines."""
+    head = [F.lit(CONSOLE_HEAD), F.format_string("Matrix Size: %d columns × %d rows", "width", "height"), F.format_string("Regions Detected: %d", F.size("regions"))]
+    head += [F.format_string("Text Objects: %d", "objects"), F.lit("Processing Time: N/A"), F.lit(TOGGLES)]
+    rows = F.transform("lines", lambda x, i: numbered(F.translate(pad(x, F.col("width")), " ", "·"), i, 3))
     # the five come first, then the blank ones go
-    found = regions.where("i < 5").where(F.trim("text") != "")
-    preview = F.when(F.octet_length("text") > 50, F.concat(F.left("text", F.lit(50)), F.lit("..."))).otherwise(F.col("text"))
-    told = found.select("doc_id", F.col("i").alias("n"), F.format_string('✅ Found text region %d: "%s" (Confidence: %.1f%%)', F.col("i") + 1, preview, F.col("confidence") * 100).alias("line"))
-    without = grids.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.posexplode(F.array(*[F.lit(x) for x in DEFAULTS])).alias("n", "line"))
-    head = [CONSOLE_HEAD, F.format_string("Matrix Size: %d columns × %d rows", "width", "height"), F.format_string("Regions Detected: %d", "n_regions"), F.format_string("Text Objects: %d", objects), "Processing Time: N/A", TOGGLES]
-    lines = [_line(grids, F.lit(x) if isinstance(x, str) else x) for x in head]
-    issues = grids.select("doc_id", F.posexplode(F.array(*[F.lit(x) for x in ISSUES])).alias("n", "line"))
-    return _stacked([*lines, rows, _line(grids, F.lit("What Ferrules Accomplished:")), told.union(without), _line(grids, F.lit("Placement Issues:")), issues])
-
-
-def report_text(lines: DataFrame) -> DataFrame:
-    """(doc_id, text)."""
-    ordered = F.array_sort(F.collect_list(F.struct("section", "n", "line")))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    found = F.filter(F.slice("regions", F.lit(1), F.lit(5)), lambda r: F.trim(r["text"]) != "")
+    preview = lambda t: F.when(F.octet_length(t) > 50, F.concat(F.left(t, F.lit(50)), F.lit("..."))).otherwise(t)
+    told = F.transform(found, lambda r: F.format_string('✅ Found text region %d: "%s" (Confidence: %.1f%%)', r["i"] + 1, preview(r["text"]), r["confidence"] * 100))
+    fixed = lambda lines: F.array(*[F.lit(x) for x in lines])
+    parts = [F.array(*head), rows, fixed(["What Ferrules Accomplished:"]), F.when(F.size(told) > 0, told).otherwise(fixed(DEFAULTS)), fixed(["Placement Issues:"]), fixed(ISSUES)]
+    return _report(grids, *parts)

@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import views
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 _TYPES = {"l": ("long", "BIGINT"), "d": ("double", "DOUBLE"), "s": ("string", "VARCHAR"), "b": ("boolean", "BOOLEAN")}
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For plans that stay within a document."""
+    return views.spread(views.table(spark, sf_dir, "documents"))
+
+
+def by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For plans that group what documents unfold to."""
+    return views.dealt(views.table(spark, sf_dir, "documents"))
+
+
 def register(name: str, columns: str, sql: str | None):
     """Decorates f(spark, sf_dir).  columns: name:type pairs, the types l, d, s and b, cast to in both languages."""
     typed = [c.split(":") for c in columns.split()]
@@ -35,7 +47,7 @@ WORDS = """words AS (
   SELECT doc_id, r, j, content, n, coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id, r ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM (SELECT doc_id, r, len(p) AS n, unnest(range(len(p))) AS j, unnest(p) AS content FROM (SELECT doc_id, r, string_split(text, ' ') AS p FROM lines) AS q1) AS q2)"""
 ELEMENTS = """elements AS (
-  SELECT doc_id, r * 100000 + j AS ord, content, 6e0 * off AS hpos, 12e0 * r + ((doc_id * 31 + r * 7 + j * 13) % 16) * 5e-1 AS vpos, 6e0 * length(content) AS width, 10e0 AS height
+  SELECT doc_id, r * 2147483648 + j AS ord, content, 6e0 * off AS hpos, 12e0 * r + ((doc_id * 31 + r * 7 + j * 13) % 16) * 5e-1 AS vpos, 6e0 * length(content) AS width, 10e0 AS height
   FROM words WHERE content <> '')"""
 SEGMENTS = """segments AS (
   SELECT doc_id, r // 60 AS page, r AS seq, text, 36e0 + 6e0 * (doc_id % 5) AS x, 24e0 + {pitch} * (r % 60) AS y, 55e-1 * length(text) AS w,
@@ -83,7 +95,7 @@ EXPORT = r"""blocks AS (
     SELECT page_id, regexp_extract_all(html, '<(h1|h2|h3|p|li)(?:\s[^>]*)?>(<b>)?([^<]*)', 1) AS a, regexp_extract_all(html, '<(h1|h2|h3|p|li)(?:\s[^>]*)?>(<b>)?([^<]*)', 2) AS b,
       regexp_extract_all(html, '<(h1|h2|h3|p|li)(?:\s[^>]*)?>(<b>)?([^<]*)', 3) AS c FROM pages) AS q),
 tables AS (
-  SELECT page_id * 1000 + k AS element_id, kind AS element_type, text AS element_text, page_id % 60 AS page, '{"page": ' || (page_id % 60) || '}' AS element_metadata,
+  SELECT page_id * 4294967296 + k AS element_id, kind AS element_type, text AS element_text, page_id % 60 AS page, '{"page": ' || (page_id % 60) || '}' AS element_metadata,
     coalesce(bold, '') <> '' OR (page_id * 7 + k) % 5 = 0 AS style_bold,
     CASE WHEN kind IN ('h1', 'h2', 'h3') THEN 'header' WHEN contains(text, '$') THEN 'financial_text' ELSE 'body_text' END AS semantic_role FROM blocks)"""
 

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import confidence_bucket
 from ..operators import geometry, grid, grouping
 from ..sources import readers, views
-from .base import CELLS, ELEMENTS, GLYPHS, GRID, LINES, MAP, READING, SIZES, STARTS, WORDS, register, segments_sql
-
-
-def documents(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents")
+from .base import CELLS, ELEMENTS, GLYPHS, GRID, LINES, MAP, READING, SIZES, STARTS, WORDS, by_document, documents, register, segments_sql
 
 
 _READ = f"WITH RECURSIVE {LINES}, {WORDS}, {ELEMENTS}, {STARTS}, {READING} @@ "
@@ -22,7 +18,7 @@ _CELLS = f"{_GLYPHS}, {SIZES}, {CELLS}"
 @register("line_reconstruct", "doc_id:l line_idx:l text:s start_char:l end_char:l", _READ + "SELECT *, start_char + length(text) AS end_char FROM reading")
 def line_reconstruct(spark, sf_dir):
     """Reading lines of positioned words, with their character range in the document."""
-    return grouping.reading_lines(views.elements(documents(spark, sf_dir)))
+    return grouping.reading_lines(views.elements(by_document(spark, sf_dir)))
 
 
 @register(
@@ -31,13 +27,13 @@ def line_reconstruct(spark, sf_dir):
 )
 def spatial_map(spark, sf_dir):
     """Character ranges of words in reading order."""
-    return grouping.spatial_map(views.elements(documents(spark, sf_dir)))
+    return grouping.spatial_map(views.elements(by_document(spark, sf_dir)))
 
 
 @register("document_text", "doc_id:l text:s", _READ + "SELECT doc_id, string_agg(text, chr(10) ORDER BY line_idx) AS text FROM reading GROUP BY doc_id")
 def document_text(spark, sf_dir):
     """Each document's reconstructed text."""
-    return grouping.document_text(grouping.reading_lines(views.elements(documents(spark, sf_dir))))
+    return grouping.document_text(grouping.reading_lines(views.elements(by_document(spark, sf_dir))))
 
 
 @register(
@@ -47,7 +43,7 @@ def document_text(spark, sf_dir):
 )
 def alto_parse(spark, sf_dir):
     """Words read back from each document's ALTO XML."""
-    return readers.alto_elements(views.alto_xml(documents(spark, sf_dir)))
+    return readers.alto_elements(views.alto_xml(by_document(spark, sf_dir)))
 
 
 @register("text_grid_dims", "doc_id:l width:l height:l", f"WITH {GRID} @@ SELECT doc_id, width, height FROM grid")
@@ -75,7 +71,7 @@ def nonblank_count(spark, sf_dir):
 )
 def glyph_geometry(spark, sf_dir):
     """Every segment's glyphs, summed up."""
-    g = geometry.glyphs(views.segments(documents(spark, sf_dir)))
+    g = geometry.glyphs(views.segments(by_document(spark, sf_dir)))
     return g.groupBy("doc_id", "page", "seq").agg(
         F.count("*").alias("n"), F.count_if(F.col("ch") == " ").alias("spaces"), F.min("x0").alias("first_x0"), F.max("x1").alias("last_x1"), F.sum("x0").alias("sum_x0"),
         F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("font_size").alias("font_size"),
@@ -85,7 +81,7 @@ def glyph_geometry(spark, sf_dir):
 @register("font_mode", "doc_id:l page:l mode:l", f"{_GLYPHS}, {SIZES} @@ SELECT doc_id, page, s AS mode FROM mode")
 def font_mode(spark, sf_dir):
     """The commonest rounded font size of each page."""
-    return geometry.font_mode(geometry.segment_sizes(views.segments(documents(spark, sf_dir))))
+    return geometry.font_mode(geometry.segment_sizes(views.segments(by_document(spark, sf_dir))))
 
 
 @register(
@@ -95,17 +91,17 @@ def font_mode(spark, sf_dir):
 )
 def font_upper_median(spark, sf_dir):
     """The upper median font size of each page, and the character measures from it."""
-    return geometry.upper_median(geometry.segment_sizes(views.segments(documents(spark, sf_dir))))
+    return geometry.upper_median(geometry.segment_sizes(views.segments(by_document(spark, sf_dir))))
 
 
 @register("grid_size", "doc_id:l page:l width:l height:l char_w:d char_h:d", f"{_GLYPHS}, {SIZES} @@ SELECT * FROM sizes")
 def grid_size(spark, sf_dir):
     """The grid that each page's glyphs need."""
-    return geometry.grid_size(views.segments(documents(spark, sf_dir)))
+    return geometry.grid_size(views.segments(by_document(spark, sf_dir)))
 
 
 def _glyph_cells(spark, sf_dir, pitch=7.0):
-    segments = views.segments(documents(spark, sf_dir), pitch)
+    segments = views.segments(by_document(spark, sf_dir), pitch)
     return grid.glyph_cells(segments, geometry.grid_size(segments))
 
 
@@ -133,7 +129,7 @@ def cells_last_writer(spark, sf_dir):
 )
 def cells_priority_paint(spark, sf_dir):
     """Segments painted into cells, tall ones over what is there."""
-    return grid.cell_rows(grid.priority_paint(views.segments(documents(spark, sf_dir))))
+    return grid.priority_rows(views.segments(by_document(spark, sf_dir)))
 
 
 _CLEAN = f"WITH {LINES}, {segments_sql('14e0')}, {GLYPHS}, {SIZES}, {CELLS}"
@@ -192,7 +188,7 @@ def region_viewport(spark, sf_dir):
 )
 def bbox_contains(spark, sf_dir):
     """Cells inside a box of each document: rows are tested, columns counted as a range."""
-    rows = grid.grid_rows(grid.text_grid(documents(spark, sf_dir)))
+    rows = grid.grid_rows(grid.text_grid(by_document(spark, sf_dir)))
     d = F.col("doc_id")
     bx, by, bw, bh = d % 30, d % 9, F.lit(20) + d % 11, F.lit(3) + d % 5
     inside = F.when(geometry.contains(bx, F.col("row_idx"), bx, by, bw, bh), F.greatest(F.lit(0), F.least(F.length("text"), bx + bw) - bx)).otherwise(0)
@@ -218,7 +214,7 @@ _CLICKS = """clicks AS (SELECT doc_id * 3 + k AS click_id, doc_id, (doc_id * 5 +
 )
 def nearest_line(spark, sf_dir):
     """Where clicks in a document land in its reconstructed text."""
-    docs = documents(spark, sf_dir)
+    docs = by_document(spark, sf_dir)
     k, d = F.col("k"), F.col("doc_id")
     clicks = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
     clicks = clicks.select((d * 3 + k).alias("click_id"), "doc_id", ((d * 5 + k * 7) % 40).alias("row"), ((d * 11 + k * 13) % 120).alias("col"))
@@ -231,6 +227,6 @@ def nearest_line(spark, sf_dir):
 )
 def selection_overlap(spark, sf_dir):
     """Words that a character range of their document touches."""
-    docs = documents(spark, sf_dir)
+    docs = by_document(spark, sf_dir)
     start = (F.col("doc_id") * 17) % 300
     return grouping.overlapping(grouping.spatial_map(views.elements(docs)), docs.select("doc_id", start.alias("sel_start"), (start + 40).alias("sel_end")))

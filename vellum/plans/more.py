@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cursor, edit, geometry, grid
 from ..sources import readers, views
-from .base import GLYPHS, GRID, LINES, MARKS, register, segments_sql
-
-
-def documents(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents")
+from .base import GLYPHS, GRID, LINES, MARKS, by_document, documents, register, segments_sql
 
 
 _FIRST = "count(*) AS n, min(x0) AS first_x0, max(x1) AS last_x1, max(y1) AS last_y1"
@@ -20,14 +16,14 @@ _FIRST = "count(*) AS n, min(x0) AS first_x0, max(x1) AS last_x1, max(y1) AS las
 @register("page_glyphs", "doc_id:l n:l first_x0:d last_x1:d last_y1:d", f"WITH {LINES}, {segments_sql()}, {GLYPHS} @@ SELECT doc_id, {_FIRST} FROM glyphs WHERE page = 0 GROUP BY 1")
 def page_glyphs(spark, sf_dir):
     """The first page's glyphs, summed up."""
-    g = geometry.glyphs(geometry.on_page(views.segments(documents(spark, sf_dir)), 0))
+    g = geometry.glyphs(geometry.on_page(views.segments(by_document(spark, sf_dir)), 0))
     return g.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("x0").alias("first_x0"), F.max("x1").alias("last_x1"), F.max("y1").alias("last_y1"))
 
 
 @register("overprinted_glyphs", "doc_id:l n:l first_x0:d last_x1:d last_y1:d", f"WITH {LINES}, {segments_sql()}, {GLYPHS.replace('y + h * 8e-1 AS y1', 'y + h AS y1')} @@ SELECT doc_id, {_FIRST} FROM glyphs GROUP BY 1")
 def overprinted_glyphs(spark, sf_dir):
     """All pages' glyphs in one coordinate space, summed up."""
-    g = geometry.glyphs(geometry.overprinted(views.segments(documents(spark, sf_dir))), full_height=True)
+    g = geometry.glyphs(geometry.overprinted(views.segments(by_document(spark, sf_dir))), full_height=True)
     return g.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.min("x0").alias("first_x0"), F.max("x1").alias("last_x1"), F.max("y1").alias("last_y1"))
 
 
@@ -39,7 +35,7 @@ here AS (SELECT a.*, position, n_chars, position - start AS col FROM around AS a
 
 
 def _cursors(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs = by_document(spark, sf_dir)
     position = (F.col("doc_id") * 37) % (F.col("n_chars") + 1)
     return cursor.at_line(views.lines(docs), docs.select("doc_id", position.alias("position"), "n_chars"))
 
@@ -65,16 +61,15 @@ def cursor_status(spark, sf_dir):
 def grid_status(spark, sf_dir):
     """Size and filled cells of each grid, as text."""
     grids = grid.text_grid(documents(spark, sf_dir))
-    counted = grids.withColumn("n", F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + F.length(F.replace(x, F.lit(" ")))))
-    return counted.select("doc_id", cursor.grid_status(F.col("width"), F.col("height"), F.col("n")).alias("line"))
+    return grids.select("doc_id", grid.filled().alias("n"), "width", "height").select("doc_id", cursor.grid_status(F.col("width"), F.col("height"), F.col("n")).alias("line"))
 
 
 @register("page_status", "doc_id:l line:s", f"WITH {GRID} @@ SELECT doc_id, printf('Character Matrix (%dx%d) - Page %d | Text Regions: %d | Objects: %d', CAST(width AS BIGINT), CAST(height AS BIGINT), 1, 0, len(l)) AS line FROM grid")
 def page_status(spark, sf_dir):
     """Statistics of each document's first page, as text."""
-    docs = documents(spark, sf_dir)
-    lines = docs.select("doc_id", F.size(T.text_lines(F.col("text"))).alias("n"))
-    return grid.text_grid(docs).join(lines, "doc_id").select("doc_id", cursor.page_status(F.col("width"), F.col("height"), F.lit(0), F.lit(0), F.col("n")).alias("line"))
+    grids = grid.text_grid(documents(spark, sf_dir), keep=("text",))
+    objects = F.size(T.text_lines(F.col("text")))
+    return grids.select("doc_id", cursor.page_status(F.col("width"), F.col("height"), F.lit(0), F.lit(0), objects).alias("line"))
 
 
 @register("default_page_range", "doc_id:l page_range:s", "SELECT doc_id, CASE WHEN n_chars // 100 > 20 THEN '1-10' ELSE '' END AS page_range FROM documents")
@@ -86,14 +81,13 @@ def default_page_range(spark, sf_dir):
 @register("saved_grid", "doc_id:l text:s", f"WITH {GRID} @@ SELECT doc_id, string_agg(text, chr(10) ORDER BY row_idx) AS text FROM grid_rows GROUP BY 1")
 def saved_grid(spark, sf_dir):
     """Each grid as its file's text."""
-    return grid.grid_text(grid.grid_rows(grid.text_grid(documents(spark, sf_dir))))
+    return grid.saved_text(grid.text_grid(documents(spark, sf_dir)))
 
 
 @register("exported_grid", "doc_id:l text:s", f"WITH {GRID} @@ SELECT doc_id, string_agg(printf('%4d ', row_idx + 1) || text, chr(10) ORDER BY row_idx) AS text FROM grid_rows GROUP BY 1")
 def exported_grid(spark, sf_dir):
     """Each grid as its file's text, with line numbers."""
-    rows = grid.grid_rows(grid.text_grid(documents(spark, sf_dir)))
-    return grid.grid_text(rows.withColumn("text", T.numbered(F.col("text"), F.col("row_idx") + 1)))
+    return grid.saved_text(grid.text_grid(documents(spark, sf_dir)), numbers=True)
 
 
 @register(
@@ -114,10 +108,9 @@ def padded_lines(spark, sf_dir):
 )
 def typed_rows(spark, sf_dir):
     """Rows after a typed letter, or a Backspace, which writes a space."""
-    docs = documents(spark, sf_dir)
     d = F.col("doc_id")
-    keys = docs.select("doc_id", (d % 6).cast("int").alias("row_idx"), ((d * 7) % 120).cast("int").alias("col"), F.when(d % 4 == 0, " ").otherwise("Z").alias("ch"))
-    return edit.typed(grid.grid_rows(grid.text_grid(docs)), keys, grows=True)
+    grids = grid.text_grid(documents(spark, sf_dir))
+    return edit.pasted_grids(grids, F.array(F.when(d % 4 == 0, " ").otherwise("Z")), d % 6, (d * 7) % 120, F.col("width"))
 
 
 @register(
@@ -138,7 +131,7 @@ def clipboard_targets(spark, sf_dir):
     """Where a copied selection of each document goes, by its number of cells."""
     grids = grid.text_grid(documents(spark, sf_dir))
     d = F.col("doc_id")
-    marks = edit.normalised(grids.select("doc_id", (d % 7).alias("r0"), ((d * 3) % 40).alias("c0"), ((d * 5) % 12).alias("r1"), F.when(d % 50 == 0, 60000).otherwise((d * 7) % 90).alias("c1")), grids)
+    marks = edit.marked(grids.withColumns({"r0": d % 7, "c0": (d * 3) % 40, "r1": (d * 5) % 12, "c1": F.when(d % 50 == 0, 60000).otherwise((d * 7) % 90)}))
     return marks.select("doc_id", F.when(F.col("area") > edit.MOST_CELLS, "none").when(F.col("area") < 10_000, "both").otherwise("internal").alias("target"))
 
 

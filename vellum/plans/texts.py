@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, edit, grid, grouping, report, search
 from ..sources import readers, views
-from .base import EXPORT, GRID, LINES, MARKS, WORDS, register
-
-
-def documents(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents")
+from .base import EXPORT, GRID, LINES, MARKS, WORDS, by_document, documents, register
 
 
 def _rows(spark, sf_dir):
@@ -37,7 +33,8 @@ def search_hits(spark, sf_dir):
 )
 def search_next_prev(spark, sf_dir):
     """Hits with the next and the previous one."""
-    return search.numbered_hits(search.find(_rows(spark, sf_dir), "en"))
+    rows = views.lines(by_document(spark, sf_dir)).withColumnRenamed("r", "row_idx")
+    return search.numbered_hits(search.find(rows, "en"))
 
 
 @register(
@@ -46,16 +43,16 @@ def search_next_prev(spark, sf_dir):
 )
 def search_highlight(spark, sf_dir):
     """Word starts at which a hit starts."""
-    starts = views.words(documents(spark, sf_dir)).where("content <> ''").select("doc_id", F.col("r").alias("row_idx"), F.col("off").alias("col_char"))
-    return search.highlighted(starts, search.find(_rows(spark, sf_dir), "en"))
+    docs = by_document(spark, sf_dir)
+    starts = views.words(docs).where("content <> ''").select("doc_id", F.col("r").alias("row_idx"), F.col("off").alias("col_char"))
+    return search.highlighted(starts, search.find(views.lines(docs).withColumnRenamed("r", "row_idx"), "en"))
 
 
 def _grid(spark, sf_dir):
-    """(grids, rows, marks): each document's grid, its rows, and its normalised selection."""
-    grids = grid.text_grid(documents(spark, sf_dir))
+    """Each document's grid with its normalised selection."""
     d = F.col("doc_id")
-    chosen = grids.select("doc_id", (d % 7).alias("r0"), ((d * 3) % 40).alias("c0"), ((d * 5) % 12).alias("r1"), F.when(d % 50 == 0, 60000).otherwise((d * 7) % 90).alias("c1"))
-    return grids, grid.grid_rows(grids), edit.normalised(chosen, grids)
+    corners = {"r0": d % 7, "c0": (d * 3) % 40, "r1": (d * 5) % 12, "c1": F.when(d % 50 == 0, 60000).otherwise((d * 7) % 90)}
+    return edit.marked(grid.text_grid(documents(spark, sf_dir)).withColumns(corners))
 
 
 _SELECTED = f"""WITH {GRID}, {MARKS},
@@ -77,22 +74,19 @@ def _pasted_sql(base: str, row: str, col: str, clip: str = "hit") -> str:
 @register("select_rect_ragged", "doc_id:l text:s", _SELECTED + _COPIED.format("part"))
 def select_rect_ragged(spark, sf_dir):
     """Each document's selection as text, short rows left short."""
-    _, rows, marks = _grid(spark, sf_dir)
-    return edit.copied(rows, marks)
+    return edit.copied_grids(_grid(spark, sf_dir))
 
 
 @register("select_rect_padded", "doc_id:l text:s", _SELECTED + _COPIED.format("rpad(part, CAST(w AS INTEGER), ' ')"))
 def select_rect_padded(spark, sf_dir):
     """Each document's selection as text, short rows filled up."""
-    _, rows, marks = _grid(spark, sf_dir)
-    return edit.copied(rows, marks, padded=True)
+    return edit.copied_grids(_grid(spark, sf_dir), padded=True)
 
 
 @register("cut_rect", "doc_id:l row_idx:l text:s", f"WITH {GRID}, {MARKS}, {_AT} @@ SELECT doc_id, row_idx, text FROM cut")
 def cut_rect(spark, sf_dir):
     """Rows with the selection cut out."""
-    _, rows, marks = _grid(spark, sf_dir)
-    return edit.cut_out(rows, marks)
+    return edit.cut_grids(_grid(spark, sf_dir))
 
 
 _SMALL = "small AS (SELECT * FROM hit WHERE area <= 100000)"
@@ -101,17 +95,13 @@ _SMALL = "small AS (SELECT * FROM hit WHERE area <= 100000)"
 @register("move_rect", "doc_id:l row_idx:l text:s", f"{_SELECTED}, {_AT}, {_SMALL} @@ " + _pasted_sql("cut", "(b.doc_id % 9)", "(b.doc_id % 25)", "small"))
 def move_rect(spark, sf_dir):
     """Rows with the selection moved."""
-    grids, rows, marks = _grid(spark, sf_dir)
-    at = grids.select("doc_id", (F.col("doc_id") % 9).alias("row"), (F.col("doc_id") % 25).alias("col"))
-    return edit.moved(rows, marks.where(F.col("area") <= edit.MOST_CELLS), at)
+    return edit.pasted_grids(_grid(spark, sf_dir), edit.clip(), F.col("doc_id") % 9, F.col("doc_id") % 25, cut=True)
 
 
 @register("paste_clip", "doc_id:l row_idx:l text:s", f"{_SELECTED}, {_SMALL} @@ " + _pasted_sql("grid_rows", "(b.height - 2)", "(b.doc_id % 90)", "small"))
 def paste_clip(spark, sf_dir):
     """Rows with the selection pasted near the foot, cut at the grid's edges."""
-    grids, rows, marks = _grid(spark, sf_dir)
-    clip = edit.selected_rows(rows, marks.where(F.col("area") <= edit.MOST_CELLS), padded=False).select("doc_id", "row_off", "text")
-    return edit.pasted(rows, clip, grids.select("doc_id", (F.col("height") - 2).alias("row"), (F.col("doc_id") % 90).alias("col")))
+    return edit.pasted_grids(_grid(spark, sf_dir), edit.clip(), F.col("height") - 2, F.col("doc_id") % 90)
 
 
 def _growing_sql(row: str, col: str, width: str, clip: str) -> str:
@@ -126,9 +116,10 @@ def _growing_sql(row: str, col: str, width: str, clip: str) -> str:
 @register("paste_grow", "doc_id:l row_idx:l text:s", f"{_SELECTED}, {_SMALL}, " + _growing_sql("(g.height - 1)", "(g.doc_id % 90)", "width", "small"))
 def paste_grow(spark, sf_dir):
     """Rows with the selection pasted at the foot, the grid growing."""
-    grids, rows, marks = _grid(spark, sf_dir)
-    clip = edit.selected_rows(rows, marks.where(F.col("area") <= edit.MOST_CELLS), padded=False).select("doc_id", "row_off", "text")
-    return edit.pasted_growing(rows, clip, grids.select("doc_id", (F.col("height") - 1).alias("row"), (F.col("doc_id") % 90).alias("col")), "width")
+    grids = _grid(spark, sf_dir)
+    # a selection that isn't copied adds no rows
+    row = F.when(edit.fits(), F.col("height") - 1).otherwise(0)
+    return edit.pasted_grids(grids, edit.clip(), row, F.col("doc_id") % 90, F.col("width"))
 
 
 @register(
@@ -139,11 +130,10 @@ def paste_grow(spark, sf_dir):
 )
 def paste_rect_block(spark, sf_dir):
     """Rows with an indented block pasted at the foot, its common indent taken off, the grid growing."""
-    grids, rows, marks = _grid(spark, sf_dir)
-    parts = edit.selected_rows(rows, marks.where(F.col("area") <= edit.MOST_CELLS), padded=False)
-    block = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_off", F.concat(F.lit("  "), F.col("text")).alias("t")))).alias("b"))
-    clip = block.select("doc_id", F.posexplode(T.common_indent_removed(F.transform("b", lambda x: x["t"]))).alias("row_off", "text"))
-    return edit.pasted_growing(rows, clip, grids.select("doc_id", (F.col("height") - 2).alias("row"), F.lit(3).alias("col")), "greatest(width, 80)")
+    grids = _grid(spark, sf_dir).withColumn("_indented", F.transform(edit.clip(), lambda x: F.concat(F.lit("  "), x)))
+    clip = T.common_indent_removed(F.col("_indented"))
+    row = F.when(edit.fits(), F.col("height") - 2).otherwise(0)
+    return edit.pasted_grids(grids, clip, row, F.lit(3), F.greatest(F.col("width"), F.lit(80)))
 
 
 @register(
@@ -192,7 +182,7 @@ def strip_line_number(spark, sf_dir):
 )
 def stext_parse(spark, sf_dir):
     """Cells of structured text made of each document's words."""
-    words = views.words(documents(spark, sf_dir))
+    words = views.words(by_document(spark, sf_dir))
     x = F.lpad(((F.col("off") % 200) * 7).cast("string"), 4, "0")
     tag = F.concat(F.lit('<char y="1" x="'), x, F.lit('">'), F.left("content", F.lit(1)))
     per_line = words.groupBy("doc_id", "r").agg(F.array_sort(F.collect_list(F.struct("j", F.when(F.col("content") != "", tag).alias("tag")))).alias("t"))
@@ -214,15 +204,13 @@ def pages_line(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.page_count(info).alias("pages"))
 
 
-def _report_parts(spark, sf_dir):
-    """(grids with their number of regions, regions): a region for each line that isn't blank."""
-    docs = documents(spark, sf_dir)
-    filled = _rows(spark, sf_dir).where(T.not_blank(F.col("text")))
-    regions = edit.row_numbers(filled, ["doc_id"], ["row_idx"]).select(
-        "doc_id", F.col("n").alias("i"), F.lit(0).alias("x"), F.col("row_idx").alias("y"), F.length("text").alias("width"), F.lit(1).alias("height"), F.lit(1.0).alias("confidence"), "text"
-    )
-    counts = regions.groupBy("doc_id").agg(F.count("*").alias("n_regions"))
-    return grid.text_grid(docs).join(counts, "doc_id", "left").na.fill(0, ["n_regions"]), regions
+def _reported(spark, sf_dir):
+    """Grids with a region for each line that isn't blank, which are their objects too."""
+    grids = grid.text_grid(documents(spark, sf_dir), keep=("text",))
+    text = F.split("text", "\n", -1)
+    lines = F.filter(F.transform(text, lambda x, i: F.struct(i.alias("y"), x.alias("text"))), lambda r: T.not_blank(r["text"]))
+    region = lambda r, i: F.struct(i.alias("i"), F.lit(0).alias("x"), r["y"].alias("y"), F.length(r["text"]).alias("width"), F.lit(1).alias("height"), F.lit(1.0).alias("confidence"), r["text"].alias("text"))
+    return grids.withColumn("regions", F.transform(lines, region)).withColumn("objects", F.size("regions"))
 
 
 _REPORT = f"""WITH {LINES}, {GRID}, regions AS (SELECT doc_id, r AS y, text, row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS i FROM lines WHERE regexp_matches(text, '[^\\s]')),
@@ -239,8 +227,7 @@ counted AS (SELECT g.*, coalesce(n, 0) AS n FROM grid AS g LEFT JOIN (SELECT doc
 )
 def matrix_report(spark, sf_dir):
     """Each document's grid and regions as a report."""
-    grids, regions = _report_parts(spark, sf_dir)
-    return report.report_text(report.matrix_report(grids, regions, 8.0, 12.0, F.col("n_regions")))
+    return report.matrix_report(_reported(spark, sf_dir), 8.0, 12.0)
 
 
 def _quoted(lines) -> str:
@@ -259,8 +246,7 @@ def _quoted(lines) -> str:
 )
 def console_report(spark, sf_dir):
     """Each document's grid and regions as a console report."""
-    grids, regions = _report_parts(spark, sf_dir)
-    return report.report_text(report.console_report(grids, regions, F.col("n_regions")))
+    return report.console_report(_reported(spark, sf_dir))
 
 
 def events(spark, sf_dir):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import with_starts
+
 PAGE_LINES, PAGE_HEIGHT = 60, 792.0
 
 
@@ -16,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs dealt out by id while they are narrow; what follows by document, or by parts of it, shuffles nothing that they unfold to."""
+    return docs.repartition("doc_id")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """For plans that stay within rows: docs as they are read, or dealt out if the table is too small for its scan to use all cores."""
+    spark = docs.sparkSession
+    per_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return dealt(docs) if size < per_task * spark.sparkContext.defaultParallelism else docs
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, r, text): one row for each line, from 0."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("r", "text"))
@@ -24,11 +39,10 @@ def lines(docs: DataFrame) -> DataFrame:
 def words(docs: DataFrame) -> DataFrame:
     """(doc_id, r, j, off, content, last): pieces between single spaces; off is a piece's first character in its line.
 
-    Offsets come from the line itself: a running sum would shuffle all words.
+    Offsets come from the line itself: a window over words would shuffle all of them.
     """
-    pieces = lines(docs).withColumn("p", F.split("text", " ", -1))
-    at = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda j: F.when(j == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("text"), F.lit(" "), j)) + 1))
-    each = pieces.withColumn("at", at).select("doc_id", "r", F.size("p").alias("n"), F.posexplode(F.arrays_zip(F.col("p").alias("content"), F.col("at").alias("off"))).alias("j", "x"))
+    pieces = with_starts(lines(docs).withColumn("p", F.split("text", " ", -1)), "p", "at")
+    each = pieces.select("doc_id", "r", F.size("p").alias("n"), F.posexplode(F.arrays_zip(F.col("p").alias("content"), F.col("at").alias("off"))).alias("j", "x"))
     return each.select("doc_id", "r", "j", F.col("x.off").alias("off"), F.col("x.content").alias("content"), (F.col("j") == F.col("n") - 1).alias("last"))
 
 
@@ -40,7 +54,7 @@ def elements(docs: DataFrame) -> DataFrame:
         .where("content <> ''")
         .select(
             "doc_id",
-            (F.col("r").cast("long") * 100000 + F.col("j")).alias("ord"),
+            (F.col("r").cast("long") * (1 << 31) + F.col("j")).alias("ord"),
             "content",
             (F.lit(6.0) * F.col("off")).alias("hpos"),
             (F.lit(12.0) * F.col("r") + jitter).alias("vpos"),
@@ -86,7 +100,7 @@ def content(pages: DataFrame) -> DataFrame:
     part = lambda g: F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(g))
     zipped = F.arrays_zip(part(1).alias("kind"), part(2).alias("bold"), part(3).alias("text"))
     each = pages.select("page_id", F.posexplode(zipped).alias("k", "x"))
-    key = F.col("page_id") * 1000 + F.col("k")
+    key = F.col("page_id") * (1 << 32) + F.col("k")
     return each.select(
         key.alias("content_id"),
         key.alias("element_id"),

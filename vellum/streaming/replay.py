@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.edit import apply_edit
+
 _RESULT = "doc_id long, seq long, text string"
 
 
@@ -22,17 +24,6 @@ def cells(edits: DataFrame, keys: list[str], order: str) -> DataFrame:
     return edits.groupBy(*keys).agg(F.max_by("ch", order).alias("ch"))
 
 
-def apply_edit(text: str, op: str, start: int, end: int, piece: str) -> str:
-    """The text after one edit; one that reaches outside does nothing."""
-    if op == "insert" and 0 <= start <= len(text):
-        return text[:start] + piece + text[start:]
-    if op == "delete" and 0 <= start < end <= len(text):
-        return text[:start] + text[end:]
-    if op == "replace" and 0 <= start <= end <= len(text):
-        return text[:start] + piece + text[end:]
-    return text
-
-
 def texts(edits: DataFrame) -> DataFrame:
     """(doc_id, seq, text) after each batch of edits (doc_id, seq, op, start, end, piece); edits at or before the last seq are late and passed over."""
 
