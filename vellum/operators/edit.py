@@ -77,10 +77,12 @@ def pasted_grids(grids: DataFrame, piece: Column, row: Column, col: Column, new_
     if new_width is None:
         rows = rows.where(line.isNotNull())
     text = F.coalesce(pad(line, F.col("width")), F.repeat(F.lit(" "), F.col("_new")))
+    # padded once, before the branches that read it
+    rows = rows.select("doc_id", "row_idx", "_col", *keep, piece.alias("_piece"), text.alias("_text"))
     if cut:
-        text = _without_selection(F.col("row_idx"), text)
+        rows = rows.withColumn("_text", _without_selection(F.col("row_idx"), F.col("_text")))
     put = put_at if new_width is None else put_growing
-    return rows.select("doc_id", "row_idx", F.when(piece.isNotNull(), put(text, F.col("_col"), piece)).otherwise(text).alias("text"))
+    return rows.select("doc_id", "row_idx", F.when(F.col("_piece").isNotNull(), put(F.col("_text"), F.col("_col"), F.col("_piece"))).otherwise(F.col("_text")).alias("text"))
 
 
 def pasted_text(grids: DataFrame, text: Column, row: Column, col: Column) -> DataFrame:

@@ -12,8 +12,9 @@ otherwise, and ``merge_exact`` follows it.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 REACH, GAP = 8.0, 2
@@ -29,23 +30,12 @@ def line_starts(rows: DataFrame, key: str, value: str, reach: float = REACH) ->
     return rows.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_set(F.col(value).cast("double"))), start, step).alias("starts"))
 
 
-def _at_or_before(starts: str, value: Column) -> Column:
-    """How many of the ordered starts are no greater than the value, by halving."""
-    n = F.size(starts)
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n + 1)), F.lit(1)).cast("int"))
-
-    def halve(s, _):
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        before = F.coalesce(F.get(starts, middle) <= value, F.lit(False))
-        return F.struct(F.when(before, middle + 1).otherwise(s["low"]).alias("low"), F.when(before, s["high"]).otherwise(middle).alias("high"))
-
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve)["low"]
-
-
 def anchored(rows: DataFrame, key: str, value: str, reach: float = REACH) -> DataFrame:
-    """rows with the number of their group, ``line_idx``."""
+    """rows with the number of their group, ``line_idx``: the last start at or before them, found by halving."""
     starts = line_starts(rows, key, value, reach)
-    return rows.join(starts, key).withColumn("line_idx", _at_or_before("starts", F.col(value)) - 1).drop("starts")
+    powers = F.transform(F.sequence(F.floor(F.log2(F.size("starts"))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    before = F.aggregate("_powers", F.lit(0), lambda n, p: n + F.when(F.get("starts", n + p - 1) <= F.col(value), p).otherwise(0))
+    return rows.join(starts.withColumn("_powers", powers), key).withColumn("line_idx", before - 1).drop("starts", "_powers")
 
 
 def spatial_map(elements: DataFrame) -> DataFrame:
@@ -133,15 +123,37 @@ def _greedy(cells: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str]
     return out
 
 
+def _islands(cells: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """The same for cells in order of x, in one pass."""
+    out, part = [], [cells[0]]
+    for cell in cells[1:]:
+        if cell[1] - part[-1][1] - 1 > GAP:
+            out.append(part)
+            part = []
+        part.append(cell)
+    return [(p[0][1], p[-1][1] + 1 - p[0][1], p[0][0], "".join(c[2] for c in p)) for p in [*out, part]]
+
+
 def merge_exact(regions: DataFrame) -> DataFrame:
-    """As merge_islands, for any arrival order: regions grow as cells come, a row at a time."""
+    """As merge_islands, for any arrival order: regions grow as cells come.
+
+    A page at a time; in each row the choice between one pass, for cells that arrive in
+    order of x, and the sweeps that any other order needs is made by looking at it.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("region_id")
-        merged = _greedy(list(zip(rows["region_id"].tolist(), rows["x"].tolist(), rows["ch"].tolist())))
-        out = pd.DataFrame(merged, columns=["x", "width", "region_id", "text"])
-        for c in ("doc_id", "page", "y"):
-            out[c] = rows[c].iloc[0]
-        return out[["doc_id", "page", "y", "x", "width", "region_id", "text"]]
-
-    return regions.groupBy("doc_id", "page", "y").applyInPandas(run, "doc_id long, page int, y int, x int, width int, region_id long, text string")
+        y, number, x = (rows[c].to_numpy() for c in ("y", "region_id", "x"))
+        order = np.lexsort((number, y))
+        y, number, x, ch = y[order], number[order], x[order], rows["ch"].to_numpy()[order]
+        bounds = [0, *(np.flatnonzero(np.diff(y)) + 1).tolist(), len(y)]
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            cells = list(zip(number[a:b].tolist(), x[a:b].tolist(), ch[a:b]))
+            merge = _islands if (np.diff(x[a:b]) >= 0).all() else _greedy
+            out += [(y[a], *region) for region in merge(cells)]
+        made = pd.DataFrame(out, columns=["y", "x", "width", "region_id", "text"])
+        made.insert(0, "doc_id", rows["doc_id"].iloc[0])
+        made.insert(1, "page", rows["page"].iloc[0])
+        return made
+
+    return regions.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, y int, x int, width int, region_id long, text string")
