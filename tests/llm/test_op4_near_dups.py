@@ -50,8 +50,6 @@ def corpus(seed):
 def test_query(spark, tmp_path, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(near_dups, "STAR", 2)
-        monkeypatch.setattr(near_dups, "PAIRS_LEAST", 50)
-        monkeypatch.setattr(near_dups, "PAIRS_EACH", 1)
     rows = corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op4.query(spark, save(spark, tmp_path, documents=documents(spark, rows))).collect()}
     assert got == brute(rows)
@@ -61,8 +59,19 @@ def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(500, x) for x in range(501, 560)]
     frame = spark.createDataFrame(edges, "a long, b long")
-    one, many = (sorted(map(tuple, graph.components(frame, limit).collect())) for limit in (10**6, 0))
-    assert one == many and (340, 300) in one and (559, 500) in one
+    root = {}
+    for x in {x for e in edges for x in e}:
+        seen, left = {x}, [x]
+        while left:
+            at = left.pop()
+            for a, b in edges:
+                for u, v in ((a, b), (b, a)):
+                    if u == at and v not in seen:
+                        seen.add(v)
+                        left.append(v)
+        root[x] = min(seen)
+    got = dict(map(tuple, graph.components(frame).collect()))
+    assert got == root and got[340] == 300 and got[559] == 500
 
 
 def test_repeated_rows_and_columns(spark):
@@ -92,3 +101,38 @@ def test_shared_ids(spark):
     docs = documents(spark, [(1, texts[0]), (1, texts[1]), (1, texts[3]), (1, texts[1]), (2, texts[2]), (3, texts[0]), (3, "x y z"), (4, texts[2]), (None, texts[2])])
     got = sorted((r.doc_id or 0, r.text.lower().replace("  ", " ")) for r in near_dups.keep_one_of_each(docs).collect())
     assert got == [(0, texts[2]), (1, texts[0]), (1, texts[1]), (2, texts[2]), (3, "x y z")]
+
+
+def test_open_buckets(spark):
+    """Links between texts that share most of their words with hundreds of others, none of these close enough."""
+    rng = random.Random(5)
+    rows, planted = [], {}
+    for share in (40, 56, 68):  # words of 80 that all texts of a sea share
+        common = [f"c{share}x{i}" for i in range(share)]
+        for k in range(300):
+            own = [f"s{share}k{k}w{i}" for i in range(80 - share)]
+            rows.append((len(rows), " ".join(common + own)))
+            if k % 6 == 0:  # a copy, two words of its own part changed
+                copy = list(own)
+                for at in rng.sample(range(len(own)), 2 if share < 60 else 1):
+                    copy[at] = f"new{len(rows)}"
+                planted[len(rows)] = len(rows) - 1
+                rows.append((len(rows), " ".join(common + copy)))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    docs = [(order[i], t) for i, t in rows]
+    want = brute(docs)
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicate_groups(documents(spark, docs), shingle=4).collect()}
+    linked = [i for i in want if want[i][1] != i]
+    assert len(linked) >= 100
+    assert [i for i in want if got[i] != want[i][1]] == []
+
+
+def test_long_text_and_one_id(spark):
+    """A text of 200,000 words and its copy with a word changed; texts of their own under one id."""
+    rng = random.Random(6)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(200_000)]
+    other = [*long[:1000], "changed", *long[1001:]]
+    docs = documents(spark, [(7, " ".join(long)), (3, " ".join(other)), (5, "a b c d e f g"), (5, "p q r s t u v"), (9, "p q r s t u v"), (None, None)])
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in near_dups.near_duplicate_groups(docs).collect() if r.doc_id)
+    assert [(i, c) for i, _, c in got] == [(3, 3), (5, 5), (5, 5), (7, 3), (9, 5)]

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch; sessions that set it themselves keep their value.
@@ -55,10 +55,12 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named, as in tests."""
+    """The shared folder that the cluster names; a folder of our own only where none is named and all runs on one machine, as in tests."""
     at, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if at is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"vellum-{uuid.uuid4().hex}"))
     return (at or context.getCheckpointDir()).rstrip("/")
 
 
@@ -69,6 +71,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Numbers of one coarse group of running_starts.
+COARSE = 1024
+
+
+def running_starts(sums: DataFrame, by: list[str], number: str, value: str, out: str) -> DataFrame:
+    """sums with the sum of ``value`` over the smaller numbers of its ``by``: a whole number from 0, one row for each (by, number).
+
+    In two levels, within groups of COARSE numbers and over these groups, so that no
+    task orders more than a thousandth of what one key has.
+    """
+    coarse, before = free_name(sums, "coarse"), Window.unboundedPreceding
+    dealt = sums.withColumn(coarse, F.floor(F.col(number) / COARSE).cast("long"))
+    over = Window.partitionBy(*by, F.lit(0)).orderBy(coarse).rowsBetween(before, -1)
+    totals = dealt.groupBy(*by, coarse).agg(F.sum(value).alias("_total")).withColumn("_upto", F.coalesce(F.sum("_total").over(over), F.lit(0)))
+    totals = totals.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, coarse)], "_upto")
+    within = Window.partitionBy(*by, coarse).orderBy(number).rowsBetween(before, -1)
+    dealt = dealt.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*by, coarse)]
+    joined = dealt.join(totals, same).withColumn(out, (F.col(out) + F.col("_upto")).cast("long"))
+    return joined.select(*sums.columns, out)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

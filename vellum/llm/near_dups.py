@@ -4,25 +4,33 @@ One hash of each shingle gives both its bin (the top bits) and its value; a bin
 keeps its smallest value.  Empty bins borrow from full ones by optimal
 densification: a hash of (bin, attempt) names the bin to try next, the same for
 all documents.  BANDS bands of ROWS bins make the bucket keys: at a similarity of
-0.8 a band agrees with probability 0.26, and none of 42 with 3 in a million.  A
-signature of two bits for each of 1024 bins leaves out most chance candidates: by
-a bound that no link can break, and only sets of more shingles than bins by an
-estimate too.
+0.8 a band agrees with probability 0.26, and none of 42 with 3 in a million.
+
+A signature of two bits for each of SIGNATURE_BINS bins leaves out most chance
+candidates, of any size alike: by a bound that no link can break, and by an
+estimate that has to be SLACK points under the asked similarity.  By Hoeffding's
+inequality (1024 bins, each off by half a point of its one bit) that turns away a
+link with a probability under 2e-9, a thousandth of what the bands lose.
 
 Texts with equal shingle sets are one class, and only classes meet in buckets.
 Within a bucket candidates form a star around its smallest class, so a bucket of
 n gives n-1 pairs.  Candidates are confirmed on full shingle sets; confirmed
-links join components.  In buckets that then still hold several components, each
-member outside the centre's component becomes a centre too, with a star to all
-members of other components whose set sizes allow a link, so that a link between
-two members of a bucket isn't lost when neither is close to its centre.
+links join components.  Buckets that then still hold several components are split:
+each of their members goes to the CELLS smaller buckets of its single bin values,
+each a star again, around a member drawn by a hash of member and bucket, so that
+each star has another centre.  That goes on with other draws for as long as it
+joins anything.  A round has CELLS pairs for each member at most, however large
+the bucket was; what many texts of a bucket share takes up few of the bins of two
+texts that resemble each other by 0.8, so they meet in small ones.
 
 A star's centre is copied to as many salted parts as its members need; members
 stream past it.
 
 Defined cases: a text without words has the empty set, links with nothing and is
 kept; one with fewer words than a shingle has its whole word sequence as its one
-shingle; repeated rows are copies with the same id, each with its own result row.
+shingle; repeated rows are copies with the same id, each with its own result row;
+rows that share an id but not the text belong to the groups of their own texts; a
+null id belongs to no group.
 """
 
 from __future__ import annotations
@@ -38,12 +46,10 @@ from .kernels import NONSPACE, U64, Words, mix64, shingle_sets, slices
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-#: Bins of a signature, and percentage points below the asked similarity down to which its estimate lets a pair of larger sets through.
-SIGNATURE_BINS, SLACK = 1024, 10
-#: Members that one copy of a star's centre meets.
-STAR = 4000
-#: Comparisons of one further round: at most so many for each member of an open bucket, PAIRS_LEAST at least.
-PAIRS_EACH, PAIRS_LEAST = 200, 50_000_000
+#: Bins of a signature, and percentage points below the asked similarity down to which its estimate lets a pair through.
+SIGNATURE_BINS, SLACK = 1024, 20
+#: Members that one copy of a star's centre meets, and bins whose single values split a bucket.
+STAR, CELLS = 256, 64
 
 
 def _donors() -> np.ndarray:
@@ -101,7 +107,7 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits(x.reshape(n, -1), axis=1).view(np.int64) for x in (full, bits)], axis=1)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
+_SKETCH = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
 
 def _sketch_map(shingle: int):
@@ -119,13 +125,29 @@ def _sketch_map(shingle: int):
                         out[some] = np.add.reduceat(mix64(values ^ salt), bounds[:-1][some])
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.int64())) for x in (keys, signs)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"],
+                    [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists],
+                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "bits"],
                 )
 
     return run
 
 
+def _cell_map(shingle: int):
+    """(id, cell) for the smallest value of each of CELLS bins."""
+    shift = U64(64 - (CELLS - 1).bit_length())
+
+    def run(batches):
+        for batch in batches:
+            for low, high, body, offsets in slices(batch.column(1)):
+                values, bounds = shingle_sets(Words(body, offsets, NONSPACE), shingle)
+                row = np.repeat(np.arange(high - low), np.diff(bounds))
+                spot = row * CELLS + (values >> shift).astype(np.int64)
+                first = np.append(True, spot[1:] != spot[:-1])[: len(spot)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(low + row[first])), pa.array(values[first].view(np.int64))], names=["id", "cell"])
+
+    return run
+
+
 def _confirm_map(shingle: int, percent: int):
     """Streams rows sorted by star (centre, part), the centre's own row first; gives the confirmed links."""
 
@@ -169,10 +191,9 @@ def _may_link(percent: int):
 
     Each shingle that only one set has changes one bin at most, so no more bins differ
     than the (100 - percent) / (100 + percent) of n + _n shingles that a link allows.
-    That is sure at any size, but says little once most bins are full.  A larger set
-    than there are bins needs the estimate too: of the bins that either fills, those
-    filled by one only differ, and half of those that both fill with other values
-    show it.
+    That is sure, but says little once most bins are full.  The estimate: of the bins
+    that either fills, those filled by one only differ, and half of those that both
+    fill with other values show it.
     """
     half = SIGNATURE_BINS // 64
     total = lambda f: " + ".join(f"bit_count({f(i)})" for i in range(half))
@@ -181,54 +202,52 @@ def _may_link(percent: int):
     sizes = f"least(n, _n) * 100 >= greatest(n, _n) * {percent}"
     sure = f"{100 + percent} * (({one}) + ({shown})) <= {100 - percent} * (n + _n)"
     estimate = f"100 * (({one}) + 2 * ({shown})) <= {100 - percent + SLACK} * ({either})"
-    return F.expr(f"{sizes} and {sure} and (greatest(n, _n) <= {SIGNATURE_BINS} or {estimate})")
+    return F.expr(f"{sizes} and {sure} and {estimate}")
 
 
 def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links that join all similar members (bucket, id) of a bucket; heads: (id, n, bits, short keys of the bands)."""
+    """Confirmed links that join the similar members (bucket, id) of buckets; heads: (id, n, bits)."""
     there = heads.select(F.col("id").alias("centre"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
-    centre = members.groupBy("bucket").agg(F.min("id").alias("centre"))
-    stars = members.join(centre, "bucket").where("id <> centre").groupBy("id", "centre").count()
-    stars = cut(stars.join(heads.drop("short"), "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"), "count"))
+
+    def stars(spots: DataFrame, key: str, order) -> DataFrame:
+        """(centre, member, count): each member of a bucket with its centre, where sizes and signatures allow a link."""
+        centre = spots.groupBy(key).agg(F.min(F.struct(order.alias("order"), "id")).alias("c"), F.count("*").alias("size")).where("size > 1").select(key, F.col("c.id").alias("centre"))
+        near = spots.join(centre, key).where("id <> centre").groupBy("id", "centre").count()
+        return near.join(heads, "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"), "count")
+
+    found = cut(stars(members, "bucket", F.col("id")))
     # first each member with the centre it shares most buckets with, which settles most buckets
-    best = stars.groupBy("member").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("b"))
+    best = found.groupBy("member").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("b"))
     tested = cut(best.select((-F.col("b.minus")).alias("centre"), "member"))
     links = cut(confirm(tested, texts, shingle, percent))
     labels = components(links)
     label = lambda column: labels.withColumnsRenamed({"node": column, "label": f"{column}_label"})
 
-    def settle(pairs: DataFrame) -> None:
-        """Confirms pairs of different components that no round has had yet."""
+    def settle(pairs: DataFrame) -> bool:
+        """Confirms pairs of different components that no round has had yet; whether that joins any."""
         nonlocal links, tested, labels
         apart = pairs.join(label("centre"), "centre", "left").join(label("member"), "member", "left").where("coalesce(centre_label, centre) <> coalesce(member_label, member)")
         had = tested.union(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
         fresh = cut(apart.select("centre", "member").distinct().join(had, ["centre", "member"], "left_anti"))
-        if fresh.limit(1).count():
-            found = cut(confirm(fresh, texts, shingle, percent))
-            links, tested = links.union(found), tested.union(fresh)
-            if found.limit(1).count():
-                labels = components(links)
-
-    settle(stars)  # all other stars
-    part, parts = 0, 1
-    while part < parts:
-        # members outside their bucket's centre's component, as centres of stars of their own, in as many rounds as keep each in bounds
-        named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
-        each = named.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        # of two members one is the centre, and their pair is done
-        open_ = each.where("lo <> hi and size > 2").select("bucket", F.col("c.id").alias("middle"), F.col("c.label").alias("main"), "size")
-        left = cut(named.join(open_, "bucket").where("id <> middle").join(heads, "id"))
-        rest = left.where("label <> main")
-        if part == 0:
-            total, n = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], left.count()
-            parts = max(1, -(-int(total) // max(PAIRS_LEAST, PAIRS_EACH * n)))
-        rest = rest.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        rest = rest.select("bucket", F.col("id").alias("centre"), F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("bits").alias("_bits"), F.col("short").alias("_short"))
-        # once for each pair: in the first band that it shares, and from one side if both are outside
-        once = F.expr("(label = main or centre < id or pmod(xxhash64(id), {p}) <> {k}) and band = array_position(zip_with(short, _short, (x, y) -> x = y), true) - 1".replace("{p}", str(parts)).replace("{k}", str(part)))
-        pairs = rest.join(left, "bucket").where(_may_link(percent) & F.expr("label <> _label") & once).select("centre", F.col("id").alias("member"))
-        settle(pairs.select("centre", "member"))
-        part += 1
+        if not fresh.limit(1).count():
+            return False
+        more = cut(confirm(fresh, texts, shingle, percent))
+        tested = tested.union(fresh)
+        if not more.limit(1).count():
+            return False
+        links = links.union(more)
+        labels = components(links)
+        return True
+
+    settle(found)  # all other stars
+    named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    # of two members one is the centre, and their pair is done
+    open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
+    left = named.join(open_, "bucket").select("id").distinct()
+    cells = cut(texts.join(left, "id", "left_semi").mapInArrow(_cell_map(shingle), "id long, cell long"))
+    draw = 0
+    while settle(stars(cells, "cell", F.xxhash64("id", "cell", F.lit(draw)))):
+        draw += 1
     return links
 
 
@@ -239,19 +258,24 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     ``shingle``-word shingles.
     """
     prepare(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
     sketched = cut(source.mapInArrow(_sketch_map(shingle), _SKETCH))
     same_set = ["n_shingles", "set_a", "set_b"]
     some = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = cut(some.groupBy(*same_set).agg(F.min(F.struct("doc_id", "bands", "bits")).alias("head")).select(*same_set, F.col("head.doc_id").alias("head"), "head.bands", "head.bits"))
-    every = classes.select(F.col("head").alias("id"), F.posexplode("bands").alias("band", "bucket"))
+    # a class has a number of its own: rows that share an id can have different texts
+    classes = some.groupBy(*same_set).agg(F.min(F.struct("doc_id", "text_hash", "bands", "bits")).alias("head")).select(*same_set, "head.*")
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    every = classes.select("id", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(every.join(shared, "bucket").select("bucket", "band", "id"))
-    short = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))
-    heads = classes.select(F.col("head").alias("id"), F.col("n_shingles").alias("n"), "bits", short.alias("short"))
-    texts = cut(source.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi"))
-    labels = components(_links(members, heads, texts, shingle, percent)).withColumnRenamed("node", "head")
-    heads = classes.select("head", *same_set).join(labels, "head", "left").select(*same_set, F.coalesce("label", "head").alias("component"))
+    members = cut(every.join(shared, "bucket").select("bucket", "id"))
+    heads = classes.select("id", F.col("n_shingles").alias("n"), "bits")
+    chosen = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_hash")
+    texts = cut(source.join(chosen, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text"))
+    labels = components(_links(members, heads, texts, shingle, percent)).withColumnRenamed("node", "id")
+    labelled = classes.select("id", "doc_id", *same_set).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component"))
+    heads = labelled.join(smallest, "label").select(*same_set, "component")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     joined = sketched.drop("bands", "bits").join(heads, same_set, "left")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
