@@ -54,10 +54,14 @@ def test_mixture_and_shards(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
     monkeypatch.setattr(mixing, "GROUP_ROWS", 40)
     monkeypatch.setattr(mixing, "RUN", 7)
-    monkeypatch.setattr(mixing, "DRAWS", 500)
+    monkeypatch.setattr(mixing, "STRATUM_SLOTS", 150)  # several strata
     made = mixing.mix(corpus(spark)[0])
     slots = made.slots().collect()
-    assert len({(r.source_no, r.slot) for r in slots}) == len(slots) == made.counts.sum()
+    assert len({(r.source_no, r.slot) for r in slots}) == len(slots) == sum(made.source_slots)
+    shards = {}
+    for r in slots:
+        shards[r.shard] = shards.get(r.shard, 0) + 1
+    assert sorted(shards) == list(range(len(shards))) and len(shards) > 6 and max(shards.values()) <= 50 + len(made.sources)
     for s, own in enumerate(made.sources):  # in each epoch each block comes once at most
         for epoch in range(3):
             blocks = [r.block for r in slots if r.source_no == s and r.epoch == epoch]
@@ -68,8 +72,14 @@ def test_mixture_and_shards(spark, monkeypatch):
     for r in made.mixture().collect():
         words_of[r.doc] = words_of.get(r.doc, 0) + r.n_words
     assert words_of == {r.doc: r.taken for r in made.taken().collect() if r.taken}
-    counts = mixing.shard_counts([1000, 500, 3], 100, 1)
-    assert counts.sum(axis=0).tolist() == [1000, 500, 3] and np.ptp(counts.sum(axis=1)) <= 8  # units of four
+    counts = mixing.shard_counts([1000, 500, 3], 16, [1, 0])
+    assert counts.sum(axis=0).tolist() == [1000, 500, 3] and np.ptp(counts.sum(axis=1)) <= 1
+    # strata take up where the one before ends, whatever their number
+    for of in (1, 7):
+        runs = sorted(r[1:5:2] + r[4:5] for k in range(of) for r in mixing.stratum_runs(k, of, [1000, 500, 3], [400, 500, 1], 30, 1))
+        for s, n in enumerate((1000, 500, 3)):
+            own = [(a, b) for source, a, b in runs if source == s]
+            assert own[0][0] == 0 and own[-1][1] == n - 1 and all(x[1] + 1 == y[0] for x, y in zip(own, own[1:]))
 
 
 def test_documents(spark):
