@@ -16,9 +16,8 @@ def rows_of(n=300):
 def test_query(spark, tmp_path, monkeypatch):
     rows = rows_of()
     d = save(spark, tmp_path, documents=documents(spark, rows))
-    for size, parts in ((16 << 20, 20_000), (3000, 20_000), (3000, 4)):
+    for size in (16 << 20, 20_000, 1000):  # one bucket, one to a partition, several to one
         monkeypatch.setitem(sharding.external_shuffle.__kwdefaults__, "bucket_bytes", size)
-        monkeypatch.setattr(sharding, "MOST_PARTITIONS", parts)
         got = op8.query(spark, d).collect()
         assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
         slots = {k: sorted(r.slot for r in got if r.shard == k) for k in range(8)}
@@ -29,6 +28,17 @@ def test_query(spark, tmp_path, monkeypatch):
         assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.25
 
 
+def test_equal_records_and_long_texts(spark):
+    """Copies of one record are dealt over buckets, and a text larger than a bucket is one record of its bucket."""
+    docs = documents(spark, [(1, "copy " * 20)] * 3000 + [(2, "long " * 40_000)])
+    placed, shard, slot = sharding.external_shuffle(docs, shards=4, bucket_bytes=20_000)
+    rows = placed.collect()
+    assert sorted((r[shard], r[slot]) for r in rows) == sorted((i % 4, i // 4) for i in range(3001))
+    assert [len(r.text) for r in rows if r.doc_id == 2] == [200_000]
+    plan = placed._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" in plan
+
+
 def test_fisher_yates():
     counts = np.zeros((4, 4), int)
     for seed in range(4000):

@@ -1,18 +1,22 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters the records uniformly, by a seeded hash of the record, into
-buckets that fit in a worker's memory; their number follows the table's bytes.
-Pass 2 takes each bucket as a whole, puts it in a set order, shuffles it with
-Fisher-Yates under a seed of its own, and numbers its records.  Buckets come one
-after another, so a record's place is its bucket's first place plus its own;
-places are dealt out in turn, so shards differ by one record at most.
-
-A bucket's order comes from the records alone, so a task that runs again gives the
-same records the same places.
-
-Defined cases: a null text has no bytes; records that are equal in all columns
-are one another's equals and get adjacent places before the shuffle; a null id
-is a value like others; an empty table gives no rows.
+Pass 1 scatters the records uniformly, by a seeded hash of a record and its number
+in the table, into buckets that fit in a worker's memory; their number follows the
+table's bytes.  The number deals out records that are equal too, so no bucket grows
+with a record's copies.  Pass 2 takes each bucket as a whole, puts it in a set order,
+shuffles it with Fisher-Yates under a seed of its own, and numbers its records.
+Buckets come one after another, so a record's place is its bucket's first place plus
+its own; places are dealt out in turn, so shards differ by one record at most.
+Partitions hold BUCKETS_EACH buckets, one after another, where the table has more
+buckets than shuffle partitions; a worker holds one bucket at a time.
+
+A bucket's order comes from the records and their numbers alone, so a task that runs
+again gives the same records the same places, as long as the table is read in the
+same splits; equal records can stand for each other.
+
+Defined cases: a null text has no bytes; repeated rows are records of their own; a
+null id is a value like others; an empty table gives no rows.  Columns of map type
+have no part in the hash.
 """
 
 from __future__ import annotations
@@ -20,15 +24,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyarrow import compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, prepare, text_of
+from .common import free_name, prepare, running_starts, text_of
 
 SHARDS = 8
-BUCKET_BYTES = 16 << 20
-MOST_PARTITIONS = 20_000
+BUCKET_BYTES, BUCKETS_EACH = 16 << 20, 8
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -43,29 +46,27 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def external_shuffle(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 8, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str, str]:
+def external_shuffle(docs: DataFrame, *, text: str = "text", shards: int = SHARDS, seed: int = 8, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str, str]:
     """docs in shuffled places: (docs with a shard and a slot, the shard's column name, the slot's)."""
     spark = prepare(docs.sparkSession)
-    hash_ = F.xxhash64(F.lit(seed), F.col(key), F.crc32(text_of(docs, text).cast("binary")))
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
     total = docs.select(F.octet_length(text_of(docs, text)).alias("b")).agg(F.coalesce(F.sum(F.col("b") + 64), F.lit(0))).first()[0]
     buckets = max(1, -(-int(total) // bucket_bytes))
-    bucket, rank, place = free_name(docs, "bucket"), free_name(docs, "rank"), free_name(docs, "place")
-    tagged = docs.withColumn(rank, hash_).withColumn(bucket, F.pmod(F.xxhash64(F.lit(~seed), F.col(rank)), F.lit(buckets)).cast("int"))
+    bucket, rank, number, place = (free_name(docs, n) for n in ("bucket", "rank", "number", "place"))
+    tagged = docs.withColumn(rank, F.xxhash64(F.lit(seed), *hashable)).withColumn(number, F.monotonically_increasing_id())
+    tagged = tagged.withColumn(bucket, F.pmod(F.xxhash64(F.lit(~seed), F.col(rank), F.col(number)), F.lit(buckets)).cast("int")).select(*docs.columns, rank, bucket, number)
     # first places: counts of a few bytes for each bucket
     counts = tagged.groupBy(bucket).agg(F.count("*").alias("n"))
-    first = counts.select(bucket, F.coalesce(F.sum("n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias(place))
-    parts = min(buckets, MOST_PARTITIONS)
-    scattered = tagged.repartitionById(parts, F.col(bucket) % parts)
-    if parts < buckets:  # several buckets to a partition, one after another
-        scattered = scattered.sortWithinPartitions(bucket)
+    first = running_starts(counts, [], bucket, "n", place).drop("n")
+    parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS_EACH))
+    scattered = tagged.repartitionById(parts, F.col(bucket) % parts).sortWithinPartitions(bucket)
     width = len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(bucket, T.IntegerType()), T.StructField(rank, T.LongType())])
-    key_at = docs.columns.index(key)
 
     def shuffle(held: list[pa.RecordBatch]):
         whole = pa.Table.from_batches(held).combine_chunks()
         number = whole.column(width + 1)[0].as_py()
-        keys = pa.table({"r": whole.column(width), "k": whole.column(key_at)})
+        keys = pa.table({"r": whole.column(width), "k": whole.column(width + 2)})
         order = compute.sort_indices(keys, sort_keys=[("r", "ascending"), ("k", "ascending")]).to_numpy()
         order = order[fisher_yates(len(order), np.random.default_rng([seed, number]))]
         for low in range(0, len(order), 2048):
@@ -92,12 +93,11 @@ def external_shuffle(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     shuffled = scattered.mapInArrow(run, schema)
     spot = F.col(place) + F.col(rank)
     shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
-    # one row a bucket: broadcast up to a fixed number of them, beyond it Spark decides by size
-    placed = shuffled.join(F.broadcast(first) if buckets <= MOST_PARTITIONS else first, bucket)
+    placed = shuffled.join(first, bucket)  # one row a bucket; Spark broadcasts them if they are small
     return placed.select(*docs.columns, F.pmod(spot, F.lit(shards)).cast("int").alias(shard), F.floor(spot / F.lit(shards)).cast("int").alias(slot)), shard, slot
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Shuffles docs and writes them, one folder a shard, sorted by slot within files."""
+    """Shuffles docs and writes them, one folder a shard; a shard's files are runs of its slots, written by tasks of their own."""
     placed, shard, slot = external_shuffle(docs, **options)
-    placed.repartition(shard).sortWithinPartitions(shard, slot).write.mode("overwrite").partitionBy(shard).parquet(path)
+    placed.repartitionByRange(F.col(shard), F.col(slot)).sortWithinPartitions(shard, slot).write.mode("overwrite").partitionBy(shard).parquet(path)
