@@ -105,13 +105,28 @@ def fingerprints(docs: DataFrame, *, text: str = "text", out: str = "fingerprint
     return docs.mapInArrow(run, schema)
 
 
-#: Rows of a range of ids, on average, and ranges at most; larger tables get larger ranges.
-RANGE_ROWS, MOST_RANGES = 4096, 10_000
+#: Rows of a range of ids, on average, where that makes more ranges than shuffle partitions.
+RANGE_ROWS = 32_768
 _ROWS = "doc_id long, text string, guest boolean, range int"
 _NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_next double"
 _LOWEST = -(1 << 63)  # stands for a null id, last in descending order
 
 
+def _heads(cuts: np.ndarray):
+    """(range, largest id) of each batch."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).fill_null(_LOWEST).to_numpy()
+            own = np.searchsorted(cuts, ids, side="right")
+            order = np.argsort(own, kind="stable")
+            found, first = np.unique(own[order], return_index=True)
+            most = np.maximum.reduceat(ids[order], first) if len(ids) else ids
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(most, pa.int64())], names=["r", "first"])
+
+    return run
+
+
 def _in_ranges(rows: DataFrame, cuts: np.ndarray, after: dict[int, tuple[int, int]]) -> DataFrame:
     """Rows with the number of their range of ids; a range's first documents also as guests of the range before it."""
 
@@ -189,12 +204,11 @@ def with_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     n = docs.select(doc_id).count()
-    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    ranges = min(max(1, n), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS)))
     quantiles = rows.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     cuts = np.array(sorted({int(q) for q in quantiles}), np.int64)
-    # the first id of each range, a few bytes for each; ranges are at most MOST_RANGES
-    spots = F.lit(0) if not len(cuts) else F.size(F.filter(F.lit(cuts.tolist()), lambda c: c <= F.coalesce("doc_id", F.lit(_LOWEST))))
-    firsts = rows.groupBy(spots.alias("r")).agg(F.coalesce(F.max("doc_id"), F.lit(_LOWEST)).alias("first")).collect()
+    # the first id of each range: a few bytes for each partition that follows
+    firsts = rows.select("doc_id").mapInArrow(_heads(cuts), "r int, first long").groupBy("r").agg(F.max("first").alias("first")).collect()
     order = sorted((int(r["r"]), int(r["first"])) for r in firsts)
     after = {r: (first, order[(i + 1) % len(order)][0]) for i, (r, first) in enumerate(order)}
     dealt = _in_ranges(rows, cuts, after).repartitionById(ranges, F.col("range"))
