@@ -1,7 +1,11 @@
+import math
 import random
 
+import numpy as np
+
 from tests.llm.util import DOCS, documents, save
-from vellum.llm.classify import classify, keep_fit
+from vellum.llm.classify import classify, document_terms, keep_fit, train
+from vellum.llm.kernels import ALNUM, Words
 from vellum.llm.queries import op9
 
 SF = "/root/testdata/sf0.01"
@@ -61,3 +65,55 @@ def test_edges(spark):
     odd = spark.createDataFrame([(0, None, 1), (1, 1, None), (2, 1, 0), (2, 1, 0), (99, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert keep_fit(docs, odd).count() == 6
     assert keep_fit(docs.where("false"), none).count() == 0
+
+
+def test_rates_by_hand(spark):
+    """Rates, posteriors and decisions from each document's evidence, by the formulas in plain Python."""
+    docs, labels = corpus(spark, 400, 3)
+    docs = docs.selectExpr("doc_id", "text", "if(doc_id % 5 = 0, null, if(doc_id % 2 = 0, 'en', 'de')) AS lang", "source", "n_chars")
+    made, name = classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    rows = made.select("doc_id", "source", "lang", f"{name}.*").collect()
+    p = {r.doc_id: 1 - (1 - 1 / (1 + math.exp(-r.low))) * (1 - 1 / (1 + math.exp(-r.toxic))) for r in rows}
+    group = lambda key: {k: [p[r.doc_id] for r in rows if key(r) == k] for k in {key(r) for r in rows}}
+    hosts, paths = group(lambda r: r.source), group(lambda r: (r.source, r.lang))
+    n, mean = len(rows), sum(p.values()) / len(rows)
+    squares = sum(sum(v) ** 2 / len(v) for v in hosts.values())
+    between = max((squares - n * mean * mean - (len(hosts) - 1) * mean * (1 - mean)) / max(n - sum(len(v) ** 2 for v in hosts.values()) / n, 1.0), 1e-6)
+    strength = min(max(mean * (1 - mean) / between - 1, 2.0), 1e6)
+    host_rate = {k: (sum(v) + strength * mean) / (len(v) + strength) for k, v in hosts.items()}
+    path_rate = {k: (sum(v) + strength * host_rate[k[0]]) / (len(v) + strength) for k, v in paths.items()}
+    odds = lambda x: math.log(x / (1 - x))
+    for r in rows:
+        rate = path_rate[r.source, r.lang]
+        own = max(-30.0, min(30.0, math.log(p[r.doc_id] / max(1 - p[r.doc_id], 1e-13))))
+        want = own + 0.5 * max(-4.0, min(4.0, odds(min(max(rate, 1e-4), 1 - 1e-4)) - odds(mean)))
+        assert abs(r.host_rate - host_rate[r.source]) < 1e-9 and abs(r.path_rate - rate) < 1e-9
+        assert abs(r.log_odds - want) < 1e-6 and r.rejected == (r.log_odds > 0)
+
+
+def test_contradicting_labels(spark):
+    """The worse label counts, in whatever order they come."""
+    docs, labels = corpus(spark, 300, 4)
+    twice = labels + [(i, 1, 0) for i, _, _ in labels]
+    one, two = (sorted(keep_fit(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).select("doc_id").collect()) for x in (labels, twice[::-1]))
+    assert one == two and len(one) < 300
+
+
+def test_terms_by_hand(spark):
+    """The chosen terms are those that stand out most by plain counting."""
+    docs, labels = corpus(spark, 300, 5)
+    low, toxic = train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most_terms=20)
+    bad = {i for i, _, t in labels if t}
+    has = {}
+    for r in docs.collect():
+        words = Words(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]), ALNUM)
+        for term in document_terms(words)[1].tolist():
+            has.setdefault(term, set()).add(r.doc_id)
+
+    def z(rows):
+        a, b = len(rows & bad), len(rows - bad)
+        parts = [a + 0.5, len(bad) - a + 0.5, b + 0.5, 300 - len(bad) - b + 0.5]
+        return abs(math.log(parts[0] / parts[1]) - math.log(parts[2] / parts[3])) / math.sqrt(sum(1 / x for x in parts))
+
+    ranked = sorted((-round(z(rows), 9), term) for term, rows in has.items() if len(rows) >= 5 and z(rows) > 3)[:20]
+    assert sorted(toxic.terms.tolist()) == sorted(t for _, t in ranked) and len(low.terms) <= 20

@@ -3,7 +3,10 @@
 Evidence of one document: log-odds that it is unfit (of low quality or toxic),
 from two logistic models over words, word beginnings and the text's shape.  They
 are fitted on a bounded sample of labelled rows: MOST_LABELLED rows, those with
-the smallest seeded hash of their id; a smaller table is used whole.
+the smallest seeded hash of their id; a smaller table is used whole.  A model has
+MOST_TERMS terms at most, a parameter of the fit: those whose log-odds between the
+classes stand out most.  Their counts meet on the executors; the driver sees the
+chosen terms and, of each labelled row, which of them it has.
 
 Hosts and paths: all documents' unfit probabilities are summed by host (source)
 and path (host and language).  A Beta prior is fitted to the hosts' rates by
@@ -12,12 +15,14 @@ the host's count; paths shrink toward their host in the same way.  A document's
 posterior log-odds are its own evidence plus its path's log-odds over the global
 ones, as far as the path's share of the evidence is trusted (SITE_WEIGHT).
 
-Sums of a host meet after partial aggregation, and the rates, a row for each path,
+Texts are read into evidence once; that is written with what is carried along, and
+sums and posteriors read it.  Sums of a host meet after partial aggregation, and the rates, a row for each path,
 join back on the path and a salt, so a host with a third of all rows is spread.
 
 Defined cases: a null text is empty and scores by its shape alone; null hosts and
 languages are a host and a language of their own; repeated rows each get their own
-score; labels without a document or with nulls are left out; with no labels of
+score; labels without a document or with nulls are left out, and of labels that
+contradict each other the worse counts (low quality, toxic); with no labels of
 one of the kinds nothing is rejected for that reason; other columns pass through.
 """
 
@@ -33,7 +38,7 @@ from .common import cut, free_name, prepare, text_of
 from .kernels import ALNUM, NONSPACE, U64, Words, slices
 
 MOST_LABELLED = 6000
-MOST_FEATURES = 300
+MOST_TERMS = 300
 PREFIXES = (4, 5, 6)
 SITE_WEIGHT, SALTS = 0.5, 16
 # counts of capital letters, symbols and line feeds, 21 bits each, in one number
@@ -119,23 +124,17 @@ class Scorer:
         return np.clip(out, -30, 30)
 
 
-def fit(rows: np.ndarray, terms: np.ndarray, form: np.ndarray, y: np.ndarray) -> Model:
-    """Chooses the terms whose log-odds between the classes stand out most, then fits by Newton steps."""
+def fit(chosen: np.ndarray, rows: np.ndarray, terms: np.ndarray, form: np.ndarray, y: np.ndarray) -> Model:
+    """Fits the chosen terms (in order) and the shape by Newton steps; (rows, terms): who has which of them."""
     y = y.astype(np.float64)
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:  # one class only: no evidence either way
         return Model(np.empty(0, np.uint32), np.zeros(SHAPE), -30.0 if not n1 else 30.0)
-    keys, number = np.unique(terms, return_inverse=True)
-    c1 = np.bincount(number, weights=y[rows], minlength=len(keys))
-    c0 = np.bincount(number, minlength=len(keys)) - c1
-    z = np.abs(np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))) / np.sqrt(1 / (c1 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n0 - c0 + 0.5))
-    chosen = np.flatnonzero((z > 3.0) & (c1 + c0 >= 5))
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
-    slot = np.full(len(keys), -1)
-    slot[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(chosen) + SHAPE + 1))
-    have = slot[number] >= 0
-    x[rows[have], slot[number][have]] = 1
+    if len(chosen):
+        at = np.minimum(np.searchsorted(chosen, terms), len(chosen) - 1)
+        have = chosen[at] == terms
+        x[rows[have], at[have]] = 1
     x[:, len(chosen) : -1] = form
     x[:, -1] = 1
     ridge = np.full(x.shape[1], 0.3)
@@ -148,23 +147,47 @@ def fit(rows: np.ndarray, terms: np.ndarray, form: np.ndarray, y: np.ndarray) ->
         w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-5:
             break
-    return Model(keys[chosen], w[:-1], float(w[-1]))
+    return Model(chosen, w[:-1], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> tuple[Model, Model]:
-    """(low quality, toxic): fitted on at most ``most`` labelled rows."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropna().dropDuplicates(["_id"])
-    known = known.orderBy(F.xxhash64("_id", F.lit(9)), "_id").limit(most)
+def _standing_out(counts: DataFrame, own: str, n1: int, n0: int, most: int) -> np.ndarray:
+    """The terms (term, n, low, toxic) whose log-odds differ most between n1 and n0 rows, by their standard error, in order."""
+    c1, c0 = F.col(own), F.col("n") - F.col(own)
+    parts = [c1 + 0.5, n1 - c1 + 0.5, c0 + 0.5, n0 - c0 + 0.5]
+    z = F.abs(F.log(parts[0] / parts[1]) - F.log(parts[2] / parts[3])) / F.sqrt(1 / parts[0] + 1 / parts[1] + 1 / parts[2] + 1 / parts[3])
+    best = counts.where("n >= 5").select("term", z.alias("z")).where("z > 3.0").orderBy(F.desc("z"), "term").limit(most).collect()
+    return np.sort(np.array([r["term"] for r in best], np.int64).astype(np.uint32))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most: int = MOST_LABELLED, most_terms: int = MOST_TERMS) -> tuple[Model, Model]:
+    """(low quality, toxic): fitted on at most ``most`` labelled rows, each over at most ``most_terms`` terms."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropna()
+    known = known.groupBy("_id").agg(F.min("q").alias("q"), F.max("t").alias("t")).orderBy(F.xxhash64("_id", F.lit(9)), "_id").limit(most)
     rows = known.join(docs.select(F.col(doc_id).alias("_id"), text_of(docs, text).alias("x")), "_id")
-    features = rows.select("_id", "q", "t", "x").mapInArrow(_features, "id long, q int, t int, terms binary, form binary").collect()
-    features.sort(key=lambda r: (r["id"], bytes(r["terms"]), bytes(r["form"])))
-    if not features:
+    features = cut(rows.select("_id", F.when(F.col("q") == 0, 1).otherwise(0).alias("low"), F.when(F.col("t") != 0, 1).otherwise(0).alias("toxic"), "x").mapInArrow(_features, _FEATURES))
+    n, low, toxic = features.agg(F.count("*"), F.coalesce(F.sum("low"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
         none = Model(np.empty(0, np.uint32), np.zeros(SHAPE), -30.0)
         return none, none
-    parts = [np.frombuffer(r["terms"], np.uint32) for r in features]
+    counts = cut(features.mapInArrow(_term_counts, "term long, n long, low long, toxic long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]))
+    chosen = [_standing_out(counts, own, ones, n - ones, most_terms) for own, ones in (("low", low), ("toxic", toxic))]
+    every = np.union1d(*chosen)
+
+    def shortened(batches):
+        for batch in batches:
+            own = [np.frombuffer(t, np.uint32) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t[np.isin(t, every)].tobytes() for t in own], pa.binary()), batch.column(4)], names=batch.schema.names)
+
+    # of each row its shape and which of the chosen terms it has
+    held = features.mapInArrow(shortened, _FEATURES).collect()
+    held.sort(key=lambda r: (r["id"], bytes(r["terms"]), bytes(r["form"])))
+    parts = [np.frombuffer(r["terms"], np.uint32) for r in held]
     row, terms = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts)
-    form = np.array([np.frombuffer(r["form"], np.float64) for r in features])
-    return fit(row, terms, form, np.array([r["q"] == 0 for r in features])), fit(row, terms, form, np.array([r["t"] != 0 for r in features]))
+    form = np.array([np.frombuffer(r["form"], np.float64) for r in held])
+    return tuple(fit(own, row, terms, form, np.array([r[c] for r in held])) for own, c in zip(chosen, ("low", "toxic")))
+
+
+_FEATURES = "id long, low int, toxic int, terms binary, form binary"
 
 
 def _features(batches):
@@ -178,7 +201,17 @@ def _features(batches):
             for i in range(high - low):
                 terms.append(found[bounds[i] : bounds[i + 1]].tobytes())
                 forms.append(form[i].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(terms, pa.binary()), pa.array(forms, pa.binary())], names=["id", "q", "t", "terms", "form"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *batch.columns[1:3], pa.array(terms, pa.binary()), pa.array(forms, pa.binary())], names=["id", "low", "toxic", "terms", "form"])
+
+
+def _term_counts(batches):
+    """A batch's counts of each term: rows that have it, and how many of these are of low quality, or toxic."""
+    for batch in batches:
+        parts = [np.frombuffer(t, np.uint32) for t in batch.column(3).to_pylist()]
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        terms, number = np.unique(np.concatenate([np.empty(0, np.uint32), *parts]), return_inverse=True)
+        sums = [np.bincount(number, weights=batch.column(i).to_numpy()[row], minlength=len(terms)).astype(np.int64) for i in (1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int64)), pa.array(np.bincount(number, minlength=len(terms)).astype(np.int64)), *map(pa.array, sums)], names=["term", "n", "low", "toxic"])
 
 
 def score(docs: DataFrame, models: tuple[Model, Model], *, text: str = "text") -> tuple[DataFrame, str]:
@@ -224,27 +257,33 @@ def _path(docs: DataFrame, host: str, path: str):
     return h, F.concat(h, F.lit("\n"), F.coalesce(F.concat(F.lit("="), F.col(path).cast("string")), F.lit("-")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", most: int = MOST_LABELLED) -> tuple[DataFrame, str]:
-    """docs with a struct (low, toxic, host_rate, path_rate, log_odds, rejected), and its name."""
-    models = train(docs, labels, doc_id=doc_id, text=text, most=most)
+def classify(
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", most: int = MOST_LABELLED, most_terms: int = MOST_TERMS, keep: list[str] | None = None
+) -> tuple[DataFrame, str]:
+    """docs, or their columns ``keep``, with a struct (low, toxic, host_rate, path_rate, log_odds, rejected), and its name."""
+    models = train(docs, labels, doc_id=doc_id, text=text, most=most, most_terms=most_terms)
+    keep = docs.columns if keep is None else keep
     h, p = _path(docs, host, path)
-    evidence, own = score(docs.select(h.alias("host"), p.alias("path"), F.col(text)), models, text=text)
-    unfit = 1 - (1 - _probability(F.col(own)["low"])) * (1 - _probability(F.col(own)["toxic"]))
-    sums = cut(evidence.select("host", "path", unfit.alias("p")).groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("unfit")))
-    rates, mean = site_rates(sums)
     scored, name = score(docs, models, text=text)
-    key, salt, result = free_name(scored, "site_path"), free_name(scored, "site_salt"), free_name(scored, "quality_class")
+    site, salted = free_name(scored, "site"), free_name(scored, "site_salt")
+    at = F.struct(h.alias("host"), p.alias("path")).alias(site)
+    # every text is read into evidence once
+    scored = cut(scored.select(*keep, name, at, F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int").alias(salted)))
+    unfit = 1 - (1 - _probability(F.col(name)["low"])) * (1 - _probability(F.col(name)["toxic"]))
+    sums = cut(scored.select(f"{site}.host", f"{site}.path", unfit.alias("p")).groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("unfit")))
+    rates, mean = site_rates(sums)
+    key, salt, result = free_name(scored, "site_path"), free_name(scored, "path_salt"), free_name(scored, "quality_class")
     rates = cut(rates).select(F.col("path").alias(key), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias(salt), F.struct("host_rate", "path_rate").alias(free_name(scored, "site_rates")))
-    site = rates.columns[-1]
-    joined = scored.withColumn(key, p).withColumn(salt, F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int")).join(rates, [key, salt])
+    rate = rates.columns[-1]
+    joined = scored.withColumn(key, F.col(site)["path"]).withColumnRenamed(salted, salt).join(rates, [key, salt])
     low, toxic = F.col(name)["low"], F.col(name)["toxic"]
     both = 1 - (1 - _probability(low)) * (1 - _probability(toxic))
     odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.log(both / F.greatest(1 - both, F.lit(1e-13)))))
-    r = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(site)["path_rate"]))
+    r = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(rate)["path_rate"]))
     lift = F.log(r / (1 - r)) - float(np.log(mean / (1 - mean)))
     posterior = odds + SITE_WEIGHT * F.greatest(F.lit(-4.0), F.least(F.lit(4.0), lift))
-    out = joined.withColumn(result, F.struct(low.alias("low"), toxic.alias("toxic"), F.col(site)["host_rate"].alias("host_rate"), F.col(site)["path_rate"].alias("path_rate"), posterior.alias("log_odds"), (posterior > 0).alias("rejected")))
-    return out.select(*docs.columns, result), result
+    out = joined.withColumn(result, F.struct(low.alias("low"), toxic.alias("toxic"), F.col(rate)["host_rate"].alias("host_rate"), F.col(rate)["path_rate"].alias("path_rate"), posterior.alias("log_odds"), (posterior > 0).alias("rejected")))
+    return out.select(*keep, result), result
 
 
 def keep_fit(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
