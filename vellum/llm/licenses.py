@@ -5,9 +5,11 @@ gives the matching statistics: at each word the longest run of words, ending
 there, that occurs in some template; the state and its suffixes know all places of
 the run and of its ends.  Maximal runs of CHAIN_WORDS words or more, at every place
 of every template, are chained by template, in order of text and template, into
-covered spans; each word of a text counts once, for the chain that covers the
-largest share of its template.  A template is found when a chain covers enough of
-it.  Short phrases are runs too: a phrase ends at a word where the statistics reach
+covered spans; each word of a text counts once, for the chain that explains most
+words.  A template is found when a chain covers enough of it and stands out from its
+rivals: where a chain of another label explains as many words of the same stretch,
+the text doesn't tell them apart, and only a template that is covered whole, or
+nearly, and more so than its rivals, gives its label.  Short phrases are runs too: a phrase ends at a word where the statistics reach
 the phrase's state.
 
 Only words that follow each other in some template can start or extend a run, so a
@@ -28,46 +30,11 @@ from pyspark.sql import types as T
 
 from .common import free_name, prepare
 from .kernels import ALNUM, Words, slices
+from .license_texts import PHRASES, TEMPLATES
 
 CHAIN_WORDS = 6
-#: Share of a template that its chains cover when it is found, and words of text between two runs of a chain at most.
-COVERED, GAP = 0.5, 12
-
-# Phrases and the labels that they stand for.
-PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-# Public notices of common licenses, and their labels.
-TEMPLATES = (
-    (
-        "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
-        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
-        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    (
-        "apache-2",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
-        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    ),
-    (
-        "bsd",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above "
-        "copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
-        "disclaimer in the documentation and/or other materials provided with the distribution.",
-    ),
-    (
-        "gpl",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
-        "License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
-        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    ),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
-)
+#: Share of a template that its chain covers when it is found, and when it is covered whole; words of text between two runs of a chain at most.
+COVERED, WHOLE, GAP = 0.5, 0.95, 12
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -191,23 +158,34 @@ class Scanner:
         close(len(tokens), ())
         return phrases, runs
 
-    def chains(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, word after the last, covered share) of chained runs, best first.
+    def chains(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float, bool]]:
+        """(template, first word, word after the last, covered share, whether it gives its label) of chained runs, the most covered first.
 
-        The best chain of any template takes its words of the text, and so on with the
-        words that are left.
+        The chain of any template that explains most words takes these words of the text,
+        and so on with the words that are left.
         """
         out = []
         while runs:
-            used: set[int] = set()
-            for covered, template, pieces in self._best(runs, used):
-                out.append((template, pieces[0][0], pieces[-1][1], covered))
-                used.update(w for first, end in pieces for w in range(first, end))
-            runs = [left for run in runs for left in self._unused(run, used)]
+            owner: dict[int, int] = {}
+            taken: list[tuple[int, float, int, tuple[int, int], list[float]]] = []  # words, share, template, stretch, shares of rivals
+            for words, share, template, pieces in self._best(runs):
+                own = [w for first, end in pieces for w in range(first, end)]
+                met = [owner[w] for w in own if w in owner]
+                if not met:
+                    owner.update(dict.fromkeys(own, len(taken)))
+                    taken.append((words, share, template, (pieces[0][0], pieces[-1][1]), []))
+                else:
+                    chain = taken[max(set(met), key=met.count)]
+                    if chain[0] == words and 2 * len(met) >= words and self.labels[template] != self.labels[chain[2]]:
+                        chain[4].append(share)
+            for _, share, template, (first, end), rivals in taken:
+                stands = share >= COVERED and (not rivals or share >= WHOLE and share > max(rivals))
+                out.append((template, first, end, share, stands))
+            runs = [left for run in runs for left in self._unused(run, owner)]
         return sorted(out, key=lambda s: (-s[3], s))
 
-    def _best(self, runs, used: set[int]):
-        """(covered share, template, pieces (first word, end)) of the best chain that ends with each run, best first, those with used words left out."""
+    def _best(self, runs):
+        """(words, covered share, template, pieces (first word, end)) of the best chain that ends with each run, most words first."""
         runs = sorted(runs, key=lambda r: (r[2], r[0] + r[1], r))
         words, cut, before = [r[1] for r in runs], [0] * len(runs), [-1] * len(runs)
         for i, (first, n, template, place) in enumerate(runs):
@@ -219,18 +197,15 @@ class Scanner:
                     words[i], cut[i], before[i] = words[j] + n - both, both, j
                 j -= 1
         share = [w / self.sizes[r[2]] for w, r in zip(words, runs)]
-        for i in sorted(range(len(runs)), key=lambda i: (-share[i], -words[i], i)):
+        for i in sorted(range(len(runs)), key=lambda i: (-words[i], -share[i], i)):
             pieces, at = [], i
             while at >= 0:
                 pieces.append((runs[at][0] + cut[at], runs[at][0] + runs[at][1]))
-                if not used.isdisjoint(range(*pieces[-1])):
-                    break
                 at = before[at]
-            else:
-                yield share[i], runs[i][2], pieces[::-1]
+            yield words[i], share[i], runs[i][2], pieces[::-1]
 
     @staticmethod
-    def _unused(run, used: set[int]):
+    def _unused(run, used: dict[int, int]):
         """The parts of a run, CHAIN_WORDS long at least, whose words are not used."""
         first, n, template, place = run
         start = first
@@ -271,7 +246,7 @@ def _scanner() -> Scanner:
     return Scanner()
 
 
-_SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("covered", T.DoubleType())])
+_SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("covered", T.DoubleType()), T.StructField("stands", T.BooleanType())])
 _RESULT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -283,13 +258,13 @@ _ARROW = pa.struct(
     [
         ("n_words", pa.int64()),
         ("phrases", pa.list_(pa.struct([("first", pa.int64()), ("label", pa.string())]))),
-        ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("covered", pa.float64())]))),
+        ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("covered", pa.float64()), ("stands", pa.bool_())]))),
     ]
 )
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, str]:
-    """docs with a struct (n_words, phrases (first, label), spans (label, first, end, covered)), and its name."""
+    """docs with a struct (n_words, phrases (first, label), spans (label, first, end, covered, stands)), and its name."""
     prepare(docs.sparkSession)
     name, at = free_name(docs, "licenses"), docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, _RESULT)])
@@ -303,7 +278,7 @@ def scan_licenses(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, st
                 found = scanner.scan(words)
                 for i, n in enumerate(words.counts.tolist()):
                     phrases, spans = found.get(i, ((), ()))
-                    rows.append({"n_words": n, "phrases": [{"first": w, "label": scanner.phrase_labels[p]} for w, p in sorted(phrases)], "spans": [{"label": scanner.labels[t], "first": a, "end": b, "covered": c} for t, a, b, c in spans]})
+                    rows.append({"n_words": n, "phrases": [{"first": w, "label": scanner.phrase_labels[p]} for w, p in sorted(phrases)], "spans": [{"label": scanner.labels[t], "first": a, "end": b, "covered": c, "stands": d} for t, a, b, c, d in spans]})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW)], names=schema.names)
 
     return docs.mapInArrow(run, schema), name

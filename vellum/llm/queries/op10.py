@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..common import table
-from ..licenses import COVERED, scan_licenses
+from ..licenses import scan_licenses
 
 NAME = "op10_license_scan"
 
@@ -13,7 +13,7 @@ def query(spark, sf_dir):
     c = F.col(name)
     places = F.transform(c["phrases"], lambda x: x["first"])
     base = F.transform(c["phrases"], lambda x: x["label"])
-    own = F.transform(F.filter(c["spans"], lambda x: x["covered"] >= COVERED), lambda x: x["label"])
+    own = F.transform(F.filter(c["spans"], lambda x: x["stands"]), lambda x: x["label"])
     best = F.coalesce(F.array_max(F.transform(c["spans"], lambda x: x["covered"])), F.lit(0.0))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return found.select(
