@@ -1,27 +1,32 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
-Each rule is a regular expression together with the literals it can't do without,
-which are given by hand: no expression is parsed, and a wrong literal would lose
-matches.  Its trigram query is derived from the literals: one of the alternatives, and all trigrams
-of that alternative's literals.  The index holds a posting (trigram, document)
-for every trigram of any query that occurs in a document's lower-cased text.
-A rule's candidates are the documents whose postings satisfy its query; they are
-verified with the rule's expression.  A rule without a mandatory trigram has no
-query, and every document is its candidate, even if its expression has some.
-
-The postings of a document stay together in its row as an array, so the index
-takes no shuffle and its lists can't grow hot; ``postings`` gives it as rows.  Scans test the
-trigrams within each row and intersect no posting lists.
-
-Defined cases: a null text is empty; repeated rows each get their own result;
-positions are in code points, the end exclusive; other columns pass through.
+Each rule is a regular expression.  Its Boolean trigram query is derived from the
+parsed expression (``query_of``): literals, small classes, alternatives and bounded
+repeats are spelt out as far as SPELT strings go, whatever they can't do without
+becomes an AND of trigrams, alternatives become an OR, and anything else asks for
+nothing.  Case is folded on both sides, so a query holds for either.
+
+The index has a posting (trigram, text) for every trigram of any query that occurs
+in a lower-cased text; texts go by a hash, so copies share their postings, and two
+texts of one hash could only add candidates.  A rule's candidates are the texts that
+have a posting for every trigram of one of the query's alternatives: posting lists
+are intersected by counting, per text, after partial counts where the text was read.
+Candidates come back to the documents by that hash and are verified with the
+expression.  A rule without a mandatory trigram, or with an expression that the
+parser doesn't know, has no query, and every document is its candidate.
+
+Defined cases: a null text is empty; repeated rows each get their own result; an
+empty table gives no rows; positions are in code points, the end exclusive; other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import dataclasses
-import functools
 import itertools
+import re
+from re import _constants as C
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,76 +36,173 @@ from .common import free_name, prepare, text_of
 
 @dataclasses.dataclass(frozen=True)
 class Rule:
-    """kind: name.  pattern: Java expression whose leftmost matches, without overlap, count if ``least`` characters of
-    ``group`` match.  needs: alternatives, each of literals that every match holds, in any case."""
+    """kind: name.  pattern: expression, in what Java's and Python's syntax share, whose leftmost matches, without overlap,
+    count if ``least`` characters of ``group`` match."""
 
     kind: str
     pattern: str
     least: int = 1
     group: int = 0
-    needs: tuple[tuple[str, ...], ...] = ()
 
 
 # The base rules.  A match of fewer characters than asked for is dropped and not tried again, which a
 # bounded repeat gives at once where a run can't be parted; `assign` needs its check on group 2 afterwards.
 BASE = (
-    Rule(
-        "assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2,
-        (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)),
-    ),
-    Rule("access", r"AKIA[A-Z0-9]{16,}", 20, 0, (("akia",),)),
+    Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", 24),
 )
 # Public formats of further credentials.
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 1, 0, (("-----begin ", "private key-----"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0, (("eyj", ".eyj"),)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40, 0, tuple((f"gh{c}_",) for c in "pousr")),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, 0, tuple((f"xox{c}-",) for c in "abprs")),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{0,19}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@", 1, 0, (("://",),)),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{0,19}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
 )
 RULES = BASE + ADDED
 
 
-def trigrams(literal: str) -> list[str]:
-    return sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
+#: Strings that a part of an expression is spelt out to at most, and alternatives of a query; beyond that it asks for less.
+SPELT = 64
+
+# A query is a set of alternatives, each a set of trigrams that must all occur; one empty alternative asks for nothing.
+Query = frozenset[frozenset[str]]
+ANYTHING: Query = frozenset([frozenset()])
+
+
+def trigrams(literal: str) -> frozenset[str]:
+    return frozenset(literal[i : i + 3] for i in range(len(literal) - 2))
+
+
+def _either(queries: list[Query]) -> Query:
+    """The alternatives of all, those left out that ask for all that another one asks for."""
+    every = set().union(*queries)
+    least = frozenset(a for a in every if not any(b < a for b in every))
+    return least if len(least) <= SPELT else ANYTHING
+
+
+def _both(a: Query, b: Query) -> Query:
+    """Both queries, or the one of fewer alternatives where spelling out both is too much."""
+    if len(a) * len(b) > SPELT:
+        return min((a, b), key=lambda q: (q == ANYTHING, len(q)))
+    return _either([frozenset(x | y for x in a for y in b)])
+
+
+def _strings(op, value) -> set[str] | None:
+    """All strings that a part can match, in lower case; None if they are too many or aren't known."""
+    if op is C.LITERAL:
+        return {chr(value).lower()} if value < 128 else None
+    if op is C.IN:
+        out: set[str] = set()
+        for kind, v in value:
+            codes = [v] if kind is C.LITERAL else range(v[0], v[1] + 1) if kind is C.RANGE and v[1] - v[0] < SPELT else None
+            if codes is None or any(c > 127 for c in codes):  # classes, negation
+                return None
+            out |= {chr(c).lower() for c in codes}
+        return out if len(out) <= 8 else None
+    if op is C.SUBPATTERN:
+        return _sequence_strings(value[3])
+    if op is C.ATOMIC_GROUP:
+        return _sequence_strings(value)
+    if op is C.BRANCH:
+        parts = [_sequence_strings(p) for p in value[1]]
+        return None if None in parts else _few(set().union(*parts))
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+        low, high, inner = value
+        one = _sequence_strings(inner) if high <= SPELT else None
+        out, now = set(), {""}
+        for times in range(high + 1 if one else 0):
+            if times >= low:
+                out |= now
+            now = _few({x + y for x in now for y in one})
+            if now is None:
+                return None if times < high else _few(out)
+        return _few(out) if one else None
+    if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+        return {""}
+    return None
+
+
+def _few(strings: set[str]) -> set[str] | None:
+    return strings if len(strings) <= SPELT else None
+
+
+def _sequence_strings(parts) -> set[str] | None:
+    out: set[str] | None = {""}
+    for op, value in parts:
+        own = _strings(op, value)
+        out = None if own is None else _few({x + y for x in out for y in own})
+        if out is None:
+            return None
+    return out
+
+
+def _asked(op, value) -> Query:
+    """The query of a part that can't be spelt out."""
+    if op is C.SUBPATTERN:
+        return _sequence(value[3])
+    if op is C.ATOMIC_GROUP:
+        return _sequence(value)
+    if op is C.BRANCH:
+        return _either([_sequence(p) for p in value[1]])
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) and value[0] >= 1:
+        return _sequence(value[2])
+    return ANYTHING
+
+
+def _sequence(parts) -> Query:
+    """What parts one after another ask for: trigrams of the strings that stand together, and of the parts between them."""
+    run, asked = {""}, ANYTHING
+    spelt = lambda strings: _either([frozenset([trigrams(x)]) for x in strings])
+    for op, value in parts:
+        own = _strings(op, value)
+        if own is not None and len(run) * len(own) <= SPELT:
+            run = {x + y for x in run for y in own}
+        else:
+            asked = _both(asked, spelt(run))
+            run = {""} if own is None else own
+            if own is None:
+                asked = _both(asked, _asked(op, value))
+    return _both(asked, spelt(run))
 
 
 def query_of(rule: Rule) -> list[list[str]]:
-    """The rule's trigram query, an OR of ANDs; empty if some alternative has no trigram."""
-    ands = [sorted({t for literal in literals for t in trigrams(literal)}) for literals in rule.needs]
-    return ands if all(ands) else []
+    """The rule's trigram query, derived from its expression: an OR of ANDs; empty if it has no mandatory trigram."""
+    try:
+        asked = _sequence(_parser.parse(rule.pattern))
+    except re.error:  # Java's own syntax
+        return []
+    return [] if asked == ANYTHING else sorted(sorted(a) for a in asked)
 
 
 def _vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted(set(itertools.chain.from_iterable(a for r in rules for a in query_of(r))))
 
 
-def with_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> tuple[DataFrame, str]:
-    """docs with the array of their postings, and its name.
+def text_key(body: Column) -> Column:
+    return F.xxhash64(body)
 
-    Only trigrams that some query asks for are indexed, so a document has a
-    bounded number of postings, whatever its length.
-    """
-    prepare(docs.sparkSession)
-    name, low = free_name(docs, "trigrams"), free_name(docs, "lower_text")
-    lowered = docs.withColumn(low, F.lower(text_of(docs, text)))
-    found = F.array_compact(F.array(*[F.when(F.contains(F.col(low), F.lit(t)), F.lit(t)) for t in _vocabulary(rules)]))
-    return lowered.withColumn(name, found).drop(low), name
 
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
+    """The inverted index (trigram, text_key): trigrams that some query asks for, and the texts that have them, each pair once."""
+    prepare(docs.sparkSession)
+    body = text_of(docs, text)
+    low = docs.select(text_key(body).alias("text_key"), F.lower(body).alias("low"))
+    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in _vocabulary(rules)]).cast("array<string>"))
+    return low.select("text_key", F.explode(found).alias("trigram")).distinct().select("trigram", "text_key")
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index as rows (trigram, doc_id)."""
-    indexed, name = with_index(docs, rules, text=text)
-    return indexed.select(F.explode(name).alias("trigram"), F.col(doc_id).alias("doc_id"))
 
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(text_key, rules): numbers of the rules whose query a text's postings satisfy.
 
-def is_candidate(rule: Rule, name: str) -> Column:
-    """Whether a document's postings satisfy the rule's query."""
-    ands = query_of(rule)
-    if not ands:
-        return F.lit(True)
-    return functools.reduce(lambda a, b: a | b, [F.size(F.array_intersect(F.col(name), F.array(*[F.lit(t) for t in a]))) == len(a) for a in ands])
+    Each alternative's posting lists are intersected by counting the texts' entries in
+    them; the queries, a few rows for each rule, are broadcast.
+    """
+    asked = [(rank, number, t, len(a)) for rank, rule in enumerate(rules) for number, a in enumerate(query_of(rule)) for t in a]
+    queries = index.sparkSession.createDataFrame(asked, "rank int, alternative int, trigram string, needed int")
+    met = index.join(F.broadcast(queries), "trigram").groupBy("text_key", "rank", "alternative", "needed").agg(F.count("*").alias("n")).where("n = needed")
+    return met.groupBy("text_key").agg(F.collect_set("rank").alias("rules"))
 
 
 def _matches(rule: Rule, text: Column) -> Column:
@@ -130,16 +232,18 @@ def _labelled(spans: Column, rank: int, kind: str) -> Column:
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> tuple[DataFrame, str]:
     """docs with an array of (start, rank, end, kind), sorted by start and then the rules' order (rank), and its name."""
-    indexed, index = with_index(docs, rules, text=text)
-    name = free_name(indexed, "secrets")
+    prepare(docs.sparkSession)
+    key, own, name = (free_name(docs, n) for n in ("text_key", "candidate_rules", "secrets"))
+    found = candidates(postings(docs, rules, text=text), rules).withColumnsRenamed({"text_key": key, "rules": own})
+    joined = docs.withColumn(key, text_key(text_of(docs, text))).join(found, key, "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     body = text_of(docs, text)
     each = []
     for rank, rule in enumerate(rules):
-        # the verifier runs where the query holds and the expression is met at all
-        spans = F.when(is_candidate(rule, index) & body.rlike(rule.pattern), _matches(rule, body)).otherwise(none)
-        each.append(_labelled(spans, rank, rule.kind))
-    return indexed.withColumn(name, F.array_sort(F.concat(*each))).drop(index), name
+        may = F.coalesce(F.array_contains(own, rank), F.lit(False)) if query_of(rule) else F.lit(True)
+        # the verifier runs on candidates that meet the expression at all
+        each.append(_labelled(F.when(may & body.rlike(rule.pattern), _matches(rule, body)).otherwise(none), rank, rule.kind))
+    return joined.select(*docs.columns, F.array_sort(F.concat(*each)).alias(name)), name
 
 
 def listed(name: str, keep=None) -> Column:
