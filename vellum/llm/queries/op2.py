@@ -18,5 +18,6 @@ def vocabulary() -> str:
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = with_token_counts(docs, vocabulary())
-    return counted.select("doc_id", F.octet_length(text_of(counted)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    counted, name = with_token_counts(docs, vocabulary())
+    tokens = F.col(name)
+    return counted.select("doc_id", F.octet_length(text_of(counted)).cast("long").alias("n_bytes"), tokens.alias("n_tokens"), (tokens > LIMIT).alias("over_limit"))

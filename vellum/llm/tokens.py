@@ -10,14 +10,21 @@ first met and kept as arrays; all pieces of a slice step through them together.
 
 Pieces (words with their leading space, numbers, symbols, white space) come from
 a rule with a bounded window over character classes, so the transducer is back
-in its first state at every piece's start.  A long piece is cut into chunks.
-No state maps are made or composed: all chunks run at once from a guessed entry,
-the first state, and those whose entry turns out otherwise run again until every
-entry is its predecessor's exit, in as many rounds as there are chunks at worst.
+in its first state at every piece's start.  A long piece is cut into chunks.  A
+chunk's state map takes entry states to exit states and token counts; it is made for
+the first state and for every exit of the map before it, all chunks side by side,
+until the maps are closed under each other: two or three rounds where the transducer
+forgets its entry within a chunk, as many as chunks at worst.  The maps then compose
+through a parallel prefix scan, each step doubling the chunks that an entry of a map
+spans.
+
+MAX_STATES bounds the memory of a worker: beyond it the transducer starts afresh with
+the next slice, which alters no count.
 
 Defined cases: a null text is empty and has no tokens; repeated rows each get
-their own count; a special token's string inside a text is that one token, and
-the text on either side stands for itself.
+their own count; an empty table gives no rows; a special token's string inside a
+text is that one token, and the text on either side stands for itself; other columns
+pass through, and the counts take a free name.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import free_name, prepare
 from .kernels import text_buffers
 
 CHUNK = 64
@@ -236,19 +243,41 @@ class Transducer:
             first = np.cumsum(chunks) - chunks
             at = starts[long][piece] + (np.arange(len(piece)) - first[piece]) * width[piece]
             size = np.minimum(width[piece], ends[long][piece] - at)
-            entry, stale = np.zeros(len(piece), np.int64), np.arange(len(piece))
-            leave, total = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
-            inner = np.ones(len(piece), bool)
-            inner[first] = False
-            while len(stale):
-                leave[stale], total[stale] = self.run(body, at[stale], size[stale], entry[stale])
-                due = entry.copy()
-                due[1:][inner[1:]] = leave[:-1][inner[1:]]
-                stale = np.flatnonzero(due != entry)
-                entry = due
-            out[long] = np.add.reduceat(total, first)
+            last = np.zeros(len(piece), bool)
+            last[first + chunks - 1] = True
+            out[long] = compose(*self.state_maps(body, at, size, last), last)[: len(piece)][first]
         return out
 
+    def state_maps(self, body: np.ndarray, at: np.ndarray, size: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks' maps as entries (chunk, entry state, exit state, tokens), first each chunk's from the first state; last: chunks that end a piece.
+
+        Closed: an exit of a chunk is an entry of the next one's map.
+        """
+        chunk, entry = np.arange(len(at)), np.zeros(len(at), np.int64)
+        made = []
+        known = np.empty(0, np.int64)
+        while len(chunk):
+            leave, total = self.run(body, at[chunk], size[chunk], entry)
+            made.append((chunk, entry, leave, total))
+            known = np.union1d(known, entry << 32 | chunk)
+            go = ~last[chunk]
+            due = np.setdiff1d(leave[go] << 32 | chunk[go] + 1, known)
+            chunk, entry = due & 0xFFFFFFFF, due >> 32
+        return tuple(np.concatenate(x) for x in zip(*made))
+
+
+def compose(chunk: np.ndarray, entry: np.ndarray, leave: np.ndarray, total: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each entry of the maps the tokens from its chunk to the piece's end, by composing maps over twice as many chunks at each step."""
+    order = np.argsort(entry << 32 | chunk)
+    keys = (entry << 32 | chunk)[order]
+    there = np.searchsorted(keys, leave << 32 | chunk + 1)
+    after = np.where(last[chunk], -1, order[np.minimum(there, len(order) - 1)])
+    total = total.copy()
+    while (go := after >= 0).any():
+        total = total + np.where(go, total[after], 0)
+        after = np.where(go, after[after], -1)
+    return total
+
 
 def pieces(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the pieces of all texts of a slice; no piece crosses an offset."""
@@ -337,15 +366,14 @@ def count_column(texts: pa.Array, path: str) -> np.ndarray:
     return out
 
 
-def with_token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """docs with a column of token counts.  vocabulary: path of a byte-level BPE file, the same on every machine."""
+def with_token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with a column of token counts, and its name.  vocabulary: path of a byte-level BPE file, the same on every machine."""
     prepare(docs.sparkSession)
-    if out.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the table has a column {out} already")
-    schema, at = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]), docs.columns.index(text)
+    name = free_name(docs, "n_tokens")
+    schema, at = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]), docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count_column(batch.column(at), vocabulary), pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), name
