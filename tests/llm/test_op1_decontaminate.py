@@ -55,6 +55,18 @@ def test_blocks_and_names(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(docs) if not brute(t, items)[-1]}
 
 
+def test_long_text_and_repeats(spark):
+    """A text of many slices, its hits far apart, and copies of it, in one block and in many."""
+    item = " ".join(f"b{i}" for i in range(20))
+    text = ("pad " * 400_000) + item + (" pad" * 100_000) + " " + item
+    docs = documents(spark, [(1, text), (1, text), (2, text), (3, None)])
+    bench = spark.createDataFrame([(1, item), (2, " ".join(f"b{i}" for i in range(5, 19))), (3, "other words " * 50)], "item_id long, text string")
+    for size in (1 << 20, 200):
+        marked, name = find_contamination(docs, bench, block_bytes=size)
+        got = sorted((r.doc_id, r[name].n_words, tuple(r[name].ranges), tuple(r[name]["items"])) for r in marked.collect())
+        assert got == [(i, 500_040, (400_000, 400_020, 500_020, 500_040), ("1", "2")) for i in (1, 1, 2)] + [(3, 0, (), ())]
+
+
 def test_empty(spark):
     docs, bench = documents(spark, ["a b", None]), spark.createDataFrame([], "item_id long, text string")
     marked, name = find_contamination(docs, bench)

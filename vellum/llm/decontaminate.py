@@ -6,9 +6,12 @@ so each shared span of WINDOW words or more shows up as a shared fingerprint;
 such hits are extended to the whole window and checked on all of its words.
 Items with fewer words are one window of their own length, fingerprinted whole.
 
-Documents never move: the index of the test side is broadcast in blocks of at
-most BLOCK_BYTES of item text, however large that side is, and each block is
-one more map over the documents.  The test side is measured first.
+The test side is measured first and indexed in blocks of at most BLOCK_BYTES of
+item text; fingerprints meet in a join whose test side is broadcast, a block at a
+time.  One block: documents are read once and never move.  More blocks: each has a
+pass of its own over the texts, which writes the hits of the texts that have any and
+then gives its memory back; at the end the hits of all blocks come together by text
+and join the documents, so workers hold one block whatever the test side's size.
 
 Defined cases: a null or wordless document has no words and no hits; a null or
 wordless item has no windows; repeated rows each get their own result; items
@@ -18,13 +21,15 @@ Other columns pass through untouched, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, prepare, text_of
+from .common import cut, free_name, prepare, text_of
 from .kernels import ALNUM, U64, Words, gram_at, grams, slices
 
 WINDOW, GRAM = 13, 5
@@ -153,15 +158,18 @@ def _scan_column(texts: pa.Array, index: Index):
     return counts, ranges, found
 
 
-def blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int = BLOCK_BYTES):
-    """The test side in blocks, each of about block_bytes of text at most, one at a time on the driver."""
+def blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[Index]]:
+    """The test side in blocks, each of about block_bytes of text at most: their number, and one at a time on the driver."""
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), text_of(benchmark, item_text).alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // block_bytes))
-    for k in range(n):
-        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        got = own.collect()
-        yield Index([r[0] for r in got], [r[1] for r in got])
+
+    def made():
+        for k in range(n):
+            got = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()
+            yield Index([r[0] for r in got], [r[1] for r in got])
+
+    return n, made()
 
 
 def find_contamination(
@@ -174,26 +182,58 @@ def find_contamination(
     """
     spark = prepare(docs.sparkSession)
     name = free_name(docs, "contamination")
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    arrow_kind = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    width, schema, out = len(docs.columns), T.StructType([*docs.schema.fields, T.StructField(name, kind)]), docs
-    at = docs.columns.index(text)
-    for index in blocks(benchmark, item_id, item_text, block_bytes):
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, _RESULT)])
+    n, indexes = blocks(benchmark, item_id, item_text, block_bytes)
+    width, at = len(docs.columns), docs.columns.index(text)
+    if n == 1:
+        held = spark.sparkContext.broadcast(next(indexes))
+
+        def scan(batches):
+            for batch in batches:
+                yield _with_result(batch, width, _scan_column(batch.column(at), held.value), schema.names)
+
+        return docs.mapInArrow(scan, schema), name
+
+    # equal texts have equal hits: texts go by two hashes, 128 bits in all
+    keys = [free_name(docs, c) for c in ("text_key_a", "text_key_b")]
+    body = text_of(docs, text)
+    key = {k: F.xxhash64(F.lit(i), body) for i, k in enumerate(keys)}
+    texts, parts = docs.select(body.alias("t"), *[v.alias(k) for k, v in key.items()]), None
+    for index in indexes:
         held = spark.sparkContext.broadcast(index)
 
-        def run(batches, held=held):
+        def hits(batches, held=held):
             for batch in batches:
-                counts, ranges, found = _scan_column(batch.column(at), held.value)
-                if batch.num_columns > width:  # what earlier blocks have found
-                    for i, old in enumerate(batch.column(width).to_pylist()):
-                        if old["items"]:
-                            ranges[i] = _merged([*zip(ranges[i][::2], ranges[i][1::2]), *zip(old["ranges"][::2], old["ranges"][1::2])])
-                            found[i] = sorted({*found[i], *old["items"]})
-                result = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ranges, arrow_kind[1].type), pa.array(found, arrow_kind[2].type)], fields=list(arrow_kind))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], result], names=schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out, name
+                _, ranges, found = _scan_column(batch.column(0), held.value)
+                some = [i for i, x in enumerate(found) if x]
+                take = pa.array(some, pa.int64())
+                lists = [pa.array([x[i] for i in some], _ARROW[k].type) for k, x in ((1, ranges), (2, found))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *lists], names=[*keys, "ranges", "items"])
+
+        own = cut(texts.mapInArrow(hits, f"{keys[0]} long, {keys[1]} long, ranges array<int>, items array<string>").dropDuplicates(keys))
+        held.destroy()
+        parts = own if parts is None else parts.union(own)
+    lists = [free_name(docs, c) for c in ("hit_ranges", "hit_items")]
+    merged = parts.groupBy(*keys).agg(*[F.collect_list(c).alias(x) for c, x in zip(("ranges", "items"), lists)])  # one entry a block at most
+    joined = docs.withColumns(key).join(merged, keys, "left").select(*docs.columns, *lists)
+
+    def merge(batches):
+        for batch in batches:
+            counts = [n for _, _, own, offsets in slices(batch.column(at)) for n in Words(own, offsets, ALNUM).counts.tolist()]
+            old = [[x or [] for x in batch.column(width + i).to_pylist()] for i in (0, 1)]
+            ranges = [_merged([r for flat in x for r in zip(flat[::2], flat[1::2])]) for x in old[0]]
+            yield _with_result(batch, width, (counts, ranges, [sorted({i for own in x for i in own}) for x in old[1]]), schema.names)
+
+    return joined.mapInArrow(merge, schema), name
+
+
+_RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+_ARROW = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
+
+def _with_result(batch: pa.RecordBatch, width: int, found: tuple[list, list, list], names: list[str]) -> pa.RecordBatch:
+    result = pa.StructArray.from_arrays([pa.array(x, kind.type) for x, kind in zip(found, _ARROW)], fields=list(_ARROW))
+    return pa.RecordBatch.from_arrays([*batch.columns[:width], result], names=names)
 
 
 def hit_count(name: str):
