@@ -72,6 +72,9 @@ def test_components(spark):
         root[x] = min(seen)
     got = dict(map(tuple, graph.components(frame).collect()))
     assert got == root and got[340] == 300 and got[559] == 500
+    rng.shuffle(edges)
+    parts = [spark.createDataFrame(edges[k::2], "a long, b long") for k in (0, 1)]
+    assert dict(map(tuple, graph.joined_components(graph.components(parts[0]), parts[1]).collect())) == root
 
 
 def test_repeated_rows_and_columns(spark):

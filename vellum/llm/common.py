@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch; sessions that set it themselves keep their value.
@@ -71,6 +71,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, what) -> tuple[DataFrame, int]:
+    """cut, and how many rows meet ``what``, counted while they are written."""
+    seen = Observation()
+    made = cut(df.observe(seen, F.count_if(what).alias("n")))
+    return made, seen.get["n"]
+
+
 #: Numbers of one coarse group of running_starts.
 COARSE = 1024
 

@@ -17,10 +17,10 @@ Within a bucket candidates form a star around its smallest class, so a bucket of
 n gives n-1 pairs.  Candidates are confirmed on full shingle sets; confirmed
 links join components.  Buckets that then still hold several components are split:
 each of their members goes to the CELLS smaller buckets of its single bin values,
-each a star again, around a member drawn by a hash of member and bucket, so that
+each with DRAWS stars, around members drawn by a hash of member and bucket, so that
 each star has another centre.  That goes on with other draws for as long as it
-joins anything.  A round has CELLS pairs for each member at most, however large
-the bucket was; what many texts of a bucket share takes up few of the bins of two
+joins anything.  A round has CELLS * DRAWS pairs for each member at most, however
+large the bucket was; what many texts of a bucket share takes up few of the bins of two
 texts that resemble each other by 0.8, so they meet in small ones.
 
 A star's centre is copied to as many salted parts as its members need; members
@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, prepare
-from .graph import components
+from .common import cut, cut_counting, free_name, prepare
+from .graph import components, joined_components
 from .kernels import NONSPACE, U64, Words, mix64, shingle_sets, slices
 
 BINS, ROWS = 256, 6
@@ -50,6 +50,8 @@ BANDS = BINS // ROWS
 SIGNATURE_BINS, SLACK = 1024, 20
 #: Members that one copy of a star's centre meets, and bins whose single values split a bucket.
 STAR, CELLS = 256, 64
+#: Centres that a round draws in each of the smaller buckets.
+DRAWS = 4
 
 
 def _donors() -> np.ndarray:
@@ -205,50 +207,44 @@ def _may_link(percent: int):
     return F.expr(f"{sizes} and {sure} and {estimate}")
 
 
-def _links(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links that join the similar members (bucket, id) of buckets; heads: (id, n, bits)."""
+def _groups(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, label): components of the similar members (bucket, id) of buckets; heads: (id, n, bits)."""
     there = heads.select(F.col("id").alias("centre"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
 
-    def stars(spots: DataFrame, key: str, order) -> DataFrame:
-        """(centre, member, count): each member of a bucket with its centre, where sizes and signatures allow a link."""
-        centre = spots.groupBy(key).agg(F.min(F.struct(order.alias("order"), "id")).alias("c"), F.count("*").alias("size")).where("size > 1").select(key, F.col("c.id").alias("centre"))
-        near = spots.join(centre, key).where("id <> centre").groupBy("id", "centre").count()
-        return near.join(heads, "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"), "count")
-
-    found = cut(stars(members, "bucket", F.col("id")))
-    # first each member with the centre it shares most buckets with, which settles most buckets
-    best = found.groupBy("member").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("b"))
-    tested = cut(best.select((-F.col("b.minus")).alias("centre"), "member"))
-    links = cut(confirm(tested, texts, shingle, percent))
-    labels = components(links)
+    def stars(spots: DataFrame, key: str, orders: list) -> DataFrame:
+        """(centre, member): each member of a bucket with its centres, the first of each order, where sizes and signatures allow a link."""
+        first = [F.min(F.struct(order.alias("order"), "id"))["id"].alias(f"c{i}") for i, order in enumerate(orders)]
+        centre = spots.groupBy(key).agg(*first, F.count("*").alias("size")).where("size > 1")
+        centre = centre.select(key, F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(len(orders))]))).alias("centre"))
+        near = spots.join(centre, key).where("id <> centre").select("id", "centre").distinct()
+        return near.join(heads, "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"))
+
+    tested = cut(stars(members, "bucket", [F.col("id")]))
+    labels = components(cut(confirm(tested, texts, shingle, percent)))
     label = lambda column: labels.withColumnsRenamed({"node": column, "label": f"{column}_label"})
 
     def settle(pairs: DataFrame) -> bool:
         """Confirms pairs of different components that no round has had yet; whether that joins any."""
-        nonlocal links, tested, labels
+        nonlocal tested, labels
         apart = pairs.join(label("centre"), "centre", "left").join(label("member"), "member", "left").where("coalesce(centre_label, centre) <> coalesce(member_label, member)")
         had = tested.union(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
-        fresh = cut(apart.select("centre", "member").distinct().join(had, ["centre", "member"], "left_anti"))
-        if not fresh.limit(1).count():
-            return False
-        more = cut(confirm(fresh, texts, shingle, percent))
+        fresh, pairs_left = cut_counting(apart.select("centre", "member").distinct().join(had, ["centre", "member"], "left_anti"), F.lit(True))
+        more, joined = cut_counting(confirm(fresh, texts, shingle, percent), F.lit(True)) if pairs_left else (None, 0)
         tested = tested.union(fresh)
-        if not more.limit(1).count():
+        if not joined:
             return False
-        links = links.union(more)
-        labels = components(links)
+        labels = joined_components(labels, more)
         return True
 
-    settle(found)  # all other stars
     named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
     # of two members one is the centre, and their pair is done
     open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
     left = named.join(open_, "bucket").select("id").distinct()
     cells = cut(texts.join(left, "id", "left_semi").mapInArrow(_cell_map(shingle), "id long, cell long"))
     draw = 0
-    while settle(stars(cells, "cell", F.xxhash64("id", "cell", F.lit(draw)))):
-        draw += 1
-    return links
+    while settle(stars(cells, "cell", [F.xxhash64("id", "cell", F.lit(draw + i)) for i in range(DRAWS)])):
+        draw += DRAWS
+    return labels
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -272,7 +268,7 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     heads = classes.select("id", F.col("n_shingles").alias("n"), "bits")
     chosen = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_hash")
     texts = cut(source.join(chosen, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text"))
-    labels = components(_links(members, heads, texts, shingle, percent)).withColumnRenamed("node", "id")
+    labels = _groups(members, heads, texts, shingle, percent).withColumnRenamed("node", "id")
     labelled = classes.select("id", "doc_id", *same_set).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component"))
     heads = labelled.join(smallest, "label").select(*same_set, "component")
