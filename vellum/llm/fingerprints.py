@@ -8,9 +8,11 @@ a short document in a long one shows.
 A fingerprint is a string: number of shingles, a hash of the whole set, and the
 kept hashes in order, base64 of KEEP_BYTES bytes each.  Equal texts have equal
 fingerprints; documents too short for any kept hash still differ in the set's
-hash.  Of n shingles none is kept with probability 0.75 ** n (24 % at 5, 6 % at 10,
-0.3 % at 20); likeness and containment are then 0 for all but equal sets, which is
-no estimate.  Below some 50 shingles estimates are rough.
+hash.  One fixed fraction, a half, serves all sizes.  What it can tell: of n shingles
+none is kept with probability 0.5 ** n (3 % at 5, 0.1 % at 10), and likeness and
+containment are then 0 for all but equal sets, which is no estimate; at a similarity
+of 0.8 the root mean square error (20,000 simulated pairs each) is 0.27 for a union of
+5 shingles, 0.15 of 10, 0.10 of 20, 0.06 of 50, 0.04 of 100, 0.03 of 200.
 
 Defined cases: a null text is empty; an empty set has a fingerprint of its own,
 like itself alone; a text with fewer words than a shingle has its whole word
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 from .common import free_name, prepare, text_of
 from .kernels import ALNUM, U64, Words, mix64, shingle_sets, slices
 
-SHINGLE, SCALE, KEEP_BYTES = 5, 4, 5
+SHINGLE, SCALE, KEEP_BYTES = 5, 2, 5
 _LIMIT = U64((1 << 64) // SCALE)
 
 
