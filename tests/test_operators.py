@@ -169,3 +169,30 @@ def test_files(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd")], "doc_id long, row_idx int, text string")
     grid.write_grid(rows, str(tmp_path / "out"), numbers=True)
     assert [r.value for r in spark.read.text(str(tmp_path / "out" / "doc_id=1")).collect()] == ["   1 ab", "   2 cd"]
+
+
+def test_rejection(spark):
+    paths = ["/a/b.pdf", "/a/.pdf", "/a/pdf", "pdf", "x.PDF", "/a.pdf/b", "..pdf", "/a/b.pdf/", "a.b.pdf"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").orderBy("i").select(readers.rejection(F.lit(True), F.lit(True), F.col("p"))).collect()
+    assert [r[0] is None for r in rows] == [True, False, False, False, False, False, True, True, True]
+
+
+def test_pasted_text(spark):
+    """A block loses its indent; plain lines stay; nothing becomes a space; rows below come 80 wide."""
+    docs = spark.createDataFrame([(1, "  ab\n  cd"), (2, " a\nbcd"), (3, ""), (4, "\t")], "doc_id long, t string").withColumn("text", F.lit("abc"))
+    grids = grid.text_grid(docs, keep=("t",))
+    rows = edit.pasted_text(grids, F.col("t"), F.lit(24), F.lit(1)).where("row_idx >= 24").orderBy("doc_id", "row_idx").collect()
+    assert [(r.doc_id, r.text.rstrip(), len(r.text)) for r in rows] == [(1, " ab", 3), (1, " cd", 80), (2, "  a", 3), (2, " bcd", 80), (3, "", 3), (4, "", 5)]
+
+
+def test_glyph_offsets(spark):
+    """Offsets of lines longer than a block of pieces, by plain splitting."""
+    rng = random.Random(7)
+    texts = [" ".join("x" * rng.randint(0, 5) for _ in range(n)) for n in (0, 1, 63, 64, 65, 129, 700)]
+    got = views.words(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for i, t in enumerate(texts):
+        want, at = [], 0
+        for j, w in enumerate(t.split(" ")):
+            want.append((j, at, w))
+            at += len(w) + 1
+        assert sorted((r.j, r.off, r.content) for r in got if r.doc_id == i) == want

@@ -35,6 +35,11 @@ def moved(cursors: DataFrame, length: Column) -> DataFrame:
     return cursors.select("doc_id", "position", up.alias("up"), down.alias("down"), left.alias("left"), right.alias("right"))
 
 
+def line_ends(cursors: DataFrame) -> DataFrame:
+    """(doc_id, position, home, end): where Home and End move each cursor of at_line."""
+    return cursors.select("doc_id", "position", F.col("start").alias("home"), (F.col("start") + F.col("reach")).alias("end"))
+
+
 def editor_status(line: Column, col: Column, selected: Column) -> Column:
     """The editor's status line; ``selected`` characters, null without a selection."""
     place = F.format_string("Line %d, Col %d ", line + 1, col + 1)

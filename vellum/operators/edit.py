@@ -88,15 +88,23 @@ def pasted_grids(grids: DataFrame, piece: Column, row: Column, col: Column, new_
 def pasted_text(grids: DataFrame, text: Column, row: Column, col: Column) -> DataFrame:
     """Rows after a text of another program is pasted at (row, col), the grid growing.
 
-    A rectangular block, by ``is_block``, loses its common indent, and new rows are 80
-    columns wide at least; other texts go in line by line, an empty one as a space.
+    A rectangular block, by ``is_block``, loses its common indent; other texts go in line
+    by line, an empty one as a space.  New rows are 80 columns wide at least.
     """
     held = grids.withColumn("_lines", text_lines(sanitise(text)))
     held = held.withColumn("_block", is_block(F.col("_lines")))
     plain = F.when(F.size("_lines") == 0, F.array(F.lit(" "))).otherwise(F.col("_lines"))
     clip = F.when(F.col("_block"), common_indent_removed(F.col("_lines"))).otherwise(plain)
-    new_width = F.when(F.col("_block"), F.greatest(F.col("width"), F.lit(80))).otherwise(F.col("width"))
-    return pasted_grids(held, clip, row, col, new_width)
+    return pasted_grids(held, clip, row, col, F.greatest(F.col("width"), F.lit(80)))
+
+
+def select_all(docs: DataFrame) -> DataFrame:
+    """docs with the range [sel_start, sel_end) of all their characters."""
+    return docs.withColumn("sel_start", F.lit(0)).withColumn("sel_end", F.length("text"))
+
+
+def selected_text(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
 
 
 def selected_rows(rows: DataFrame, marks: DataFrame, padded: bool) -> DataFrame:

@@ -66,6 +66,12 @@ def reading_lines(elements: DataFrame) -> DataFrame:
     )
 
 
+def max_vpos(elements: DataFrame) -> DataFrame:
+    """(doc_id, max_vpos, bottom): the lowest position, 0 at least, and the terminal row below the content."""
+    lowest = elements.groupBy("doc_id").agg(F.greatest(F.max("vpos"), F.lit(0.0)).alias("max_vpos"))
+    return lowest.withColumn("bottom", F.floor(F.col("max_vpos") / 12) + 3)
+
+
 def document_text(lines: DataFrame) -> DataFrame:
     """(doc_id, text): lines of reading_lines joined."""
     ordered = F.array_sort(F.collect_list(F.struct("line_idx", "text")))

@@ -144,6 +144,12 @@ def merge_regions(spark, sf_dir):
     return grouping.merge_islands(grid.regions(_glyph_cells(spark, sf_dir, 14.0)))
 
 
+@register("merge_regions_auto", "doc_id:l page:l y:l x:l width:l region_id:l text:s", f"{_CLEAN}{_ISLANDS} @@ SELECT * FROM regions")
+def merge_regions_auto(spark, sf_dir):
+    """The same rows, each row's way of merging chosen by the order in which its cells arrive."""
+    return grouping.merge_exact(grid.regions(_glyph_cells(spark, sf_dir, 14.0)))
+
+
 @register("merge_regions_exact", "doc_id:l page:l y:l x:l width:l region_id:l text:s", None)
 def merge_regions_exact(spark, sf_dir):
     """Adjacent cells merged in arrival order, several lines to a row of the grid."""

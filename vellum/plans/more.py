@@ -50,6 +50,12 @@ def cursor_moves(spark, sf_dir):
     return cursor.moved(_cursors(spark, sf_dir), F.col("n_chars"))
 
 
+@register("cursor_line_ends", "doc_id:l position:l home:l end:l", _CURSOR + ' @@ SELECT doc_id, position, start AS home, start + reach AS "end" FROM here')
+def cursor_line_ends(spark, sf_dir):
+    """Where Home and End move a cursor in each document."""
+    return cursor.line_ends(_cursors(spark, sf_dir))
+
+
 @register("cursor_status", "doc_id:l line:s", _CURSOR + " @@ SELECT doc_id, printf('Line %d, Col %d ', r + 1, col + 1) || CASE WHEN doc_id % 2 = 0 THEN printf('| SEL: %d chars ', doc_id % 40) ELSE '' END AS line FROM here")
 def cursor_status(spark, sf_dir):
     """The status line of a cursor in each document."""
@@ -137,12 +143,13 @@ def clipboard_targets(spark, sf_dir):
 
 @register(
     "file_rejections", "page_id:l reason:s",
-    "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'not found' WHEN page_id % 5 = 0 THEN 'not a file' WHEN page_id % 3 <> 0 THEN 'not a pdf' END AS reason FROM pages",
+    """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'not found' WHEN page_id % 5 = 0 THEN 'not a file' WHEN page_id % 11 IN (1, 2) OR page_id % 11 <> 3 AND page_id % 3 <> 0 THEN 'not a pdf' END AS reason FROM pages""",
 )
 def file_rejections(spark, sf_dir):
     """Why a file isn't opened."""
     p = F.col("page_id")
-    path = F.concat(F.lit("/data/f"), p.cast("string"), F.when(p % 3 == 0, ".pdf").otherwise(".PDF"))
+    named = F.concat(F.lit("/data/f"), p.cast("string"), F.when(p % 3 == 0, ".pdf").otherwise(".PDF"))
+    path = F.when(p % 11 == 1, "/data/pdf").when(p % 11 == 2, "/da.ta/.pdf").when(p % 11 == 3, "/data/..pdf/").otherwise(named)
     return views.table(spark, sf_dir, "pages").select("page_id", readers.rejection(p % 7 != 0, p % 5 != 0, path).alias("reason"))
 
 

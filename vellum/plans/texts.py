@@ -136,6 +136,24 @@ def paste_rect_block(spark, sf_dir):
     return edit.pasted_grids(grids, clip, row, F.lit(3), F.greatest(F.col("width"), F.lit(80)))
 
 
+_PASTED = r"""copied AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' || coalesce(lang, 'x') || 'abc' || chr(10) || '  ' || coalesce(lang, 'x') || 'defg' WHEN 2 THEN chr(9) || 'a' || chr(7) || chr(10) || 'bcdefgh' ELSE 'x' || chr(13) || 'yz' END AS t FROM documents),
+clean AS (SELECT doc_id, regexp_replace(replace(replace(t, chr(9), '    '), chr(13), chr(10)), '[\x00-\x09\x0B-\x1F\x7F-\x9F]', '', 'g') AS t FROM copied),
+pieces AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE string_split(t, chr(10)) END AS p FROM clean),
+judged AS (SELECT doc_id, p, len(p) > 1 AND len(list_filter(p, lambda x: abs(strlen(x) - strlen(p[1])) > 2)) = 0 AND len(list_filter(p, lambda x: length(x) - length(ltrim(x, ' ')) <> length(p[1]) - length(ltrim(p[1], ' ')))) = 0 AS b,
+  list_min(list_transform(p, lambda x: length(x) - length(ltrim(x, ' ')))) AS i FROM pieces),
+ready AS (SELECT doc_id, CASE WHEN b THEN list_transform(p, lambda x: substring(x, CAST(i AS INTEGER) + 1)) WHEN len(p) = 0 THEN [' '] ELSE p END AS p FROM judged),
+clip AS (SELECT doc_id, unnest(range(len(p))) AS row_off, unnest(p) AS part FROM ready)"""
+
+
+@register("paste_text", "doc_id:l row_idx:l text:s", f"WITH {GRID}, {_PASTED}, " + _growing_sql("(g.height - 1)", "(g.doc_id % 90)", "greatest(width, 80)", "clip"))
+def paste_text(spark, sf_dir):
+    """Rows after another program's text is pasted at the foot: a block, plain lines, or nothing at all."""
+    d, lang = F.col("doc_id"), F.coalesce("lang", F.lit("x"))
+    block = F.concat(F.lit("  "), lang, F.lit("abc\n  "), lang, F.lit("defg"))
+    text = F.when(d % 4 == 0, "").when(d % 4 == 1, block).when(d % 4 == 2, "\ta\x07\nbcdefgh").otherwise("x\ryz")
+    return edit.pasted_text(grid.text_grid(documents(spark, sf_dir), keep=("lang",)), text, F.col("height") - 1, d % 90)
+
+
 @register(
     "sanitize_text", "doc_id:l text:s",
     r"""SELECT doc_id, regexp_replace(replace(replace(translate(text, 'ano', chr(9) || chr(13) || chr(7)), chr(9), '    '), chr(13), chr(10)), '[\x00-\x09\x0B-\x1F\x7F-\x9F]', '', 'g') AS text FROM documents""",
@@ -170,10 +188,12 @@ def number_lines(spark, sf_dir):
     return _rows(spark, sf_dir).withColumn("text", T.numbered(F.col("text"), F.col("row_idx") + 1))
 
 
-@register("strip_line_number", "doc_id:l row_idx:l text:s", f"WITH {LINES} @@ SELECT doc_id, r AS row_idx, text FROM lines")
+@register("strip_line_number", "doc_id:l row_idx:l text:s", f"WITH {LINES} @@ SELECT doc_id, r AS row_idx, CASE WHEN r % 3 = 1 THEN regexp_replace(r || text, '^\\s*[0-9]+ ', '') ELSE text END AS text FROM lines")
 def strip_line_number(spark, sf_dir):
-    """Numbered lines, and their numbers taken off again."""
-    return number_lines(spark, sf_dir).withColumn("text", T.strip_line_number(F.col("text")))
+    """Numbers taken off lines that have one: right-aligned ones, others after blanks, but none that no space follows."""
+    r, text = F.col("row_idx"), F.col("text")
+    numbered = F.when(r % 3 == 0, T.numbered(text, r + 1)).when(r % 3 == 2, F.concat(F.lit(" \t"), r.cast("string"), F.lit(" "), text)).otherwise(F.concat(r.cast("string"), text))
+    return _rows(spark, sf_dir).select("doc_id", "row_idx", T.strip_line_number(numbered).alias("text"))
 
 
 @register(
@@ -191,10 +211,15 @@ def stext_parse(spark, sf_dir):
     return readers.structured_text_cells(docs)
 
 
-@register("digit_lines", "doc_id:l row_idx:l text:s", f"WITH {LINES} @@ SELECT doc_id, r AS row_idx, text FROM lines WHERE regexp_matches(text, '^\\s*[0-9]')")
+_OUTPUT = "output AS (SELECT doc_id, r AS row_idx, CASE WHEN r % 3 = 0 THEN '  ' || r || ' ' || text WHEN r % 3 = 1 THEN 'x' || r || text ELSE text END AS text FROM lines)"
+
+
+@register("digit_lines", "doc_id:l row_idx:l text:s", f"WITH {LINES}, {_OUTPUT} @@ SELECT * FROM output WHERE ascii(ltrim(text, ' ' || chr(9) || chr(13))) BETWEEN 48 AND 57")
 def digit_lines(spark, sf_dir):
-    """Lines that start with a digit."""
-    return readers.lines_with_numbers(_rows(spark, sf_dir))
+    """Lines of a tool's output, some of them with a number, that start with a digit."""
+    r, text = F.col("row_idx"), F.col("text")
+    output = F.when(r % 3 == 0, F.concat(F.lit("  "), r.cast("string"), F.lit(" "), text)).when(r % 3 == 1, F.concat(F.lit("x"), r.cast("string"), text)).otherwise(text)
+    return readers.lines_with_numbers(_rows(spark, sf_dir).withColumn("text", output))
 
 
 @register("pages_line", "doc_id:l pages:l", "SELECT doc_id, n_chars AS pages FROM documents")

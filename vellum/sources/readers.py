@@ -48,7 +48,7 @@ def lines_with_numbers(lines: DataFrame, column: str = "text") -> DataFrame:
 
 
 def pdf_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of the files in a folder that end in exactly .pdf, in order; no file is read."""
+    """Paths of the files in a folder that end in exactly .pdf, in order; no file is read, and files of no bytes are not listed."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path").orderBy("path")
 
 
@@ -62,5 +62,6 @@ def first_pdf(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 
 def rejection(exists: Column, is_file: Column, path: Column) -> Column:
-    """Why a file can't be opened, null if it can."""
-    return F.when(~exists, "not found").when(~is_file, "not a file").when(F.element_at(F.split(path, "\\."), -1) != "pdf", "not a pdf")
+    """Why a file can't be opened, null if it can.  An extension follows a dot that isn't its name's first character."""
+    name = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
+    return F.when(~exists, "not found").when(~is_file, "not a file").when(~name.rlike("(?s)^.+\\.pdf$"), "not a pdf")
