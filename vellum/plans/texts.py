@@ -202,12 +202,12 @@ def strip_line_number(spark, sf_dir):
 )
 def stext_parse(spark, sf_dir):
     """Cells of structured text made of each document's words."""
-    words = views.words(by_document(spark, sf_dir))
-    x = F.lpad(((F.col("off") % 200) * 7).cast("string"), 4, "0")
-    tag = F.concat(F.lit('<char y="1" x="'), x, F.lit('">'), F.left("content", F.lit(1)))
-    per_line = words.groupBy("doc_id", "r").agg(F.array_sort(F.collect_list(F.struct("j", F.when(F.col("content") != "", tag).alias("tag")))).alias("t"))
-    line = F.array_join(F.array_append(F.filter(F.transform("t", lambda c: c["tag"]), lambda c: c.isNotNull()), F.lit("</line>")), "\n")
-    docs = per_line.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))).alias("l")).select("doc_id", F.array_join(F.transform("l", lambda c: c["line"]), "\n").alias("text"))
+    lines = T.with_starts(views.lines(by_document(spark, sf_dir)).withColumn("p", F.split("text", " ", -1)), "p", "at")
+    words = F.filter(F.arrays_zip(F.col("p").alias("content"), F.col("at").alias("off")), lambda w: w["content"] != "")
+    x = lambda w: F.lpad(((w["off"] % 200) * 7).cast("string"), 4, "0")
+    tag = lambda w: F.concat(F.lit('<char y="1" x="'), x(w), F.lit('">'), F.left(w["content"], F.lit(1)))
+    line = F.array_join(F.array_append(F.transform(words, tag), F.lit("</line>")), "\n")
+    docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))).alias("l")).select("doc_id", F.array_join(F.transform("l", lambda c: c["line"]), "\n").alias("text"))
     return readers.structured_text_cells(docs)
 
 
