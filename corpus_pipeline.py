@@ -23,7 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
+    """One document of each group stays, the one with the smallest id.
+
+    Five-word shingles and a similarity of 0.8, as for all near-duplicate stages; the
+    four words of query op4 are that query's own contract.
+    """
     return keep_one_of_each(docs)
 
 

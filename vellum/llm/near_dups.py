@@ -212,39 +212,32 @@ def _groups(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int
     there = heads.select(F.col("id").alias("centre"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
 
     def stars(spots: DataFrame, key: str, orders: list) -> DataFrame:
-        """(centre, member): each member of a bucket with its centres, the first of each order, where sizes and signatures allow a link."""
-        first = [F.min(F.struct(order.alias("order"), "id"))["id"].alias(f"c{i}") for i, order in enumerate(orders)]
-        centre = spots.groupBy(key).agg(*first, F.count("*").alias("size")).where("size > 1")
-        centre = centre.select(key, F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(len(orders))]))).alias("centre"))
-        near = spots.join(centre, key).where("id <> centre").select("id", "centre").distinct()
+        """(centre, member): each member (id, label) of a bucket that holds several components with those of its centres, the first of
+        each order, that are in another component than it, where sizes and signatures allow a link."""
+        first = [F.min(F.struct(order.alias("order"), F.col("id").alias("centre"), F.col("label").alias("there"))).alias(f"c{i}") for i, order in enumerate(orders)]
+        centre = spots.groupBy(key).agg(*first, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        spots = spots.join(centre.select(key, *[f"c{i}" for i in range(len(orders))]), key)
+        apart = [F.when(F.col(f"c{i}.there") != F.col("label"), F.col(f"c{i}.centre")) for i in range(len(orders))]
+        near = spots.select("id", F.explode(F.array_compact(F.array_distinct(F.array(*apart)))).alias("centre")).distinct()
         return near.join(heads, "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"))
 
-    tested = cut(stars(members, "bucket", [F.col("id")]))
+    tested = cut(stars(members.withColumn("label", F.col("id")), "bucket", [F.col("id")]))
     labels = components(cut(confirm(tested, texts, shingle, percent)))
-    label = lambda column: labels.withColumnsRenamed({"node": column, "label": f"{column}_label"})
-
-    def settle(pairs: DataFrame) -> bool:
-        """Confirms pairs of different components that no round has had yet; whether that joins any."""
-        nonlocal tested, labels
-        apart = pairs.join(label("centre"), "centre", "left").join(label("member"), "member", "left").where("coalesce(centre_label, centre) <> coalesce(member_label, member)")
-        had = tested.union(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
-        fresh, pairs_left = cut_counting(apart.select("centre", "member").distinct().join(had, ["centre", "member"], "left_anti"), F.lit(True))
-        more, joined = cut_counting(confirm(fresh, texts, shingle, percent), F.lit(True)) if pairs_left else (None, 0)
-        tested = tested.union(fresh)
-        if not joined:
-            return False
-        labels = joined_components(labels, more)
-        return True
-
-    named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    with_labels = lambda spots: spots.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     # of two members one is the centre, and their pair is done
-    open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
-    left = named.join(open_, "bucket").select("id").distinct()
-    cells = cut(texts.join(left, "id", "left_semi").mapInArrow(_cell_map(shingle), "id long, cell long"))
-    draw = 0
-    while settle(stars(cells, "cell", [F.xxhash64("id", "cell", F.lit(draw + i)) for i in range(DRAWS)])):
-        draw += DRAWS
-    return labels
+    open_ = with_labels(members).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
+    left = members.join(open_, "bucket").select("id").distinct()
+    cells, draw = cut(texts.join(left, "id", "left_semi").mapInArrow(_cell_map(shingle), "id long, cell long")), 0
+    while True:
+        pairs = stars(with_labels(cells), "cell", [F.xxhash64("id", "cell", F.lit(draw + i)) for i in range(DRAWS)])
+        had = tested.union(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
+        fresh, n = cut_counting(pairs.join(had, ["centre", "member"], "left_anti"), F.lit(True))
+        if not n:
+            return labels
+        links, n = cut_counting(confirm(fresh, texts, shingle, percent), F.lit(True))
+        if not n:
+            return labels
+        tested, labels, draw = tested.union(fresh), joined_components(labels, links), draw + DRAWS
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
