@@ -22,12 +22,12 @@ def export_round_trip(spark, sf_dir):
     return joined.where((F.col("semantic_role") == "financial_text") & F.col("style_bold") | F.col("element_type").isin("h1", "h2", "h3"))
 
 
-@register("saved_texts", "doc_id:l text:s", "SELECT user_id AS doc_id, string_agg(event_type || chr(10), '' ORDER BY event_id) AS text FROM events GROUP BY 1")
+@register("saved_texts", "doc_id:l text:s", "SELECT c_nationkey AS doc_id, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS text FROM customer GROUP BY 1")
 def saved_texts(spark, sf_dir):
-    """Each user's text, written to a file of its own and read back."""
-    events = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.concat("event_type", F.lit("\n")).alias("line"))
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", "line")))
-    texts = events.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "").alias("text"))
+    """Each nation's customers as a text, written to a file of its own and read back."""
+    customers = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), "c_custkey", F.concat("c_name", F.lit("\n")).alias("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("c_custkey", "line")))
+    texts = customers.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "").alias("text"))
     folder = folders.scratch(spark)
     catalog.write_texts(texts, folder)
     return catalog.read_texts(spark, folder)
