@@ -144,10 +144,13 @@ def merge_regions(spark, sf_dir):
     return grouping.merge_islands(grid.regions(_glyph_cells(spark, sf_dir, 14.0)))
 
 
-@register("merge_regions_auto", "doc_id:l page:l y:l x:l width:l region_id:l text:s", f"{_CLEAN}{_ISLANDS} @@ SELECT * FROM regions")
+_APART = f"WITH {LINES}, {segments_sql('20e0')}, {GLYPHS}, {SIZES}, {CELLS}"
+
+
+@register("merge_regions_auto", "doc_id:l page:l y:l x:l width:l region_id:l text:s", f"{_APART}{_ISLANDS} @@ SELECT * FROM regions")
 def merge_regions_auto(spark, sf_dir):
-    """The same rows, each row's way of merging chosen by the order in which its cells arrive."""
-    return grouping.merge_exact(grid.regions(_glyph_cells(spark, sf_dir, 14.0)))
+    """Lines so far apart that no two meet in a row of cells, each row's way of merging chosen by the order in which its cells arrive."""
+    return grouping.merge_exact(grid.regions(_glyph_cells(spark, sf_dir, 20.0)))
 
 
 @register("merge_regions_exact", "doc_id:l page:l y:l x:l width:l region_id:l text:s", None)
