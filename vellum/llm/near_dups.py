@@ -16,12 +16,15 @@ Texts with equal shingle sets are one class, and only classes meet in buckets.
 Within a bucket candidates form a star around its smallest class, so a bucket of
 n gives n-1 pairs.  Candidates are confirmed on full shingle sets; confirmed
 links join components.  Buckets that then still hold several components are split:
-each of their members goes to the CELLS smaller buckets of its single bin values,
-each with DRAWS stars, around members drawn by a hash of member and bucket, so that
-each star has another centre.  That goes on with other draws for as long as it
-joins anything.  A round has CELLS * DRAWS pairs for each member at most, however
-large the bucket was; what many texts of a bucket share takes up few of the bins of two
-texts that resemble each other by 0.8, so they meet in small ones.
+each of their members goes to smaller buckets, those of its single bin values, each
+with DRAWS stars, around members drawn by a hash of member and bucket, so that each
+star has another centre.  That goes on with other draws for as long as it joins
+anything.  Of a text's CELLS values only the rarest count (RAREST of them, and one
+more): two texts that agree in more of their values than the rest have one of these in
+common, whatever the others are (a prefix filter), so what many texts share makes no
+bucket.  At a similarity of 0.8 they agree in 0.8 of 64 values, give or take 0.05, and
+0.625 are enough.  A round has CELLS * RAREST * DRAWS pairs for each member at most,
+however large the bucket was, and only between different components.
 
 A star's centre is copied to as many salted parts as its members need; members
 stream past it.
@@ -37,7 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, cut_counting, free_name, prepare
@@ -50,8 +53,8 @@ BANDS = BINS // ROWS
 SIGNATURE_BINS, SLACK = 1024, 20
 #: Members that one copy of a star's centre meets, and bins whose single values split a bucket.
 STAR, CELLS = 256, 64
-#: Centres that a round draws in each of the smaller buckets.
-DRAWS = 4
+#: Centres that a round draws in each of the smaller buckets, and the share of a text's values, its rarest, whose buckets it joins.
+DRAWS, RAREST = 2, 0.375
 
 
 def _donors() -> np.ndarray:
@@ -227,7 +230,10 @@ def _groups(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int
     # of two members one is the centre, and their pair is done
     open_ = with_labels(members).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
     left = members.join(open_, "bucket").select("id").distinct()
-    cells, draw = cut(texts.join(left, "id", "left_semi").mapInArrow(_cell_map(shingle), "id long, cell long")), 0
+    cells = cut(texts.join(left, "id", "left_semi").mapInArrow(_cell_map(shingle), "id long, cell long"))
+    own, draw = Window.partitionBy("id"), 0
+    ranked = cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")), "cell").withColumn("rank", F.row_number().over(own.orderBy("n", "cell"))).withColumn("all", F.count("*").over(own))
+    cells = cut(ranked.where((F.col("rank") <= F.lit(RAREST) * F.col("all") + 1) & (F.col("n") > 1)).select("id", "cell"))
     while True:
         pairs = stars(with_labels(cells), "cell", [F.xxhash64("id", "cell", F.lit(draw + i)) for i in range(DRAWS)])
         had = tested.union(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
