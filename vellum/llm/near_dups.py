@@ -17,8 +17,8 @@ Within a bucket candidates form a star around its smallest class, so a bucket of
 n gives n-1 pairs.  Candidates are confirmed on full shingle sets; confirmed
 links join components.  Buckets that then still hold several components are split:
 each of their members goes to smaller buckets, those of its single bin values, each
-with DRAWS stars, around members drawn by a hash of member and bucket, so that each
-star has another centre.  That goes on with other draws for as long as it joins
+with DRAWS stars, around members drawn by a hash of member and bucket: small ones are
+compared almost wholly at once, and each round draws others.  That goes on with other draws for as long as it joins
 anything.  Of a text's CELLS values only the rarest count (RAREST of them, and one
 more): two texts that agree in more of their values than the rest have one of these in
 common, whatever the others are (a prefix filter), so what many texts share makes no
@@ -33,7 +33,7 @@ Defined cases: a text without words has the empty set, links with nothing and is
 kept; one with fewer words than a shingle has its whole word sequence as its one
 shingle; repeated rows are copies with the same id, each with its own result row;
 rows that share an id but not the text belong to the groups of their own texts; a
-null id belongs to no group.
+null id belongs to no group; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ SIGNATURE_BINS, SLACK = 1024, 20
 #: Members that one copy of a star's centre meets, and bins whose single values split a bucket.
 STAR, CELLS = 256, 64
 #: Centres that a round draws in each of the smaller buckets, and the share of a text's values, its rarest, whose buckets it joins.
-DRAWS, RAREST = 2, 0.375
+DRAWS, RAREST = 16, 0.375
 
 
 def _donors() -> np.ndarray:
@@ -214,17 +214,19 @@ def _groups(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int
     """(node, label): components of the similar members (bucket, id) of buckets; heads: (id, n, bits)."""
     there = heads.select(F.col("id").alias("centre"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
 
-    def stars(spots: DataFrame, key: str, orders: list) -> DataFrame:
-        """(centre, member): each member (id, label) of a bucket that holds several components with those of its centres, the first of
-        each order, that are in another component than it, where sizes and signatures allow a link."""
-        first = [F.min(F.struct(order.alias("order"), F.col("id").alias("centre"), F.col("label").alias("there"))).alias(f"c{i}") for i, order in enumerate(orders)]
+    def stars(spots: DataFrame, key: str, order, draws: int) -> DataFrame:
+        """(centre, member): each member (id, label) of a bucket that holds several components with those of its centres that are in
+        another component than it, where sizes and signatures allow a link.  Centres are the first members of ``draws`` parts of the bucket."""
+        part = F.pmod(order, F.lit(draws))
+        spot = F.struct(order.alias("order"), F.col("id").alias("centre"), F.col("label").alias("there"))
+        first = [F.min(F.when(part == i, spot)).alias(f"c{i}") for i in range(draws)]
         centre = spots.groupBy(key).agg(*first, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        spots = spots.join(centre.select(key, *[f"c{i}" for i in range(len(orders))]), key)
-        apart = [F.when(F.col(f"c{i}.there") != F.col("label"), F.col(f"c{i}.centre")) for i in range(len(orders))]
+        spots = spots.join(centre.select(key, *[f"c{i}" for i in range(draws)]), key)
+        apart = [F.when(F.col(f"c{i}.there") != F.col("label"), F.col(f"c{i}.centre")) for i in range(draws)]
         near = spots.select("id", F.explode(F.array_compact(F.array_distinct(F.array(*apart)))).alias("centre")).distinct()
         return near.join(heads, "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"))
 
-    tested = cut(stars(members.withColumn("label", F.col("id")), "bucket", [F.col("id")]))
+    tested = cut(stars(members.withColumn("label", F.col("id")), "bucket", F.col("id"), 1))
     labels = components(cut(confirm(tested, texts, shingle, percent)))
     with_labels = lambda spots: spots.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     # of two members one is the centre, and their pair is done
@@ -235,7 +237,7 @@ def _groups(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int
     ranked = cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")), "cell").withColumn("rank", F.row_number().over(own.orderBy("n", "cell"))).withColumn("all", F.count("*").over(own))
     cells = cut(ranked.where((F.col("rank") <= F.lit(RAREST) * F.col("all") + 1) & (F.col("n") > 1)).select("id", "cell"))
     while True:
-        pairs = stars(with_labels(cells), "cell", [F.xxhash64("id", "cell", F.lit(draw + i)) for i in range(DRAWS)])
+        pairs = stars(with_labels(cells), "cell", F.xxhash64("id", "cell", F.lit(draw)), DRAWS)
         had = tested.union(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
         fresh, n = cut_counting(pairs.join(had, ["centre", "member"], "left_anti"), F.lit(True))
         if not n:
@@ -243,7 +245,7 @@ def _groups(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int
         links, n = cut_counting(confirm(fresh, texts, shingle, percent), F.lit(True))
         if not n:
             return labels
-        tested, labels, draw = tested.union(fresh), joined_components(labels, links), draw + DRAWS
+        tested, labels, draw = tested.union(fresh), joined_components(labels, links), draw + 1
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
