@@ -100,6 +100,19 @@ def running_starts(sums: DataFrame, by: list[str], number: str, value: str, out:
     return joined.select(*sums.columns, out)
 
 
+def looked_up(rows: DataFrame, keys: list[str], by: list[str], known: DataFrame, values: list[str]) -> DataFrame:
+    """rows with the ``values`` that known has for their ``keys``, null where it has none.  known: one row for each key; no key is null.
+
+    Rows fall into buckets by a hash of ``by``, which should tell rows of one key apart.
+    A bucket asks for each of its keys once, and the answer goes back to the bucket: a
+    key that very many rows have costs as many requests as there are buckets.
+    """
+    bucket, n = free_name(rows, "bucket"), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(*by), F.lit(n)))
+    answers = dealt.select(bucket, *keys).distinct().join(known.select(*keys, *values), keys)
+    return dealt.join(answers, [bucket, *keys], "left").select(*rows.columns, *values)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}
