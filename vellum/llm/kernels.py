@@ -180,3 +180,10 @@ def shingle_sets(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
         total = np.concatenate([[0], np.cumsum(keep)])
         out, bounds = out[keep], total[bounds]
     return out, bounds
+
+
+def substrings(body: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings at body[start:start+size]."""
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    letters = body[np.repeat(start - cuts[:-1], size) + np.arange(cuts[-1])]
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts), pa.py_buffer(letters)).cast(pa.string())
