@@ -26,16 +26,6 @@ def is_on_page(metadata: Column, page: int) -> Column:
     return F.get_json_object(metadata, "$.page") == str(page)
 
 
-def write_export(tables: dict[str, DataFrame], folder: str) -> None:
-    """The export's tables as Parquet, a folder for each."""
-    for name, frame in tables.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-
-
-def read_export(spark: SparkSession, folder: str, names: list[str]) -> list[DataFrame]:
-    return [spark.read.parquet(f"{folder}/{name}.parquet") for name in names]
-
-
 def write_texts(texts: DataFrame, folder: str) -> None:
     """Each document's text (doc_id, text) as a file in a folder of its own, a line feed at its end."""
     texts.select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(folder)

@@ -1,4 +1,4 @@
-"""Queries that write files and read them back."""
+"""Queries that write texts as files and read them back, and queries over lines and segments."""
 
 from __future__ import annotations
 
@@ -7,19 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, edit, geometry, grouping
 from ..sources import folders, readers, views
-from .base import ELEMENTS, EXPORT, LINES, WORDS, by_document, documents, register, segments_sql
-
-
-@register(
-    "export_round_trip", "element_id:l element_type:s element_text:s element_metadata:s style_bold:b semantic_role:s",
-    f"WITH {EXPORT} @@ SELECT * FROM tables WHERE semantic_role = 'financial_text' AND style_bold OR element_type IN ('h1', 'h2', 'h3')",
-)
-def export_round_trip(spark, sf_dir):
-    """Bold financial text, and headers, out of the exported tables as they were written."""
-    names, folder = ["content", "styles", "semantics"], folders.scratch(spark)
-    catalog.write_export(dict(zip(names, views.export_tables(views.table(spark, sf_dir, "pages")))), folder)
-    joined = catalog.joined(*catalog.read_export(spark, folder, names))
-    return joined.where((F.col("semantic_role") == "financial_text") & F.col("style_bold") | F.col("element_type").isin("h1", "h2", "h3"))
+from .base import ELEMENTS, LINES, WORDS, by_document, documents, register, segments_sql
 
 
 @register("saved_texts", "doc_id:l text:s", "SELECT c_nationkey AS doc_id, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS text FROM customer GROUP BY 1")
