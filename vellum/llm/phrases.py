@@ -3,9 +3,13 @@
 1. Texts are cut into pieces; identical pieces of a language are one row with a
    multiplicity, so what many documents share is worked on once.
 2. The n-grams of distinct pieces, weighted by multiplicity and summed up for each
-   Arrow batch, are dealt out by hash.  Each bucket is counted by DuckDB within the task
+   slice, are dealt out by hash.  Each bucket is counted by DuckDB within the task
    that has it: it reads the bucket as a stream and spills beyond ``COUNT_MEMORY`` to a
    folder that goes with the task.  What occurs fewer than ``least`` times leaves here.
+   Words come first, then pairs, and so on: a phrase holds no rarer one than itself, so
+   only runs of k words whose two runs of k - 1 words were kept are dealt out.  The kept ones
+   reach all tasks as a bit filter of fixed size (8 MB); one that is full
+   lets more through to be counted, and changes no result.
 3. A phrase's parts are counted in other buckets than the phrase: it asks for them
    (``common.looked_up``), each bucket for each part once, however many phrases have it.
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, looked_up, prepare
-from .kernels import LOWER, Words, slices
+from .kernels import LOWER, Words, grams, slices, substrings
 
 MOST_WORDS, LEAST, SHARE, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
 COUNT_MEMORY = "256MB"
+FILTER_BITS = 26
 _CUTS, _BLANKS = "[.,;:!?\\n\\x0b\\x0c\\r]", "[ \\t]+"
 _NOT_SPACE = np.arange(256) != 0x20
 
@@ -65,22 +71,48 @@ def distinct_pieces(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return named.mapInArrow(run, "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def _grams(langs: pa.Array, pieces: pa.Array, n: np.ndarray, most: int) -> Iterator[pa.Table]:
-    """(lang, gram, words, f): weighted n-grams of the pieces of each slice, summed up."""
+def _hashes(words: Words, k: int) -> np.ndarray:
+    """A hash of each run of k words."""
+    own = words.hashes()
+    return own if k == 1 else grams(own, k)
+
+
+def _let_through(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _bit_filter(counted: DataFrame, k: int) -> np.ndarray:
+    """2 ** FILTER_BITS bits, set for the grams (k words each) of counted: as many bytes whatever it holds."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, body, offsets in slices(batch.column(0)):
+                words = Words(body, offsets, _NOT_SPACE, lower=False)
+                slot = _hashes(words, k)[words.rows[:-1]] & np.uint64((1 << FILTER_BITS) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], ["cell", "bit"])
+
+    cells = counted.select("gram").mapInArrow(run, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _grams(langs: pa.Array, pieces: pa.Array, n: np.ndarray, k: int, bits: np.ndarray | None) -> Iterator[pa.Table]:
+    """(lang, gram, f): weighted runs of k words of the pieces of each slice, summed up; those that hold a shorter one that the filter stops left out."""
     for low, high, body, offsets in slices(pieces):
         words = Words(body, offsets, _NOT_SPACE, lower=False)
         row = words.row_of_word()
-        for k in range(1, most + 1):
-            first = np.arange(max(0, len(row) - k + 1))
-            first = first[row[first] == row[first + k - 1]]
-            start = words.starts[first]
-            size = words.ends[first + k - 1] - start
-            cuts = np.concatenate([[0], np.cumsum(size)])
-            letters = body[np.repeat(start - cuts[:-1], size) + np.arange(cuts[-1])]
-            gram = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(cuts), pa.py_buffer(letters)).cast(pa.string())
-            own = low + row[first]
-            each = pa.table({"lang": langs.take(pa.array(own)), "gram": gram, "f": n[own]}).group_by(["lang", "gram"]).aggregate([("f", "sum")])
-            yield pa.table({"lang": each["lang"], "gram": each["gram"], "words": np.full(len(each), k, np.int32), "f": each["f_sum"]})
+        first = np.arange(max(0, len(row) - k + 1))
+        first = first[row[first] == row[first + k - 1]]
+        if bits is not None:
+            good = _let_through(bits, _hashes(words, k - 1))
+            first = first[good[first] & good[first + 1]]
+        start = words.starts[first]
+        own = low + row[first]
+        each = pa.table({"lang": langs.take(pa.array(own)), "gram": substrings(body, start, words.ends[first + k - 1] - start), "f": n[own]})
+        sums = each.group_by(["lang", "gram"]).aggregate([("f", "sum")])
+        yield pa.table({"lang": sums["lang"], "gram": sums["gram"], "f": sums["f_sum"]})
 
 
 def _count(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -94,20 +126,25 @@ def _count(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     with tempfile.TemporaryDirectory(prefix="grams-") as spill:
         config = {"memory_limit": COUNT_MEMORY, "threads": 1, "temp_directory": spill, "preserve_insertion_order": False}
         with duckdb.connect(config=config) as con:
-            sums = con.from_arrow(grams).aggregate("lang, gram, words, CAST(sum(f) AS BIGINT) AS f", "lang, gram, words").filter(f"f >= {int(least)}")
+            sums = con.from_arrow(grams).aggregate("lang, gram, CAST(sum(f) AS BIGINT) AS f", "lang, gram").filter(f"f >= {int(least)}")
             yield from sums.to_arrow_reader(1 << 16)
 
 
 def phrase_counts(pieces: DataFrame, most: int = MOST_WORDS, least: int = LEAST) -> DataFrame:
     """(lang, gram, words, f): how often each run of up to ``most`` words occurs in pieces (lang, piece, n), if ``least`` times or more."""
-    schema = "lang string, gram string, words int, f long"
+    schema, levels, bits = "lang string, gram string, f long", [], None
+    for k in range(1, most + 1):
+        held = pieces.sparkSession.sparkContext.broadcast(bits)
 
-    def unfold(batches):
-        for batch in batches:
-            for made in _grams(batch.column(0), batch.column(1), batch.column(2).to_numpy(), most):
-                yield from made.to_batches()
+        def unfold(batches, k=k, held=held):
+            for batch in batches:
+                for made in _grams(batch.column(0), batch.column(1), batch.column(2).to_numpy(), k, held.value):
+                    yield from made.to_batches()
 
-    return pieces.select("lang", "piece", "n").mapInArrow(unfold, schema).repartition("lang", "gram").mapInArrow(lambda batches: _count(batches, least), schema)
+        grams_of_k = pieces.select("lang", "piece", "n").mapInArrow(unfold, schema).repartition("lang", "gram")
+        levels.append(cut(grams_of_k.mapInArrow(lambda batches: _count(batches, least), schema)))
+        bits = _bit_filter(levels[-1], k) if k < most else None
+    return reduce(DataFrame.union, [c.select("lang", "gram", F.lit(k + 1).alias("words"), "f") for k, c in enumerate(levels)])
 
 
 def scored(counts: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -147,5 +184,5 @@ def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", mos
     pieces = cut(distinct_pieces(docs, lang, text))
     in_piece = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
     totals = pieces.groupBy("lang").agg(F.sum(F.col("n") * in_piece).alias("n"))
-    phrases = cut(scored(cut(phrase_counts(pieces, most, least))))
+    phrases = cut(scored(phrase_counts(pieces, most, least)))
     return best(independent(phrases, most, share), top).join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
