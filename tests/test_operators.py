@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import edit, geometry, grid, grouping, search
+from vellum.operators import edit, geometry, grid, grouping, rope, search
 from vellum.sources import readers, views
 
 
@@ -146,7 +146,7 @@ def test_edits(spark):
     keys = spark.createDataFrame([(1, 0, 7, "z")], "doc_id long, row_idx int, col int, ch string")
     assert text(edit.typed(rows, keys, True))[0] == "abcdef z" and text(edit.typed(rows, keys, False))[0] == "abcdef"
     edits = spark.createDataFrame([(1, 1, "insert", 0, 0, "hello"), (1, 2, "replace", 0, 1, "J"), (1, 3, "delete", 4, 5, ""), (1, 4, "delete", 3, 9, ""), (1, 5, "insert", 4, 0, "y")], "doc_id long, seq long, op string, start long, end long, piece string")
-    assert edit.replayed_text(edits).first().text == "Jelly"
+    assert rope.replayed_text(edits).first().text == "Jelly"
 
 
 def test_alto(spark):

@@ -1,4 +1,4 @@
-from vellum.operators.edit import replayed_text
+from vellum.operators.rope import replayed_text
 from vellum.streaming import replay
 
 SCHEMA = "doc_id long, seq long, op string, start long, end long, piece string"

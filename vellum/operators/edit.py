@@ -11,7 +11,6 @@ once, and nothing is shuffled.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,21 +168,6 @@ def apply_edit(text: str, op: str, start: int, end: int, piece: str) -> str:
     return text
 
 
-def replayed_text(edits: DataFrame) -> DataFrame:
-    """(doc_id, text): the text after edits (doc_id, seq, op, start, end, piece), each on the text that the one before left.
-
-    op: insert at start, delete or replace from start to end; edits that reach outside do nothing.
-    """
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, text = rows.sort_values("seq"), ""
-        for op, start, end, piece in zip(rows["op"], rows["start"].tolist(), rows["end"].tolist(), rows["piece"]):
-            text = apply_edit(text, op, start, end, piece)
-        return pd.DataFrame({"doc_id": [key[0]], "text": [text]})
-
-    return edits.groupBy("doc_id").applyInPandas(run, "doc_id long, text string")
-
-
 def typed(rows: DataFrame, keys: DataFrame, grows: bool) -> DataFrame:
     """Rows after one written character (doc_id, row_idx, col, ch) each at most; Backspace and Delete write a space."""
     joined = rows.join(keys, ["doc_id", "row_idx"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, edit, grid, grouping, report, search
+from ..operators import catalog, edit, grid, grouping, report, rope, search
 from ..sources import readers, views
 from .base import EXPORT, GRID, LINES, MARKS, WORDS, by_document, documents, register
 
@@ -353,7 +353,19 @@ def edit_replay_cells(spark, sf_dir):
     return edit.replayed_cells(writes, ["doc_id", "row_idx", "col_idx"], "event_id")
 
 
-@register("edit_replay_rope", "doc_id:l text:s", None)
+@register(
+    "edit_replay_rope", "doc_id:l text:s",
+    """WITH RECURSIVE edits AS (
+      SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type AS piece, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 11 END AS s, event_id % 11 + event_id % 4 AS e,
+        CASE WHEN event_id % 7 = 0 OR event_id % 3 = 1 THEN 'insert' WHEN event_id % 3 = 0 THEN 'delete' ELSE 'replace' END AS op FROM events),
+    replayed AS (
+      SELECT doc_id, CAST(0 AS BIGINT) AS n, '' AS text FROM edits WHERE n = 1
+      UNION ALL
+      SELECT r.doc_id, e.n, CASE WHEN op = 'insert' AND s <= length(text) THEN text[1:s] || piece || text[s + 1:] WHEN op = 'delete' AND s < e AND e <= length(text) THEN text[1:s] || text[e + 1:]
+        WHEN op = 'replace' AND s <= e AND e <= length(text) THEN text[1:s] || piece || text[e + 1:] ELSE text END AS text
+      FROM replayed AS r JOIN edits AS e ON e.doc_id = r.doc_id AND e.n = r.n + 1) @@
+    SELECT doc_id, arg_max(text, n) AS text FROM replayed GROUP BY 1""",
+)
 def edit_replay_rope(spark, sf_dir):
     """Each user's text after all events, taken as edits."""
     e = F.col("event_id")
@@ -361,7 +373,7 @@ def edit_replay_rope(spark, sf_dir):
     edits = events(spark, sf_dir).select(
         F.col("user_id").alias("doc_id"), e.alias("seq"), F.when(e % 7 == 0, "insert").otherwise(ops).alias("op"), F.when(e % 7 == 0, 0).otherwise(e % 11).alias("start"), (e % 11 + e % 4).alias("end"), F.col("event_type").alias("piece")
     )
-    return edit.replayed_text(edits)
+    return rope.replayed_text(edits)
 
 
 @register(

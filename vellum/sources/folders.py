@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -19,6 +19,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/vellum-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a new folder: worked out once, and kept where a lost executor takes nothing with it."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def touch(spark: SparkSession, paths: list[str]) -> None:
     """Files of one byte, on any file system that Spark knows."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
