@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import edit, geometry, grid, grouping, rope, search
+from vellum.operators import anchors, edit, geometry, grid, grouping, rope, search
 from vellum.sources import readers, views
 
 
@@ -64,7 +64,7 @@ def test_anchored(spark):
     rng = random.Random(1)
     docs = [[0.0, 5.0, 10.0], [0.0, 8.0], [1.0, 1.0]] + [[rng.randint(0, 120) / 2 for _ in range(rng.randint(1, 25))] for _ in range(60)]
     rows = [(d, v) for d, values in enumerate(docs) for v in values]
-    got = grouping.anchored(spark.createDataFrame(rows, "k int, v double"), "k", "v").collect()
+    got = anchors.anchored(spark.createDataFrame(rows, "k int, v double"), "k", "v").collect()
     for d, values in enumerate(docs):
         assert sorted((r.v, r.line_idx) for r in got if r.k == d) == _lines(values)
 

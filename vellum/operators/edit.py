@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_at, common_indent_removed, is_block, pad, put_at, put_growing, sanitise, text_lines
+from .bins import Axis, overlap_join
 
 MOST_CELLS = 100_000
 TOO_LARGE = "[Selection too large]"
@@ -114,6 +115,20 @@ def selected_rows(rows: DataFrame, marks: DataFrame, padded: bool) -> DataFrame:
     return hit.select("doc_id", (F.col("row_idx") - F.col("top")).alias("row_off"), (F.rpad(part, width, F.lit(" ")) if padded else part).alias("text"), "area")
 
 
+#: Rows of one cell of many_selected.
+BAND = 64
+
+
+def many_selected(rows: DataFrame, selections: DataFrame, padded: bool = True) -> DataFrame:
+    """(sel_id, doc_id, row_off, text): the selected part of each row of each selection (sel_id, doc_id, r0, c0, r1, c1), of which a document may have very many."""
+    corners = {"top": F.least("r0", "r1"), "bottom": F.greatest("r0", "r1"), "left": F.least("c0", "c1"), "right": F.greatest("c0", "c1")}
+    marks = selections.select("sel_id", "doc_id", *[v.cast("int").alias(c) for c, v in corners.items()])
+    hit = overlap_join(rows, marks, ["doc_id"], [Axis(F.col("row_idx"), F.col("row_idx"), F.col("top"), F.col("bottom"), BAND)])
+    width = F.col("right") - F.col("left") + 1
+    part = F.substring(F.col("text"), F.col("left") + 1, width)
+    return hit.select("sel_id", "doc_id", (F.col("row_idx") - F.col("top")).alias("row_off"), (pad(part, width) if padded else part).alias("text"))
+
+
 def copied(rows: DataFrame, marks: DataFrame, padded: bool = False) -> DataFrame:
     """(doc_id, text): the selection as text; selections of too many cells give a note instead."""
     # too large ones are left out before their rows are gathered

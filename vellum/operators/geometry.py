@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bins import Axis, overlap_join
+
 from ..functions.text import with_starts
 
 DEFAULT_ADVANCE, FONT_SHARE = 7.2, 0.8
@@ -99,3 +101,13 @@ def to_screen(cells: Column, size: float, offset: float = 0.0) -> Column:
 def meets(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
     """Whether two rectangles meet."""
     return (ax <= bx + bw) & (bx <= ax + aw) & (ay <= by + bh) & (by <= ay + ah)
+
+
+#: Points of one cell of in_views, each way.
+TILE = 256.0
+
+
+def in_views(boxes: DataFrame, views: DataFrame) -> DataFrame:
+    """Boxes (doc_id, x, y, w, h, ...) with each viewport (view_id, doc_id, vx, vy, vw, vh) of their document that they meet; of both there may be very many."""
+    ends = lambda at, size: (F.col(at), F.col(at) + F.col(size))
+    return overlap_join(boxes, views, ["doc_id"], [Axis(*ends("x", "w"), *ends("vx", "vw"), TILE), Axis(*ends("y", "h"), *ends("vy", "vh"), TILE)])

@@ -1,9 +1,8 @@
 """Lines from positioned words, regions from cells.
 
 Lines: in order of vpos, a word within 8 points of the current line's first word
-joins it, any other starts a line.  Only distinct positions matter for where lines
-start, so these are folded (few of them, combined before the shuffle) and words
-then find their line among the starts.
+joins it, any other starts a line (``anchors``).  Numbers that run through a document are
+sums in two levels (``running``): within coarse parts, and over these.
 
 Regions: cells of one row whose hulls are at most 2 apart merge.  For cells that
 arrive in order of x that is a gap-and-island pass; the arrival order matters
@@ -17,51 +16,46 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-REACH, GAP = 8.0, 2
+from .anchors import anchored
+from .bins import Axis, overlap_join
+from .running import neighbours, running_sum
 
+GAP = 2
 
-def line_starts(rows: DataFrame, key: str, value: str, reach: float = REACH) -> DataFrame:
-    """(key, starts): the positions at which a new group starts, in order."""
-    start = F.expr("cast(array() as array<double>)")
 
-    def step(a, v):
-        return F.when(F.coalesce(v - F.try_element_at(a, F.lit(-1)) >= reach, F.lit(True)), F.array_append(a, v)).otherwise(a)
+#: Lines of one part of a running sum.
+LINES = 256
 
-    return rows.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_set(F.col(value).cast("double"))), start, step).alias("starts"))
 
+def _running(rows: DataFrame, order: list[str], size, out: str, together: bool) -> DataFrame:
+    """rows with the sum of ``size`` over those before them in their document."""
+    if together:
+        before = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)))
+    return running_sum(rows, ["doc_id"], F.floor(F.col("line_idx") / LINES), order, size, out)
 
-def anchored(rows: DataFrame, key: str, value: str, reach: float = REACH) -> DataFrame:
-    """rows with the number of their group, ``line_idx``: the last start at or before them, found by halving."""
-    starts = line_starts(rows, key, value, reach)
-    powers = F.transform(F.sequence(F.floor(F.log2(F.size("starts"))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
-    before = F.aggregate("_powers", F.lit(0), lambda n, p: n + F.when(F.get("starts", n + p - 1) <= F.col(value), p).otherwise(0))
-    return rows.join(starts.withColumn("_powers", powers), key).withColumn("line_idx", before - 1).drop("starts", "_powers")
 
-
-def spatial_map(elements: DataFrame) -> DataFrame:
+def spatial_map(elements: DataFrame, together: bool = False) -> DataFrame:
     """(doc_id, line_idx, elem_idx, start_char, end_char, hpos, vpos, content): words in reading order with their character range.
 
     A word's range has the space after it, unless it is its line's last; a line feed stands between lines.
+    together: a document's words stand in one task as they are (``anchors.anchored``).
     """
-    placed = anchored(elements, "doc_id", "vpos")
+    placed = anchored(elements, "doc_id", "vpos", together=together)
     in_line = Window.partitionBy("doc_id", "line_idx").orderBy("hpos", "vpos", "ord")
     numbered = placed.withColumn("elem_idx", F.row_number().over(in_line) - 1).withColumn("_more", F.lead("ord").over(in_line).isNotNull())
     size = (F.length("content") + 1).cast("long")  # its own letters, and the space or line feed after it
-    before = Window.partitionBy("doc_id").orderBy("line_idx", "elem_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(size).over(before), F.lit(0))
-    out = numbered.withColumn("start_char", start)
+    out = _running(numbered, ["line_idx", "elem_idx"], size, "start_char", together)
     return out.select("doc_id", "line_idx", "elem_idx", "start_char", (F.col("start_char") + F.length("content") + F.col("_more").cast("int")).alias("end_char"), "hpos", "vpos", "content")
 
 
-def reading_lines(elements: DataFrame) -> DataFrame:
-    """(doc_id, line_idx, text, start_char, end_char, first_hpos, first_vpos)."""
-    placed = anchored(elements, "doc_id", "vpos")
+def reading_lines(elements: DataFrame, together: bool = False) -> DataFrame:
+    """(doc_id, line_idx, text, start_char, end_char, first_hpos, first_vpos).  together: as for spatial_map."""
+    placed = anchored(elements, "doc_id", "vpos", together=together)
     words = F.array_sort(F.collect_list(F.struct("hpos", "vpos", "ord", "content")))
     grouped = placed.groupBy("doc_id", "line_idx").agg(words.alias("w"))
     lines = grouped.select("doc_id", "line_idx", F.array_join(F.transform("w", lambda x: x["content"]), " ").alias("text"), F.get("w", F.lit(0)).alias("f"))
-    before = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text").cast("long") + 1).over(before), F.lit(0))
-    return lines.withColumn("start_char", start).select(
+    return _running(lines, ["line_idx"], F.length("text").cast("long") + 1, "start_char", together).select(
         "doc_id", "line_idx", "text", "start_char", (F.col("start_char") + F.length("text")).alias("end_char"), F.col("f.hpos").alias("first_hpos"), F.col("f.vpos").alias("first_vpos")
     )
 
@@ -79,21 +73,32 @@ def document_text(lines: DataFrame) -> DataFrame:
 
 
 def nearest_line(lines: DataFrame, clicks: DataFrame) -> DataFrame:
-    """(click_id, doc_id, line_idx, position): the line nearest to a clicked row, the first of equals, and the character there."""
-    row = F.greatest(F.floor(F.col("first_vpos") / 12).cast("int"), F.lit(1))
-    best = lines.join(clicks, "doc_id").groupBy("click_id", "doc_id").agg(
-        F.min(F.struct(F.abs(F.col("row") - row).alias("distance"), "line_idx", "start_char", F.length("text").alias("letters"), "first_hpos", "col")).alias("b"), F.max("line_idx").alias("last")
-    )
+    """(click_id, doc_id, line_idx, position): the line nearest to a clicked row, the first of equals, and the character there.
+
+    Only the last row of lines up to the click's and the first one after it come into question.
+    """
+    row = F.greatest(F.floor(F.col("first_vpos") / 12).cast("int"), F.lit(1)).alias("row")
+    line = F.min(F.struct("line_idx", "start_char", F.length("text").alias("letters"), "first_hpos")).alias("line")
+    near = neighbours(lines.groupBy("doc_id", row).agg(line), clicks, "doc_id", "row")
+    of = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col("row") - F.col(f"{side}.row")).alias("distance"), *[F.col(f"{side}.line.{c}").alias(c) for c in ("line_idx", "start_char", "letters", "first_hpos")]))
+    best = near.select("click_id", "doc_id", "col", F.least(of("before"), of("after")).alias("b")).where("b is not null")
+    last = lines.groupBy("doc_id").agg(F.max("line_idx").alias("last"))
     column = F.greatest(F.floor(F.col("b.first_hpos") / 8).cast("int"), F.lit(1))
     # the last character of the document's last line can't be reached: one is taken off for a line feed that it lacks
     reach = F.col("b.letters") - F.when(F.col("b.line_idx") == F.col("last"), F.least(F.lit(1), F.col("b.letters"))).otherwise(0)
-    at = F.least(F.greatest(F.col("b.col") - column, F.lit(0)), reach)
-    return best.select("click_id", "doc_id", F.col("b.line_idx").alias("line_idx"), (F.col("b.start_char") + at).alias("position"))
+    at = F.least(F.greatest(F.col("col") - column, F.lit(0)), reach)
+    return best.join(last, "doc_id").select("click_id", "doc_id", F.col("b.line_idx").alias("line_idx"), (F.col("b.start_char") + at).alias("position"))
+
+
+#: Characters of one cell.
+CELL = 4096
 
 
 def overlapping(spans: DataFrame, selections: DataFrame) -> DataFrame:
-    """Spans that a selection [sel_start, sel_end) of their document touches."""
-    return spans.join(selections, "doc_id").where((F.col("sel_start") < F.col("end_char")) & (F.col("sel_end") > F.col("start_char")))
+    """Spans that a selection [sel_start, sel_end) of their document touches, once for each of its selections."""
+    closed = lambda low, high: (F.col(low), F.greatest(F.col(high) - 1, F.col(low)))
+    pairs = overlap_join(spans, selections, ["doc_id"], [Axis(*closed("start_char", "end_char"), *closed("sel_start", "sel_end"), CELL)])
+    return pairs.where((F.col("sel_start") < F.col("end_char")) & (F.col("sel_end") > F.col("start_char")))
 
 
 def merge_islands(regions: DataFrame) -> DataFrame:

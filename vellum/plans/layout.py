@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import confidence_bucket
-from ..operators import geometry, grid, grouping
+from ..operators import edit, geometry, grid, grouping
 from ..sources import readers, views
 from .base import CELLS, ELEMENTS, GLYPHS, GRID, LINES, MAP, READING, SIZES, STARTS, WORDS, by_document, documents, register, segments_sql
 
@@ -18,7 +18,7 @@ _CELLS = f"{_GLYPHS}, {SIZES}, {CELLS}"
 @register("line_reconstruct", "doc_id:l line_idx:l text:s start_char:l end_char:l", _READ + "SELECT *, start_char + length(text) AS end_char FROM reading")
 def line_reconstruct(spark, sf_dir):
     """Reading lines of positioned words, with their character range in the document."""
-    return grouping.reading_lines(views.elements(by_document(spark, sf_dir)))
+    return grouping.reading_lines(views.elements(by_document(spark, sf_dir)), together=True)
 
 
 @register(
@@ -27,13 +27,13 @@ def line_reconstruct(spark, sf_dir):
 )
 def spatial_map(spark, sf_dir):
     """Character ranges of words in reading order."""
-    return grouping.spatial_map(views.elements(by_document(spark, sf_dir)))
+    return grouping.spatial_map(views.elements(by_document(spark, sf_dir)), together=True)
 
 
 @register("document_text", "doc_id:l text:s", _READ + "SELECT doc_id, string_agg(text, chr(10) ORDER BY line_idx) AS text FROM reading GROUP BY doc_id")
 def document_text(spark, sf_dir):
     """Each document's reconstructed text."""
-    return grouping.document_text(grouping.reading_lines(views.elements(by_document(spark, sf_dir))))
+    return grouping.document_text(grouping.reading_lines(views.elements(by_document(spark, sf_dir)), together=True))
 
 
 @register(
@@ -239,3 +239,50 @@ def selection_overlap(spark, sf_dir):
     docs = by_document(spark, sf_dir)
     start = (F.col("doc_id") * 17) % 300
     return grouping.overlapping(grouping.spatial_map(views.elements(docs)), docs.select("doc_id", start.alias("sel_start"), (start + 40).alias("sel_end")))
+
+
+_THREE = "(SELECT unnest(range(3)) AS k) AS q"
+
+
+def _three(docs):
+    """Each document three times, with k from 0 to 2."""
+    return docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+
+
+@register(
+    "selections_overlap", "sel_id:l doc_id:l line_idx:l elem_idx:l",
+    f"""WITH RECURSIVE {LINES}, {WORDS}, {ELEMENTS}, {STARTS}, {MAP}, marks AS (SELECT doc_id * 3 + k AS sel_id, doc_id, (doc_id * 17 + k * 1009) % 6000 AS a, (doc_id * 17 + k * 1009) % 6000 + doc_id % 40 * (k + 1) AS b FROM documents, {_THREE}) @@
+      SELECT sel_id, s.doc_id, line_idx, elem_idx FROM spatial AS s JOIN marks AS m ON s.doc_id = m.doc_id AND a < end_char AND b > start_char""",
+)
+def selections_overlap(spark, sf_dir):
+    """Words that each of several character ranges of their document touches, some of these empty."""
+    docs, d, k = by_document(spark, sf_dir), F.col("doc_id"), F.col("k")
+    start = (d * 17 + k * 1009) % 6000
+    marks = _three(docs).select((d * 3 + k).alias("sel_id"), "doc_id", start.alias("sel_start"), (start + d % 40 * (k + 1)).alias("sel_end"))
+    return grouping.overlapping(grouping.spatial_map(views.elements(docs), together=True), marks)
+
+
+@register(
+    "word_viewports", "view_id:l doc_id:l ord:l",
+    f"""WITH {LINES}, {WORDS}, {ELEMENTS}, screens AS (SELECT doc_id * 3 + k AS view_id, doc_id, 200e0 * k AS vx, 60e0 * k + doc_id % 50 AS vy, 90e0 + doc_id % 300 AS vw, 240e0 AS vh FROM documents, {_THREE}) @@
+      SELECT view_id, e.doc_id, ord FROM elements AS e JOIN screens AS v ON e.doc_id = v.doc_id AND hpos <= vx + vw AND vx <= hpos + width AND vpos <= vy + vh AND vy <= vpos + height""",
+)
+def word_viewports(spark, sf_dir):
+    """Words in each of several viewports of their document."""
+    docs, d, k = by_document(spark, sf_dir), F.col("doc_id"), F.col("k")
+    screens = _three(docs).select((d * 3 + k).alias("view_id"), "doc_id", (k * F.lit(200.0)).alias("vx"), (k * F.lit(60.0) + d % 50).alias("vy"), (F.lit(90.0) + d % 300).alias("vw"), F.lit(240.0).alias("vh"))
+    boxes = views.elements(docs).select("doc_id", "ord", F.col("hpos").alias("x"), F.col("vpos").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    return geometry.in_views(boxes, screens)
+
+
+@register(
+    "select_rects", "sel_id:l doc_id:l row_off:l text:s",
+    f"""WITH {LINES}, marks AS (SELECT doc_id * 3 + k AS sel_id, doc_id, (doc_id + k * 5) % 30 AS r0, (doc_id * 3) % 20 AS r1, k * 11 AS c0, doc_id % 60 AS c1 FROM documents, {_THREE}) @@
+      SELECT sel_id, l.doc_id, r - least(r0, r1) AS row_off, rpad(substr(text, CAST(least(c0, c1) + 1 AS INTEGER), CAST(abs(c1 - c0) + 1 AS INTEGER)), CAST(abs(c1 - c0) + 1 AS INTEGER), ' ') AS text
+      FROM lines AS l JOIN marks AS m ON l.doc_id = m.doc_id AND r BETWEEN least(r0, r1) AND greatest(r0, r1)""",
+)
+def select_rects(spark, sf_dir):
+    """What each of several rectangles of a document selects, filled up with spaces."""
+    docs, d, k = by_document(spark, sf_dir), F.col("doc_id"), F.col("k")
+    marks = _three(docs).select((d * 3 + k).alias("sel_id"), "doc_id", ((d + k * 5) % 30).alias("r0"), ((d * 3) % 20).alias("r1"), (k * 11).alias("c0"), (d % 60).alias("c1"))
+    return edit.many_selected(views.lines(docs).withColumnRenamed("r", "row_idx"), marks)

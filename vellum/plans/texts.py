@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, edit, grid, grouping, report, rope, search
+from ..operators import anchors, catalog, edit, grid, grouping, report, rope, search
 from ..sources import readers, views
 from .base import EXPORT, GRID, LINES, MARKS, WORDS, by_document, documents, register
 
@@ -386,4 +386,4 @@ def edit_replay_rope(spark, sf_dir):
 def anchor_sessions(spark, sf_dir):
     """Users' events in sessions of at most a day from a session's first event."""
     timed = events(spark, sf_dir).select("user_id", "event_id", F.expr("cast(timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as double)").alias("s"))
-    return grouping.anchored(timed, "user_id", "s", 86400.0).groupBy("user_id", F.col("line_idx").alias("session")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+    return anchors.anchored(timed, "user_id", "s", 86400.0).groupBy("user_id", F.col("line_idx").alias("session")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
