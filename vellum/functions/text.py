@@ -36,6 +36,12 @@ def not_blank(text: Column) -> Column:
     return text.rlike("(?U)\\S")
 
 
+def first_bytes(text: Column, most: int) -> Column:
+    """The characters that lie whole within the first ``most`` bytes."""
+    fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: F.octet_length(F.left(text, n)) <= most)
+    return F.left(text, F.size(fits))
+
+
 def sanitise(text: Column) -> Column:
     """Tabs become four spaces, carriage returns line feeds; other control characters but line feeds go."""
     spaced = F.translate(F.replace(text, F.lit("\t"), F.lit("    ")), "\r", "\n")

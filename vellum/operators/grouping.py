@@ -6,16 +6,19 @@ sums in two levels (``running``): within coarse parts, and over these.
 
 Regions: cells of one row whose hulls are at most 2 apart merge.  For cells that
 arrive in order of x that is a gap-and-island pass; the arrival order matters
-otherwise, and ``merge_exact`` follows it.
+otherwise, and ``merge_exact`` follows it, in Python for rows that need it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
 from .anchors import anchored
 from .bins import Axis, overlap_join
 from .running import neighbours, running_sum
@@ -113,58 +116,85 @@ def merge_islands(regions: DataFrame) -> DataFrame:
     return merged.select("doc_id", "page", "y", "x", "width", "region_id", F.array_join(F.transform("l", lambda c: c["ch"]), "").alias("text"))
 
 
-def _greedy(cells: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """(x, width, region_id, text) of one row's regions: a seed sweeps the rest again and again, growing by whatever is near."""
-    left, out = cells, []
-    while left:
-        (first, x, text), left = left[0], left[1:]
-        start, end, letters, grew = x, x + 1, [text], True
-        while grew:
-            grew, rest = False, []
-            for cell in left:
-                at = cell[1]
-                if abs(at - end) <= GAP or abs(start - (at + 1)) <= GAP:
-                    start, end = min(start, at), max(end, at + 1)
-                    letters.append(cell[2])
-                    grew = True
-                else:
-                    rest.append(cell)
-            left = rest
-        out.append((start, end - start, first, "".join(letters)))
+def _greedy(number: np.ndarray, x: np.ndarray, ch: np.ndarray) -> list[tuple[int, int, int, str]]:
+    """(x, width, region_id, text) of one row's regions: a seed sweeps the open cells again and again, growing by whatever is near.
+
+    Open cells stand by their x, in order of arrival.  What a region can take next is at
+    one of ten places around its ends; a sweep goes on with the first of these
+    that comes after the last one it took, each found by halving.
+    """
+    queues: dict[int, list[int]] = {}
+    for i, at in enumerate(x.tolist()):
+        queues.setdefault(at, []).append(i)
+    taken, out = [False] * len(x), []
+    for seed in range(len(x)):
+        if taken[seed]:
+            continue
+        own = queues[int(x[seed])]
+        del own[bisect_left(own, seed)]
+        start, end, letters, last, grew = int(x[seed]), int(x[seed]) + 1, [ch[seed]], -1, False
+        while True:
+            near = {*range(end - GAP, end + GAP + 1), *range(start - 1 - GAP, start - 1 + GAP + 1)}
+            best, of = None, None
+            for queue in filter(None, map(queues.get, near)):
+                k = bisect_right(queue, last)
+                if k < len(queue) and (best is None or queue[k] < best):
+                    best, of = queue[k], queue
+            if best is None:
+                if not grew:
+                    break
+                last, grew = -1, False
+                continue
+            del of[bisect_left(of, best)]
+            taken[best], last, grew = True, best, True
+            at = int(x[best])
+            start, end = min(start, at), max(end, at + 1)
+            letters.append(ch[best])
+        out.append((start, end - start, int(number[seed]), "".join(letters)))
     return out
 
 
-def _islands(cells: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """The same for cells in order of x, in one pass."""
-    out, part = [], [cells[0]]
-    for cell in cells[1:]:
-        if cell[1] - part[-1][1] - 1 > GAP:
-            out.append(part)
-            part = []
-        part.append(cell)
-    return [(p[0][1], p[-1][1] + 1 - p[0][1], p[0][0], "".join(c[2] for c in p)) for p in [*out, part]]
+_ROW = ["doc_id", "page", "y"]
+_REGION = "doc_id long, page int, y int, x int, width int, region_id long, text string"
+
+
+def _ordered_rows(rows: DataFrame) -> DataFrame:
+    """Regions of rows (doc_id, page, y, cells) whose cells, an array in order of arrival, are in order of x: cut where a gap is too wide."""
+    cells = F.col("cells")
+    at = lambda i: F.get(cells, i)["x"]
+    # no sequence from 1 down to 0 for a single cell
+    cuts = F.when(F.size(cells) > 1, F.filter(F.sequence(F.lit(1), F.size(cells) - 1), lambda i: at(i) - at(i - 1) - 1 > GAP)).otherwise(F.expr("cast(array() as array<int>)"))
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("a"), F.concat(cuts, F.array(F.size(cells))).alias("b"))
+    each = rows.select(*_ROW, "cells", F.explode(bounds).alias("p")).select(*_ROW, F.slice(cells, F.col("p.a") + 1, F.col("p.b") - F.col("p.a")).alias("l"))
+    first, last = F.get("l", F.lit(0)), F.element_at("l", -1)
+    return each.select(*_ROW, first["x"].alias("x"), (last["x"] + 1 - first["x"]).alias("width"), first["region_id"].alias("region_id"), F.array_join(F.transform("l", lambda c: c["ch"]), "").alias("text"))
+
+
+def _sweeps(rows: DataFrame) -> DataFrame:
+    """Regions of rows (doc_id, page, y, cells) in any order."""
+
+    def run(frames):
+        for frame in frames:
+            out = [
+                (doc, page, y, *region)
+                for doc, page, y, number, x, ch in zip(frame["doc_id"], frame["page"], frame["y"], frame["number"], frame["x"], frame["ch"])
+                for region in _greedy(number, x, ch)
+            ]
+            yield pd.DataFrame(out, columns=["doc_id", "page", "y", "x", "width", "region_id", "text"])
+
+    part = lambda c: F.transform("cells", lambda cell: cell[c])
+    return rows.select(*_ROW, part("region_id").alias("number"), part("x").alias("x"), part("ch").alias("ch")).mapInPandas(run, _REGION)
 
 
 def merge_exact(regions: DataFrame) -> DataFrame:
     """As merge_islands, for any arrival order: regions grow as cells come.
 
-    A page at a time; in each row the choice between one pass, for cells that arrive in
-    order of x, and the sweeps that any other order needs is made by looking at it.
+    Cells are gathered by row of the grid once.  Rows whose cells arrive in order of x are cut
+    within Spark; only others are swept, n cells in n log n.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y, number, x = (rows[c].to_numpy() for c in ("y", "region_id", "x"))
-        order = np.lexsort((number, y))
-        y, number, x, ch = y[order], number[order], x[order], rows["ch"].to_numpy()[order]
-        bounds = [0, *(np.flatnonzero(np.diff(y)) + 1).tolist(), len(y)]
-        out = []
-        for a, b in zip(bounds, bounds[1:]):
-            cells = list(zip(number[a:b].tolist(), x[a:b].tolist(), ch[a:b]))
-            merge = _islands if (np.diff(x[a:b]) >= 0).all() else _greedy
-            out += [(y[a], *region) for region in merge(cells)]
-        made = pd.DataFrame(out, columns=["y", "x", "width", "region_id", "text"])
-        made.insert(0, "doc_id", rows["doc_id"].iloc[0])
-        made.insert(1, "page", rows["page"].iloc[0])
-        return made
-
-    return regions.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, y int, x int, width int, region_id long, text string")
+    rows = regions.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct(F.col("region_id").cast("long").alias("region_id"), F.col("x").cast("int").alias("x"), "ch"))).alias("cells"))
+    rows = written(rows)
+    x = F.transform("cells", lambda c: c["x"])
+    ordered = F.array_sort(x) == x
+    cast = [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in _REGION.split(", ")]
+    return _ordered_rows(rows.where(ordered)).select(*cast).union(_sweeps(rows.where(~ordered)).select(*cast))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import numbered, pad
+from ..functions.text import first_bytes, not_blank, numbered, pad
 
-# The lines that a console report has whatever the page.
+# The lines and heads that a console report has whatever the page.
 DEFAULTS = (
     "✅ Successfully processed PDF with Ferrules ML vision model",
     "✅ Generated spatial character matrix representation",
@@ -21,6 +21,7 @@ ISSUES = (
 )
 CONSOLE_HEAD = "📊 Ferrules Character Matrix Output - Exact Placement Visualization"
 TOGGLES = "Toggle Text Highlighting Toggle Grid Lines"
+DONE_HEAD, ISSUES_HEAD = "What Ferrules Accomplished:", "Placement Issues:"
 
 
 def with_regions(grids: DataFrame, regions: DataFrame) -> DataFrame:
@@ -45,14 +46,17 @@ def matrix_report(grids: DataFrame, char_w: float, char_h: float) -> DataFrame:
 
 
 def console_report(grids: DataFrame) -> DataFrame:
-    """(doc_id, text), blanks shown as dots; of the first five regions those with text, or three set lines."""
+    """(doc_id, text), blanks shown as dots; of the first five regions those with text, or three set lines.
+
+    A region of white space of any kind has no text; one of over 50 bytes is cut after the last whole character within 50.
+    """
     head = [F.lit(CONSOLE_HEAD), F.format_string("Matrix Size: %d columns × %d rows", "width", "height"), F.format_string("Regions Detected: %d", F.size("regions"))]
     head += [F.format_string("Text Objects: %d", "objects"), F.lit("Processing Time: N/A"), F.lit(TOGGLES)]
     rows = F.transform("lines", lambda x, i: numbered(F.translate(pad(x, F.col("width")), " ", "·"), i, 3))
     # the five come first, then the blank ones go
-    found = F.filter(F.slice("regions", F.lit(1), F.lit(5)), lambda r: F.trim(r["text"]) != "")
-    preview = lambda t: F.when(F.octet_length(t) > 50, F.concat(F.left(t, F.lit(50)), F.lit("..."))).otherwise(t)
+    found = F.filter(F.slice("regions", F.lit(1), F.lit(5)), lambda r: not_blank(r["text"]))
+    preview = lambda t: F.when(F.octet_length(t) > 50, F.concat(first_bytes(t, 50), F.lit("..."))).otherwise(t)
     told = F.transform(found, lambda r: F.format_string('✅ Found text region %d: "%s" (Confidence: %.1f%%)', r["i"] + 1, preview(r["text"]), r["confidence"] * 100))
     fixed = lambda lines: F.array(*[F.lit(x) for x in lines])
-    parts = [F.array(*head), rows, fixed(["What Ferrules Accomplished:"]), F.when(F.size(told) > 0, told).otherwise(fixed(DEFAULTS)), fixed(["Placement Issues:"]), fixed(ISSUES)]
+    parts = [F.array(*head), rows, fixed([DONE_HEAD]), F.when(F.size(told) > 0, told).otherwise(fixed(DEFAULTS)), fixed([ISSUES_HEAD]), fixed(ISSUES)]
     return _report(grids, *parts)

@@ -48,6 +48,25 @@ def search_highlight(spark, sf_dir):
     return search.highlighted(starts, search.find(views.lines(docs).withColumnRenamed("r", "row_idx"), "en"))
 
 
+@register(
+    "highlight_runs", "doc_id:l row_idx:l start:l end:l style:s",
+    _HITS + """, chars AS (SELECT doc_id, r AS row_idx, unnest(range(length(text))) AS c FROM lines),
+    styled AS (
+      SELECT c.doc_id, c.row_idx, c.c, CASE WHEN c.row_idx BETWEEN least(c.doc_id % 7, c.doc_id % 4) AND greatest(c.doc_id % 7, c.doc_id % 4) AND c.c BETWEEN least(c.doc_id % 31, c.doc_id % 53) AND greatest(c.doc_id % 31, c.doc_id % 53) THEN 'selection'
+        WHEN c.row_idx = c.doc_id % 3 AND c.c = c.doc_id % 40 THEN 'cursor' WHEN h.doc_id IS NOT NULL THEN 'hit' END AS style
+      FROM chars AS c LEFT JOIN hits AS h ON h.doc_id = c.doc_id AND h.row_idx = c.row_idx AND c.c BETWEEN h.col_char AND h.col_char + 1),
+    marked AS (SELECT *, c - row_number() OVER (PARTITION BY doc_id, row_idx, style ORDER BY c) AS g FROM styled WHERE style IS NOT NULL) @@
+    SELECT doc_id, row_idx, min(c) AS start, max(c) + 1 AS "end", style FROM marked GROUP BY doc_id, row_idx, style, g""",
+)
+def highlight_runs(spark, sf_dir):
+    """How rows are to be coloured: a selection over the cursor over hits of 'en', both letters of them."""
+    rows, d = _rows(spark, sf_dir), F.col("doc_id")
+    docs = documents(spark, sf_dir)
+    marks = docs.select("doc_id", (d % 7).alias("r0"), (d % 31).alias("c0"), (d % 4).alias("r1"), (d % 53).alias("c1"))
+    cursors = docs.select("doc_id", (d % 3).alias("row_idx"), (d % 40).alias("col"))
+    return search.highlight_runs(rows, marks, cursors, search.find(rows, "en"), hit_length=2)
+
+
 def _grid(spark, sf_dir):
     """Each document's grid with its normalised selection."""
     d = F.col("doc_id")
@@ -259,19 +278,31 @@ def _quoted(lines) -> str:
     return " || chr(10) || ".join("'" + x + "'" for x in lines)
 
 
+# Characters of white space.
+_BLANK = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SHOWN = f"""WITH {LINES}, {GRID}, regions AS (
+  SELECT doc_id, r AS i, CASE r % 5 WHEN 1 THEN chr(9) || chr(160) || chr(8195) WHEN 3 THEN repeat('é', doc_id % 30) || '漢🙂' || text ELSE text END AS text FROM lines),
+counted AS (SELECT g.*, coalesce(n, 0) AS n FROM grid AS g LEFT JOIN (SELECT doc_id, count(*) AS n FROM regions GROUP BY 1) AS c ON g.doc_id = c.doc_id)"""
+
+
 @register(
     "console_report", "doc_id:l text:s",
-    _REPORT + f""", body AS (SELECT doc_id, string_agg(printf('%3d ', row_idx) || replace(text, ' ', '·'), chr(10) ORDER BY row_idx) AS t FROM grid_rows GROUP BY 1),
-    tail AS (SELECT doc_id, string_agg(printf('✅ Found text region %d: "%s" (Confidence: 100.0%%)', i + 1, CASE WHEN strlen(text) > 50 THEN left(text, 50) || '...' ELSE text END), chr(10) ORDER BY i) AS t
-      FROM regions WHERE i < 5 GROUP BY 1) @@
+    _SHOWN + f""", body AS (SELECT doc_id, string_agg(printf('%3d ', row_idx) || replace(text, ' ', '·'), chr(10) ORDER BY row_idx) AS t FROM grid_rows GROUP BY 1),
+    tail AS (SELECT doc_id, string_agg(printf('✅ Found text region %d: "%s" (Confidence: 100.0%%)', i + 1,
+        CASE WHEN strlen(text) > 50 THEN left(text, len(list_filter(range(1, 51), lambda k: strlen(left(text, k)) <= 50))) || '...' ELSE text END), chr(10) ORDER BY i) AS t
+      FROM regions WHERE i < 5 AND regexp_matches(text, '[^{_BLANK}]') GROUP BY 1) @@
     SELECT c.doc_id, '{report.CONSOLE_HEAD}' || chr(10) || printf('Matrix Size: %d columns × %d rows', width, height) || chr(10) || printf('Regions Detected: %d', n) || chr(10) || printf('Text Objects: %d', n) || chr(10)
-      || 'Processing Time: N/A' || chr(10) || '{report.TOGGLES}' || chr(10) || body.t || chr(10) || 'What Ferrules Accomplished:' || chr(10) || coalesce(tail.t, {_quoted(report.DEFAULTS)}) || chr(10)
-      || 'Placement Issues:' || chr(10) || {_quoted(report.ISSUES)} AS text
+      || 'Processing Time: N/A' || chr(10) || '{report.TOGGLES}' || chr(10) || body.t || chr(10) || '{report.DONE_HEAD}' || chr(10) || coalesce(tail.t, {_quoted(report.DEFAULTS)}) || chr(10)
+      || '{report.ISSUES_HEAD}' || chr(10) || {_quoted(report.ISSUES)} AS text
     FROM counted AS c JOIN body ON c.doc_id = body.doc_id LEFT JOIN tail ON c.doc_id = tail.doc_id""",
 )
 def console_report(spark, sf_dir):
-    """Each document's grid and regions as a console report."""
-    return report.console_report(_reported(spark, sf_dir))
+    """Each document's grid and regions, one for each line, as a console report; some regions hold white space only, some many bytes a character."""
+    shown = lambda x, i: F.when(i % 5 == 1, "\t\xa0\u2003").when(i % 5 == 3, F.concat(F.repeat(F.lit("é"), (F.col("doc_id") % 30).cast("int")), F.lit("漢🙂"), x)).otherwise(x)
+    region = lambda x, i: F.struct(i.alias("i"), F.lit(0).alias("x"), i.alias("y"), F.length(x).alias("width"), F.lit(1).alias("height"), F.lit(1.0).alias("confidence"), shown(x, i).alias("text"))
+    grids = grid.text_grid(documents(spark, sf_dir), keep=("text",))
+    regions = grids.withColumn("regions", F.transform(F.split("text", "\n", -1), region))
+    return report.console_report(regions.withColumn("objects", F.size("regions")))
 
 
 def events(spark, sf_dir):
