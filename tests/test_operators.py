@@ -162,15 +162,6 @@ def test_empty_tables(spark):
     assert geometry.grid_size(views.segments(docs)).count() == 0
 
 
-def test_files(spark, tmp_path):
-    for name in ("b.pdf", "a.pdf", "c.PDF", "d.txt"):
-        (tmp_path / name).write_text("x")
-    assert [r.path.rsplit("/", 1)[1] for r in readers.pdf_paths(spark, str(tmp_path)).collect()] == ["a.pdf", "b.pdf"]
-    rows = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd")], "doc_id long, row_idx int, text string")
-    grid.write_grid(rows, str(tmp_path / "out"), numbers=True)
-    assert [r.value for r in spark.read.text(str(tmp_path / "out" / "doc_id=1")).collect()] == ["   1 ab", "   2 cd"]
-
-
 def test_rejection(spark):
     paths = ["/a/b.pdf", "/a/.pdf", "/a/pdf", "pdf", "x.PDF", "/a.pdf/b", "..pdf", "/a/b.pdf/", "a.b.pdf"]
     rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").orderBy("i").select(readers.rejection(F.lit(True), F.lit(True), F.col("p"))).collect()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import numbered, pad, strip_first_token, text_lines
+from ..sources.text_files import write_texts
 from .geometry import glyphs
 
 LEAST_ROWS, EMPTY_WIDTH = 25, 80
@@ -45,13 +46,10 @@ def grid_text(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
 
-def write_grid(rows: DataFrame, path: str, numbers: bool = False) -> None:
-    """One text file a document, in its own folder: rows in order, after their number from 1 if asked for.
-
-    Each document is a file that a user opens; for many documents write ``saved_text`` as a table instead.
-    """
-    text = numbered(F.col("text"), F.col("row_idx") + 1) if numbers else F.col("text")
-    rows.select("doc_id", "row_idx", text.alias("value")).repartition("doc_id").sortWithinPartitions("doc_id", "row_idx").select("doc_id", "value").write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_grids(grids: DataFrame, folder: str, numbers: bool = False) -> None:
+    """Each grid as the text file ``<doc_id>.matrix.txt`` in a new folder."""
+    saved = saved_text(grids, numbers)
+    write_texts(saved.select(F.concat("doc_id", F.lit(".matrix.txt")).alias("name"), "text"), folder)
 
 
 def padded_lines(docs: DataFrame) -> DataFrame:

@@ -141,18 +141,6 @@ def clipboard_targets(spark, sf_dir):
     return marks.select("doc_id", F.when(F.col("area") > edit.MOST_CELLS, "none").when(F.col("area") < 10_000, "both").otherwise("internal").alias("target"))
 
 
-@register(
-    "file_rejections", "page_id:l reason:s",
-    """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'not found' WHEN page_id % 5 = 0 THEN 'not a file' WHEN page_id % 11 IN (1, 2) OR page_id % 11 <> 3 AND page_id % 3 <> 0 THEN 'not a pdf' END AS reason FROM pages""",
-)
-def file_rejections(spark, sf_dir):
-    """Why a file isn't opened."""
-    p = F.col("page_id")
-    named = F.concat(F.lit("/data/f"), p.cast("string"), F.when(p % 3 == 0, ".pdf").otherwise(".PDF"))
-    path = F.when(p % 11 == 1, "/data/pdf").when(p % 11 == 2, "/da.ta/.pdf").when(p % 11 == 3, "/data/..pdf/").otherwise(named)
-    return views.table(spark, sf_dir, "pages").select("page_id", readers.rejection(p % 7 != 0, p % 5 != 0, path).alias("reason"))
-
-
 @register("cache_pages", "page_id:l last_turn:l", "SELECT conv_id AS page_id, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def cache_pages(spark, sf_dir):
     """The 20 keys used last, by another table's order."""

@@ -24,13 +24,3 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def touch(spark: SparkSession, paths: list[str]) -> None:
-    """Files of one byte, on any file system that Spark knows."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        out = at.getFileSystem(conf).create(at)
-        out.write(120)
-        out.close()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,18 +47,14 @@ def lines_with_numbers(lines: DataFrame, column: str = "text") -> DataFrame:
     return lines.where(F.col(column).rlike("^\\s*[0-9]"))
 
 
-def pdf_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of the files in a folder that end in exactly .pdf, in order; no file is read, and files of no bytes are not listed."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path").orderBy("path")
+def pdf_paths(files: DataFrame) -> DataFrame:
+    """(rank, folder, name, path, size) of the files of ``text_files.read_files`` that end in exactly .pdf, in order."""
+    return files.where(F.col("is_file") & F.col("name").rlike("(?s)^.+\\.pdf$")).select("rank", "folder", "name", "path", "size").orderBy("rank", "name", "path")
 
 
-def first_pdf(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """The first path of the first folder that has one."""
-    found = None
-    for rank, folder in enumerate(folders):
-        own = pdf_paths(spark, folder).select(F.lit(rank).alias("rank"), "path")
-        found = own if found is None else found.union(own)
-    return found.orderBy("rank", "path").limit(1).select("path")
+def first_pdf(files: DataFrame) -> DataFrame:
+    """(rank, folder, name, path, size): the first one of the first folder that has one."""
+    return pdf_paths(files).limit(1)
 
 
 def rejection(exists: Column, is_file: Column, path: Column) -> Column:
