@@ -6,22 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, f'\\b{name}="([^"]*)"', 1)
+#: What a reader of events meets: comments, character data and instructions, which are passed over whole, and the two tags that count, quoted values whole.
+_EVENT = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|</Page\s*+>|<(?:Page|String)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_ATTRIBUTE = r"""(?s)([^\s=/<>"']++)\s*+=\s*+("[^"]*+"|'[^']*+')"""
 
 
-def _number(text: Column) -> Column:
-    """The number, 0 where there is none."""
-    return F.coalesce(text.try_cast("double"), F.lit(0.0))
+def alto_strings(xml: Column) -> Column:
+    """The String tags of a document that stand inside a page, in order.
+
+    As a reader of events sees them: a page is entered by its tag, nested or empty as it may be,
+    and left at the next end tag, or never; what stands in comments or character data is no tag.
+    """
+    # XML has no characters of these numbers: one ends what one page's end closes, one ends a tag
+    shown = lambda t: F.when(t.startswith("<!") | t.startswith("<?"), "").when(t.startswith("</"), "\x01").otherwise(F.concat(t, F.lit("\x02")))
+    ended = F.array_join(F.transform(F.regexp_extract_all(xml, F.lit(_EVENT), F.lit(0)), shown), "")
+    entered = F.transform(F.split(ended, "\x01", -1), lambda part: F.regexp_extract(part, "(?s)(?:^|\x02)(<Page.*)", 1))
+    return F.filter(F.split(F.array_join(entered, ""), "\x02", -1), lambda t: t.startswith("<String"))
 
 
 def alto_elements(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """(doc_id, ord, content, hpos, vpos, width, height) of the String elements inside pages; entities stay as they are."""
-    pages = F.array_join(F.regexp_extract_all(xml, F.lit("(?s)<Page\\b[^>]*+>(.*?)</Page>"), F.lit(1)), "")
-    tags = docs.select("doc_id", F.posexplode(F.regexp_extract_all(pages, F.lit('<String\\b((?:[^>"]++|"[^"]*+")*+)>'), F.lit(1))).alias("ord", "tag"))
-    tag = F.col("tag")
-    parsed = tags.select("doc_id", "ord", _attribute(tag, "CONTENT").alias("content"), *[_number(_attribute(tag, c.upper())).alias(c) for c in ("hpos", "vpos", "width", "height")])
-    return parsed.where("content <> ''")
+    """(doc_id, ord, content, hpos, vpos, width, height) of the String elements inside pages; entities stay as they are.
+
+    Attributes stand in quotes of either kind, in any order; of one that comes twice the first counts. Numbers that
+    can't be read are 0; elements without content go, others keep their number.
+    """
+    tags = docs.select("doc_id", F.posexplode(alto_strings(F.col(xml))).alias("ord", "tag"))
+    split = tags.select("doc_id", "ord", F.regexp_extract_all("tag", F.lit(_ATTRIBUTE), F.lit(0)).alias("attributes"))
+    named = split.withColumn("names", F.transform("attributes", lambda a: F.rtrim(F.substring_index(a, "=", 1), F.lit(" \t\r\n"))))
+    own = lambda name: F.get("attributes", (F.array_position("names", name) - 1).cast("int")).alias(name.lower())
+    value = lambda a: F.substring(a, F.instr(F.translate(a, "'", '"'), '"') + 1, F.length(a))
+    # a filter over columns would be pushed below and read all attributes once more; one within an array isn't
+    some = F.filter(F.array(F.struct(*[own(n) for n in ("CONTENT", "HPOS", "VPOS", "WIDTH", "HEIGHT")])), lambda q: F.length(value(q["content"])) > 1)
+    each = named.select("doc_id", "ord", F.explode(some).alias("q")).select("doc_id", "ord", *[value(F.col(f"q.{n}")).alias(n) for n in ("content", "hpos", "vpos", "width", "height")])
+    bare = each.select("doc_id", "ord", *[F.left(n, F.length(n) - 1).alias(n) for n in ("content", "hpos", "vpos", "width", "height")])
+    plain = lambda n: ~F.col(n).rlike("[^0-9.eE+-]") | F.col(n).rlike("^[+-]?(?i:inf|infinity|nan)$")
+    number = lambda n: F.coalesce(F.when(plain(n), F.col(n).try_cast("double")), F.lit(0.0)).alias(n)
+    return bare.select("doc_id", "ord", "content", *[number(n) for n in ("hpos", "vpos", "width", "height")])
 
 
 def structured_text_cells(docs: DataFrame, text: str = "text", width: int = 200, height: int = 100) -> DataFrame:
