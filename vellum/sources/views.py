@@ -1,4 +1,4 @@
-"""Layout views of plain tables: positioned words, text segments, ALTO XML, structured text, and the four export tables.
+"""Layout views of plain tables: positioned words, text segments, ALTO XML, structured text, and the element tables of the export.
 
 The formulas give every word and line of ``documents`` an exact position in
 points, so the layout operators have whole tables of any size to work on.
@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import with_starts
+from .folders import ship
 
 PAGE_LINES, PAGE_HEIGHT = 60, 792.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def dealt(docs: DataFrame) -> DataFrame:
