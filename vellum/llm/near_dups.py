@@ -216,12 +216,15 @@ def _groups(members: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int
 
     def stars(spots: DataFrame, key: str, order, draws: int) -> DataFrame:
         """(centre, member): each member (id, label) of a bucket that holds several components with those of its centres that are in
-        another component than it, where sizes and signatures allow a link.  Centres are the first members of ``draws`` parts of the bucket."""
+        another component than it, where sizes and signatures allow a link.  Centres are the first members of ``draws`` parts of the bucket.
+        Members of a bucket's largest component are met as centres only: the others come to it, and it needn't come to each of them."""
         part = F.pmod(order, F.lit(draws))
         spot = F.struct(order.alias("order"), F.col("id").alias("centre"), F.col("label").alias("there"))
         first = [F.min(F.when(part == i, spot)).alias(f"c{i}") for i in range(draws)]
         centre = spots.groupBy(key).agg(*first, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        spots = spots.join(centre.select(key, *[f"c{i}" for i in range(draws)]), key)
+        largest = spots.groupBy(key, "label").agg(F.count("*").alias("size")).groupBy(key).agg(F.max(F.struct("size", "label")).alias("largest"))
+        centre = centre.join(largest, key).select(key, *[f"c{i}" for i in range(draws)], F.when(F.col("largest.size") > 1, F.col("largest.label")).alias("largest"))
+        spots = spots.join(centre, key).where("largest is null or label <> largest")
         apart = [F.when(F.col(f"c{i}.there") != F.col("label"), F.col(f"c{i}.centre")) for i in range(draws)]
         near = spots.select("id", F.explode(F.array_compact(F.array_distinct(F.array(*apart)))).alias("centre")).distinct()
         return near.join(heads, "id").join(there, "centre").where(_may_link(percent)).select("centre", F.col("id").alias("member"))
