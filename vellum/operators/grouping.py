@@ -11,9 +11,6 @@ otherwise, and ``merge_exact`` follows it, in Python for rows that need it.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +19,7 @@ from ..sources.folders import written
 from .anchors import anchored
 from .bins import Axis, overlap_join
 from .running import neighbours, running_sum
-
-GAP = 2
+from .sweeps import GAP, greedy
 
 
 #: Lines of one part of a running sum.
@@ -106,52 +102,19 @@ def overlapping(spans: DataFrame, selections: DataFrame) -> DataFrame:
 
 def merge_islands(regions: DataFrame) -> DataFrame:
     """(doc_id, page, y, x, width, region_id, text): merged regions of (doc_id, page, region_id, x, y, ch), for cells in order of x within rows."""
+    return merge_pieces(regions.select("doc_id", "page", "y", "x", (F.col("x") + 1).alias("end"), "region_id", F.col("ch").alias("text")))
+
+
+def merge_pieces(pieces: DataFrame) -> DataFrame:
+    """As merge_islands, of (doc_id, page, y, x, end, region_id, text): cells from x to before ``end``, numbered from region_id on, that no wide gap divides."""
     row = Window.partitionBy("doc_id", "page", "y")
     order = row.orderBy("x", "region_id")
-    reach = F.max(F.col("x") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = regions.withColumn("_new", F.when(F.coalesce(F.col("x") - reach > GAP, F.lit(True)), 1).otherwise(0))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = pieces.withColumn("_new", F.when(F.coalesce(F.col("x") - reach > GAP, F.lit(True)), 1).otherwise(0))
     islands = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    letters = F.array_sort(F.collect_list(F.struct("region_id", "ch")))
-    merged = islands.groupBy("doc_id", "page", "y", "_island").agg(F.min("x").alias("x"), (F.max("x") + 1 - F.min("x")).alias("width"), F.min("region_id").alias("region_id"), letters.alias("l"))
-    return merged.select("doc_id", "page", "y", "x", "width", "region_id", F.array_join(F.transform("l", lambda c: c["ch"]), "").alias("text"))
-
-
-def _greedy(number: np.ndarray, x: np.ndarray, ch: np.ndarray) -> list[tuple[int, int, int, str]]:
-    """(x, width, region_id, text) of one row's regions: a seed sweeps the open cells again and again, growing by whatever is near.
-
-    Open cells stand by their x, in order of arrival.  What a region can take next is at
-    one of ten places around its ends; a sweep goes on with the first of these
-    that comes after the last one it took, each found by halving.
-    """
-    queues: dict[int, list[int]] = {}
-    for i, at in enumerate(x.tolist()):
-        queues.setdefault(at, []).append(i)
-    taken, out = [False] * len(x), []
-    for seed in range(len(x)):
-        if taken[seed]:
-            continue
-        own = queues[int(x[seed])]
-        del own[bisect_left(own, seed)]
-        start, end, letters, last, grew = int(x[seed]), int(x[seed]) + 1, [ch[seed]], -1, False
-        while True:
-            near = {*range(end - GAP, end + GAP + 1), *range(start - 1 - GAP, start - 1 + GAP + 1)}
-            best, of = None, None
-            for queue in filter(None, map(queues.get, near)):
-                k = bisect_right(queue, last)
-                if k < len(queue) and (best is None or queue[k] < best):
-                    best, of = queue[k], queue
-            if best is None:
-                if not grew:
-                    break
-                last, grew = -1, False
-                continue
-            del of[bisect_left(of, best)]
-            taken[best], last, grew = True, best, True
-            at = int(x[best])
-            start, end = min(start, at), max(end, at + 1)
-            letters.append(ch[best])
-        out.append((start, end - start, int(number[seed]), "".join(letters)))
-    return out
+    letters = F.array_sort(F.collect_list(F.struct("region_id", "text")))
+    merged = islands.groupBy("doc_id", "page", "y", "_island").agg(F.min("x").alias("x"), (F.max("end") - F.min("x")).alias("width"), F.min("region_id").alias("region_id"), letters.alias("l"))
+    return merged.select("doc_id", "page", "y", "x", "width", "region_id", F.array_join(F.transform("l", lambda c: c["text"]), "").alias("text"))
 
 
 _ROW = ["doc_id", "page", "y"]
@@ -178,7 +141,7 @@ def _sweeps(rows: DataFrame) -> DataFrame:
             out = [
                 (doc, page, y, *region)
                 for doc, page, y, number, x, ch in zip(frame["doc_id"], frame["page"], frame["y"], frame["number"], frame["x"], frame["ch"])
-                for region in _greedy(number, x, ch)
+                for region in greedy(number, x, ch)
             ]
             yield pd.DataFrame(out, columns=["doc_id", "page", "y", "x", "width", "region_id", "text"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import confidence_bucket
-from ..operators import edit, geometry, grid, grouping
+from ..operators import cells, edit, geometry, grid, grouping
 from ..sources import readers, views
 from .base import CELLS, ELEMENTS, GLYPHS, GRID, LINES, MAP, READING, SIZES, STARTS, WORDS, by_document, documents, register, segments_sql
 
@@ -105,6 +105,15 @@ def _glyph_cells(spark, sf_dir, pitch=7.0):
     return grid.glyph_cells(segments, geometry.grid_size(segments))
 
 
+def _placed(spark, sf_dir, pitch=7.0):
+    segments = views.segments(by_document(spark, sf_dir), pitch)
+    return cells.placed(segments, geometry.grid_size(segments))
+
+
+def _merged(spark, sf_dir):
+    return grouping.merge_pieces(cells.pieces(_placed(spark, sf_dir, 14.0)))
+
+
 _ROWS = "SELECT doc_id, page, y, count(*) AS n, min(x) AS first_x, max(x) AS last_x, string_agg(ch, '' ORDER BY x) AS text FROM {0} GROUP BY 1, 2, 3"
 
 
@@ -141,7 +150,7 @@ regions AS (SELECT doc_id, page, y, min(x) AS x, max(x) + 1 - min(x) AS width, m
 @register("merge_regions", "doc_id:l page:l y:l x:l width:l region_id:l text:s", f"{_CLEAN}{_ISLANDS} @@ SELECT * FROM regions")
 def merge_regions(spark, sf_dir):
     """Adjacent cells merged, one line to a row of the grid."""
-    return grouping.merge_islands(grid.regions(_glyph_cells(spark, sf_dir, 14.0)))
+    return _merged(spark, sf_dir)
 
 
 _APART = f"WITH {LINES}, {segments_sql('20e0')}, {GLYPHS}, {SIZES}, {CELLS}"
@@ -163,7 +172,7 @@ _CONFIDENCE = "((region_id * 7 + doc_id) % 11) / 10e0"
 
 
 def scored_regions(spark, sf_dir):
-    return grouping.merge_islands(grid.regions(_glyph_cells(spark, sf_dir, 14.0))).withColumn("confidence", F.pmod(F.col("region_id") * 7 + F.col("doc_id"), F.lit(11)) / F.lit(10.0))
+    return _merged(spark, sf_dir).withColumn("confidence", F.pmod(F.col("region_id") * 7 + F.col("doc_id"), F.lit(11)) / F.lit(10.0))
 
 
 @register(
@@ -183,7 +192,7 @@ def region_buckets(spark, sf_dir):
 )
 def region_viewport(spark, sf_dir):
     """Regions on screen: scaled, those that meet the viewport, and whether a label fits."""
-    r = grouping.merge_islands(grid.regions(_glyph_cells(spark, sf_dir, 14.0)))
+    r = _merged(spark, sf_dir)
     s = r.select("doc_id", "page", "region_id", geometry.to_screen(F.col("x"), 8.0).alias("sx"), geometry.to_screen(F.col("y"), 16.0).alias("sy"), geometry.to_screen(F.col("width"), 8.0).alias("sw"), F.lit(16.0).alias("sh"))
     view = [F.lit(v) for v in (80.0, 32.0, 560.0, 448.0)]
     return s.where(geometry.meets(F.col("sx"), F.col("sy"), F.col("sw"), F.col("sh"), *view)).withColumn("labelled", (F.col("sw") > 20) & (F.col("sh") > 15))
@@ -207,7 +216,7 @@ def bbox_contains(spark, sf_dir):
 @register("bbox_area", "doc_id:l page:l area:l", f"{_CLEAN}{_ISLANDS} @@ SELECT doc_id, page, sum(width * 1) AS area FROM regions GROUP BY 1, 2")
 def bbox_area(spark, sf_dir):
     """Area of each page's regions, in cells."""
-    return grouping.merge_islands(grid.regions(_glyph_cells(spark, sf_dir, 14.0))).groupBy("doc_id", "page").agg(F.sum(F.col("width") * F.lit(1)).alias("area"))
+    return _merged(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum(F.col("width") * F.lit(1)).alias("area"))
 
 
 _CLICKS = """clicks AS (SELECT doc_id * 3 + k AS click_id, doc_id, (doc_id * 5 + k * 7) % 40 AS "row", (doc_id * 11 + k * 13) % 120 AS col FROM documents, (SELECT unnest(range(3)) AS k) AS q)"""
