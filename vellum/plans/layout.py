@@ -159,13 +159,13 @@ _APART = f"WITH {LINES}, {segments_sql('20e0')}, {GLYPHS}, {SIZES}, {CELLS}"
 @register("merge_regions_auto", "doc_id:l page:l y:l x:l width:l region_id:l text:s", f"{_APART}{_ISLANDS} @@ SELECT * FROM regions")
 def merge_regions_auto(spark, sf_dir):
     """Lines so far apart that no two meet in a row of cells, each row's way of merging chosen by the order in which its cells arrive."""
-    return grouping.merge_exact(grid.regions(_glyph_cells(spark, sf_dir, 20.0)))
+    return cells.exact_regions(_placed(spark, sf_dir, 20.0))
 
 
 @register("merge_regions_exact", "doc_id:l page:l y:l x:l width:l region_id:l text:s", None)
 def merge_regions_exact(spark, sf_dir):
     """Adjacent cells merged in arrival order, several lines to a row of the grid."""
-    return grouping.merge_exact(grid.regions(_glyph_cells(spark, sf_dir, 7.0)))
+    return cells.exact_regions(_placed(spark, sf_dir, 7.0))
 
 
 _CONFIDENCE = "((region_id * 7 + doc_id) % 11) / 10e0"
