@@ -100,11 +100,6 @@ def grid_size(spark, sf_dir):
     return geometry.grid_size(views.segments(by_document(spark, sf_dir)))
 
 
-def _glyph_cells(spark, sf_dir, pitch=7.0):
-    segments = views.segments(by_document(spark, sf_dir), pitch)
-    return grid.glyph_cells(segments, geometry.grid_size(segments))
-
-
 def _placed(spark, sf_dir, pitch=7.0):
     segments = views.segments(by_document(spark, sf_dir), pitch)
     return cells.placed(segments, geometry.grid_size(segments))
@@ -123,7 +118,7 @@ _ROWS = "SELECT doc_id, page, y, count(*) AS n, min(x) AS first_x, max(x) AS las
 )
 def cells_last_writer(spark, sf_dir):
     """Glyphs in cells by rounding, the last writer of a cell winning."""
-    return grid.cell_rows(grid.last_writer(_glyph_cells(spark, sf_dir)))
+    return cells.last_writer_rows(_placed(spark, sf_dir))
 
 
 @register(
