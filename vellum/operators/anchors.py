@@ -119,7 +119,7 @@ def _starts(entered: DataFrame, reach: float) -> DataFrame:
 
 
 def anchor_starts(places: DataFrame, reach: float = REACH) -> DataFrame:
-    """(key, block, before, starts) of places (key, block, places): the anchors of each block, and how many its key has before them."""
+    """(_key, _block, before, starts) of places (key, block, places): the anchors of each block, and how many its key has before them."""
     places, doubles = written(places), T.ArrayType(T.DoubleType())
     short = places.mapInArrow(lambda batches: (_summaries(b, reach) for b in batches), _schema(places, ("places", doubles), ("last", doubles), ("count", T.ArrayType(T.LongType()))))
     ordered = short.repartition("key").sortWithinPartitions("key", "block")
@@ -135,15 +135,19 @@ def anchored(rows: DataFrame, key: str, value: str, reach: float = REACH, togeth
     were unfolded from its row; then a key is one block, and no more is shuffled.
     """
     v = F.col(value).cast("double")
+    powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(F.size("starts"), F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    packed = F.struct(powers.alias("powers"), "before", "starts")
     if together:
-        starts = _starts(_places(rows, key, value).select("key", "block", F.lit(0).cast("long").alias("before"), F.lit(0).alias("entry"), "places"), reach)
-        blocked, same = rows, F.col(key).eqNullSafe(F.col("_key"))
+        one = lambda some, name: _starts(_places(some, key, value).select("key", "block", F.lit(0).cast("long").alias("before"), F.lit(0).alias("entry"), "places"), reach).select(F.col("key").alias("_key"), packed.alias(name))
+        # a join by null-safe equality would deal all rows out anew; rows without a key are one group, which is brought to them
+        named = rows.join(one(rows.where(F.col(key).isNotNull()), "_own"), F.col(key) == F.col("_key"), "left").drop("_key")
+        nameless = F.broadcast(one(rows.where(F.col(key).isNull()), "_nameless").drop("_key"))
+        found = named.join(nameless, F.col(key).isNull(), "left").withColumn("_of", F.coalesce("_own", "_nameless"))
     else:
         blocked = rows.withColumn("_in", F.coalesce(F.floor(v / (reach * BLOCK)), F.lit(0)))
         starts = anchor_starts(_places(blocked, key, value, "_in"), reach)
         same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_in") == F.col("_block"))
-    powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(F.size("starts"), F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
-    starts = starts.withColumn("_powers", powers).withColumnsRenamed({"key": "_key", "block": "_block", "before": "_before", "starts": "_starts"})
-    here = F.aggregate("_powers", F.lit(0), lambda n, p: n + F.when(F.get("_starts", n + p - 1) <= v, p).otherwise(0))
-    found = F.when(v.isNull(), -1).otherwise(F.coalesce(F.col("_before") + here, F.lit(0)) - 1)
-    return blocked.join(starts, same, "left").withColumn("line_idx", found.cast("int")).select(*rows.columns, "line_idx")
+        found = blocked.join(starts.select("_key", "_block", packed.alias("_of")), same, "left")
+    here = F.aggregate("_of.powers", F.lit(0), lambda n, p: n + F.when(F.get("_of.starts", n + p - 1) <= v, p).otherwise(0))
+    number = F.when(v.isNull(), -1).otherwise(F.coalesce(F.col("_of.before") + here, F.lit(0)) - 1)
+    return found.withColumn("line_idx", number.cast("int")).select(*rows.columns, "line_idx")
