@@ -18,12 +18,46 @@ class Axis(NamedTuple):
     cell: float
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], axes: list[Axis]) -> DataFrame:
+#: Intervals of right in one key that are tried on each row of left of it.
+FEW = 32
+
+
+def _proper(frame: DataFrame, ends: list[tuple[Column, Column]], tag: str) -> DataFrame:
+    for i, (low, high) in enumerate(ends):
+        frame = frame.withColumns({f"_{tag}{i}": low, f"_{tag}h{i}": high}).where(F.col(f"_{tag}{i}") <= F.col(f"_{tag}h{i}"))
+    return frame
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], axes: list[Axis]) -> DataFrame:
+    """overlap_join for few rows of right a key: they are gathered and brought to the rows of left, which stay where they are."""
+    more = [c for c in right.columns if c not in keys]
+    ends = [f"_{tag}{i}" for i in range(len(axes)) for tag in ("r", "rh")]
+    own = _proper(right, [a[2:4] for a in axes], "r").groupBy(*keys).agg(F.collect_list(F.struct(*more, *ends)).alias("_there"))
+
+    def meets(r):
+        out = F.lit(True)
+        for i in range(len(axes)):
+            out = out & (F.col(f"_l{i}") <= r[f"_rh{i}"]) & (r[f"_r{i}"] <= F.col(f"_lh{i}"))
+        return out
+
+    pairs = _proper(left, [a[:2] for a in axes], "l").join(own, keys).withColumn("_one", F.explode(F.filter("_there", meets)))
+    return pairs.select(*left.columns, *[F.col(f"_one.{c}").alias(c) for c in more])
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], axes: list[Axis], together: bool = False) -> DataFrame:
     """Pairs of one key whose intervals [low, high] meet on every axis: the columns of left, and those of right but the keys.
 
     A pair costs as many rows as the cells that both touch; sides that are far apart in a
     key never meet.  Intervals without ends, or that end before they begin, meet nothing.
+    together: a key's rows of left stand in one task as they are; then rows of right come to them
+    where a key has FEW at most, and only what belongs to other keys goes to cells.
     """
+    if together:
+        counts = right.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).drop("_n")
+        if not counts.limit(1).count():
+            return _beside(left, right, keys, axes)
+        few = _beside(left, right.join(counts, keys, "left_anti"), keys, axes)
+        return few.union(overlap_join(left.join(counts, keys, "left_semi"), right.join(counts, keys, "left_semi").select(*right.columns), keys, axes))
     sides = []
     for frame, ends, tag in ((left, [a[:2] for a in axes], "l"), (right, [a[2:4] for a in axes], "r")):
         for i, (axis, (low, high)) in enumerate(zip(axes, ends)):

@@ -107,7 +107,7 @@ def meets(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
 TILE = 256.0
 
 
-def in_views(boxes: DataFrame, views: DataFrame) -> DataFrame:
-    """Boxes (doc_id, x, y, w, h, ...) with each viewport (view_id, doc_id, vx, vy, vw, vh) of their document that they meet; of both there may be very many."""
+def in_views(boxes: DataFrame, views: DataFrame, together: bool = False) -> DataFrame:
+    """Boxes (doc_id, x, y, w, h, ...) with each viewport (view_id, doc_id, vx, vy, vw, vh) of their document that they meet; of both there may be very many.  together: as for overlap_join."""
     ends = lambda at, size: (F.col(at), F.col(at) + F.col(size))
-    return overlap_join(boxes, views, ["doc_id"], [Axis(*ends("x", "w"), *ends("vx", "vw"), TILE), Axis(*ends("y", "h"), *ends("vy", "vh"), TILE)])
+    return overlap_join(boxes, views, ["doc_id"], [Axis(*ends("x", "w"), *ends("vx", "vw"), TILE), Axis(*ends("y", "h"), *ends("vy", "vh"), TILE)], together)

@@ -93,10 +93,10 @@ def nearest_line(lines: DataFrame, clicks: DataFrame) -> DataFrame:
 CELL = 4096
 
 
-def overlapping(spans: DataFrame, selections: DataFrame) -> DataFrame:
-    """Spans that a selection [sel_start, sel_end) of their document touches, once for each of its selections."""
+def overlapping(spans: DataFrame, selections: DataFrame, together: bool = False) -> DataFrame:
+    """Spans that a selection [sel_start, sel_end) of their document touches, once for each of its selections.  together: as for overlap_join."""
     closed = lambda low, high: (F.col(low), F.greatest(F.col(high) - 1, F.col(low)))
-    pairs = overlap_join(spans, selections, ["doc_id"], [Axis(*closed("start_char", "end_char"), *closed("sel_start", "sel_end"), CELL)])
+    pairs = overlap_join(spans, selections, ["doc_id"], [Axis(*closed("start_char", "end_char"), *closed("sel_start", "sel_end"), CELL)], together)
     return pairs.where((F.col("sel_start") < F.col("end_char")) & (F.col("sel_end") > F.col("start_char")))
 
 

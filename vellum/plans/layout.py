@@ -231,7 +231,7 @@ def nearest_line(spark, sf_dir):
     k, d = F.col("k"), F.col("doc_id")
     clicks = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
     clicks = clicks.select((d * 3 + k).alias("click_id"), "doc_id", ((d * 5 + k * 7) % 40).alias("row"), ((d * 11 + k * 13) % 120).alias("col"))
-    return grouping.nearest_line(grouping.reading_lines(views.elements(docs)), clicks)
+    return grouping.nearest_line(grouping.reading_lines(views.elements(docs), together=True), clicks)
 
 
 @register(
@@ -242,7 +242,7 @@ def selection_overlap(spark, sf_dir):
     """Words that a character range of their document touches."""
     docs = by_document(spark, sf_dir)
     start = (F.col("doc_id") * 17) % 300
-    return grouping.overlapping(grouping.spatial_map(views.elements(docs)), docs.select("doc_id", start.alias("sel_start"), (start + 40).alias("sel_end")))
+    return grouping.overlapping(grouping.spatial_map(views.elements(docs), together=True), docs.select("doc_id", start.alias("sel_start"), (start + 40).alias("sel_end")), together=True)
 
 
 _THREE = "(SELECT unnest(range(3)) AS k) AS q"
@@ -263,7 +263,7 @@ def selections_overlap(spark, sf_dir):
     docs, d, k = by_document(spark, sf_dir), F.col("doc_id"), F.col("k")
     start = (d * 17 + k * 1009) % 6000
     marks = _three(docs).select((d * 3 + k).alias("sel_id"), "doc_id", start.alias("sel_start"), (start + d % 40 * (k + 1)).alias("sel_end"))
-    return grouping.overlapping(grouping.spatial_map(views.elements(docs), together=True), marks)
+    return grouping.overlapping(grouping.spatial_map(views.elements(docs), together=True), marks, together=True)
 
 
 @register(
@@ -276,7 +276,7 @@ def word_viewports(spark, sf_dir):
     docs, d, k = by_document(spark, sf_dir), F.col("doc_id"), F.col("k")
     screens = _three(docs).select((d * 3 + k).alias("view_id"), "doc_id", (k * F.lit(200.0)).alias("vx"), (k * F.lit(60.0) + d % 50).alias("vy"), (F.lit(90.0) + d % 300).alias("vw"), F.lit(240.0).alias("vh"))
     boxes = views.elements(docs).select("doc_id", "ord", F.col("hpos").alias("x"), F.col("vpos").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
-    return geometry.in_views(boxes, screens)
+    return geometry.in_views(boxes, screens, together=True)
 
 
 @register(
