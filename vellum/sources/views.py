@@ -14,22 +14,37 @@ from .folders import ship
 
 PAGE_LINES, PAGE_HEIGHT = 60, 792.0
 
+#: Tasks that ``dealt`` makes at most.
+MOST_PARTS = 16384
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files that one task of ``dealt`` gets: what they unfold to, some 50 times as much, is sorted in memory.
+DEALT = 2 << 20
+
+
+def _size(docs: DataFrame) -> int:
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def dealt(docs: DataFrame) -> DataFrame:
-    """docs dealt out by id while they are narrow; what follows by document, or by parts of it, shuffles nothing that they unfold to."""
-    return docs.repartition("doc_id")
+    """docs dealt out by id while they are narrow; what follows by document, or by parts of it, shuffles nothing that they unfold to.
+
+    A larger table goes to more tasks: Spark would make them of the size of what is shuffled, which is not what it unfolds to.
+    """
+    parts = min(-(-_size(docs) // DEALT), MOST_PARTS)
+    few = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(parts, "doc_id") if parts > few else docs.repartition("doc_id")
 
 
 def spread(docs: DataFrame) -> DataFrame:
     """For plans that stay within rows: docs as they are read, or dealt out if the table is too small for its scan to use all cores."""
     spark = docs.sparkSession
     per_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return dealt(docs) if size < per_task * spark.sparkContext.defaultParallelism else docs
+    return dealt(docs) if _size(docs) < per_task * spark.sparkContext.defaultParallelism else docs
 
 
 def lines(docs: DataFrame) -> DataFrame:
