@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from ..sources.folders import written
 
 PART, FAN = 4096, 16
+#: Edits of the parts that a worker holds in numpy at once; a part is never cut.
+AT_ONCE = 1 << 16
 _NEVER = 1 << 62
 _SCRIPT = "src array<bigint>, size array<bigint>, pool string"
 
@@ -48,6 +50,14 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(_offsets(counts)[:-1], counts)
 
 
+def _slices(batches, column: int):
+    """Batches cut into runs of rows whose lists in ``column`` have about AT_ONCE items."""
+    for batch in batches:
+        part = np.cumsum(batch.column(column).value_lengths().to_numpy()) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
 class Scripts:
     """Scripts one after the other, as runs: ``of`` their script, ``src`` where they start in the text before it, or -1 - p for position p of the pool, and their size."""
 
@@ -160,7 +170,7 @@ def _lengths(parts: DataFrame) -> DataFrame:
 
     def run(batches):
         last, number, length = object(), 0, 0
-        for batch in batches:
+        for batch in _slices(batches, 3):
             numbers, lengths = [], []
             need, change = (batch.column(i).flatten().to_numpy() for i in (3, 4))
             cuts = _offsets(batch.column(3).value_lengths().to_numpy())
@@ -180,7 +190,7 @@ def _part_scripts(parts: DataFrame) -> DataFrame:
     """(doc_id, number, src, size, pool) of parts with their number and the length of the text before them; all parts of a batch are composed at once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, 3):
             op, start, end, piece, need, change = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3, 9))
             cuts, lengths = _offsets(batch.column(3).value_lengths().to_numpy()), batch.column(2).to_numpy()
             done = np.concatenate([_takes_place(int(n), need[a:b], change[a:b])[0] for n, a, b in zip(lengths, cuts, cuts[1:])] or [np.zeros(0, bool)])
