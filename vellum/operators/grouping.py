@@ -19,7 +19,8 @@ from ..sources.folders import written
 from .anchors import anchored
 from .bins import Axis, overlap_join
 from .running import neighbours, running_sum
-from .sweeps import GAP, greedy
+from .sweeps import GAP
+from .sweeps import greedy as _greedy
 
 
 #: Lines of one part of a running sum.
@@ -141,7 +142,7 @@ def _sweeps(rows: DataFrame) -> DataFrame:
             out = [
                 (doc, page, y, *region)
                 for doc, page, y, number, x, ch in zip(frame["doc_id"], frame["page"], frame["y"], frame["number"], frame["x"], frame["ch"])
-                for region in greedy(number, x, ch)
+                for region in _greedy(number, x, ch)
             ]
             yield pd.DataFrame(out, columns=["doc_id", "page", "y", "x", "width", "region_id", "text"])
 
