@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -139,3 +140,25 @@ def test_long_text_and_one_id(spark):
     docs = documents(spark, [(7, " ".join(long)), (3, " ".join(other)), (5, "a b c d e f g"), (5, "p q r s t u v"), (9, "p q r s t u v"), (None, None)])
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in near_dups.near_duplicate_groups(docs).collect() if r.doc_id)
     assert [(i, c) for i, _, c in got] == [(3, 3), (5, 5), (5, 5), (7, 3), (9, 5)]
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_one_link_into_a_large_component(spark, monkeypatch, block):
+    """Texts that are linked with a single one of 1,140 near copies, and resemble all of them: none is lost; others are not close enough."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(160)]
+    rows, want = [], []
+
+    def add(edits, alone):
+        rows.append(" ".join(edits.get(i, w) for i, w in enumerate(base)))
+        want.append(len(rows) - 1 if alone else 0)
+
+    near = [{8 * v + 2: f"v{v}" for v in c} for c in itertools.combinations(range(20), 3)]
+    for edits in near:
+        add(edits, False)
+    for k in range(160):  # four more words changed, or six
+        own = rng.sample(range(20), 4 if k % 2 else 6)
+        add(rng.choice(near) | {8 * x + 6: f"k{k}w{x}" for x in own}, k % 2 == 0)
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicate_groups(documents(spark, rows), shingle=4).collect()}
+    assert [i for i in got if got[i] != want[i]] == []
