@@ -144,7 +144,7 @@ def test_long_text_and_one_id(spark):
 
 @pytest.mark.parametrize("block", [1024, 40])
 def test_one_link_into_a_large_component(spark, monkeypatch, block):
-    """Texts that are linked with a single one of 1,140 near copies, and resemble all of them: none is lost; others are not close enough."""
+    """Texts that are linked with a single one of 1,001 near copies, and resemble all of them: none is lost; others are not close enough."""
     monkeypatch.setattr(near_dups, "BLOCK", block)
     rng = random.Random(7)
     base = [f"b{i}" for i in range(160)]
@@ -154,7 +154,7 @@ def test_one_link_into_a_large_component(spark, monkeypatch, block):
         rows.append(" ".join(edits.get(i, w) for i, w in enumerate(base)))
         want.append(len(rows) - 1 if alone else 0)
 
-    near = [{8 * v + 2: f"v{v}" for v in c} for c in itertools.combinations(range(20), 3)]
+    near = [{8 * v + 2: f"v{v}" for v in c} for c in itertools.combinations(range(14), 4)]
     for edits in near:
         add(edits, False)
     for k in range(160):  # four more words changed, or six
