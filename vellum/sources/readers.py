@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: What a reader of events meets: comments, character data and instructions, which are passed over whole, and the two tags that count, quoted values whole.
-_EVENT = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|</Page\s*+>|<(?:Page|String)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 _ATTRIBUTE = r"""(?s)([^\s=/<>"']++)\s*+=\s*+("[^"]*+"|'[^']*+')"""
+_FIELDS = ("CONTENT", "HPOS", "VPOS", "WIDTH", "HEIGHT")
+
+
+def _field(name: str) -> str:
+    """An attribute in quotes of either kind, where it comes first; of a number that no reader of numbers takes, nothing is kept."""
+    kept = lambda q: f"[^{q}]*+" if name == "CONTENT" else f"[0-9.eE+-]*+(?={q})|[+-]?(?i:inf|infinity|nan)(?={q})|"
+    value = lambda group, q: f"{q}(?<{group}{name}>{kept(q)})[^{q}]*+{q}"
+    return rf"{name}(?<m{name}>(?!\k<m{name}>))\s*+=\s*+(?:{value('d', '"')}|{value('s', "'")})"
+
+
+#: One event of a reader, with all that it passes over before: comments, character data, instructions and other tags, whole. It matches wherever it begins, to the end of a text.
+#: Groups that a possessive loop set stay so when what follows fails: they count beside ``tag`` only. A tag with quoted text that isn't an attribute's is ``odd`` and kept as it is.
+_EVENT = (
+    r"(?s)(?:[^<]++|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?!/?+Page|String))*+"
+    r"(?:<(?<tag>S)tring(?=[\s/>])(?:" + "|".join(map(_field, _FIELDS)) + r"""|[^\s=/<>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'))?+|[\s=/<]++)*+>"""
+    r"""|<(?<odd>String(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+    r"""|<(?<end>/)Page\s*+>|<(?<page>P)age(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<|\z)"""
+)
+#: XML has no characters of these numbers: one begins an event, one each of its fields.
+_SHOWN = "\x02<end><page><tag><odd>" + "".join(f"\x01<d{n}><s{n}>" for n in _FIELDS)
+for _number, _group in enumerate(re.findall(r"\(\?<(\w+)>", _EVENT), 1):  # by number, as names are looked up at each match
+    _SHOWN = _SHOWN.replace(f"<{_group}>", f"${_number}")
 
 
 def alto_strings(xml: Column) -> Column:
-    """The String tags of a document that stand inside a page, in order.
+    """The String tags of a document that stand inside a page, in order, as their fields.
 
     As a reader of events sees them: a page is entered by its tag, nested or empty as it may be,
     and left at the next end tag, or never; what stands in comments or character data is no tag.
     """
-    # XML has no characters of these numbers: one ends what one page's end closes, one ends a tag
-    shown = lambda t: F.when(t.startswith("<!") | t.startswith("<?"), "").when(t.startswith("</"), "\x01").otherwise(F.concat(t, F.lit("\x02")))
-    ended = F.array_join(F.transform(F.regexp_extract_all(xml, F.lit(_EVENT), F.lit(0)), shown), "")
-    entered = F.transform(F.split(ended, "\x01", -1), lambda part: F.regexp_extract(part, "(?s)(?:^|\x02)(<Page.*)", 1))
-    return F.filter(F.split(F.array_join(entered, ""), "\x02", -1), lambda t: t.startswith("<String"))
+    events = F.regexp_replace(xml, F.lit(_EVENT), F.lit(_SHOWN))
+    entered = F.transform(F.split(events, "\x02/", -1), lambda part: F.when(part.contains("\x02P"), F.substring(part, F.instr(part, "\x02P"), F.length(part))).otherwise(""))
+    tags = F.filter(F.split(F.array_join(entered, ""), "\x02", -1), lambda t: t.startswith("S"))
+    named = lambda t: F.concat(F.lit("<String "), F.array_join(F.regexp_extract_all(F.substring_index(t, "\x01", 1), F.lit(_ATTRIBUTE), F.lit(0)), " "), F.lit(">"))
+    return F.transform(tags, lambda t: F.when(t.startswith("String"), F.ltrim(F.regexp_replace(named(t), F.lit(_EVENT), F.lit(_SHOWN)), F.lit("\x02"))).otherwise(t))
 
 
 def alto_elements(docs: DataFrame, xml: str = "xml") -> DataFrame:
@@ -31,17 +53,9 @@ def alto_elements(docs: DataFrame, xml: str = "xml") -> DataFrame:
     can't be read are 0; elements without content go, others keep their number.
     """
     tags = docs.select("doc_id", F.posexplode(alto_strings(F.col(xml))).alias("ord", "tag"))
-    split = tags.select("doc_id", "ord", F.regexp_extract_all("tag", F.lit(_ATTRIBUTE), F.lit(0)).alias("attributes"))
-    named = split.withColumn("names", F.transform("attributes", lambda a: F.rtrim(F.substring_index(a, "=", 1), F.lit(" \t\r\n"))))
-    own = lambda name: F.get("attributes", (F.array_position("names", name) - 1).cast("int")).alias(name.lower())
-    value = lambda a: F.substring(a, F.instr(F.translate(a, "'", '"'), '"') + 1, F.length(a))
-    # a filter over columns would be pushed below and read all attributes once more; one within an array isn't
-    some = F.filter(F.array(F.struct(*[own(n) for n in ("CONTENT", "HPOS", "VPOS", "WIDTH", "HEIGHT")])), lambda q: F.length(value(q["content"])) > 1)
-    each = named.select("doc_id", "ord", F.explode(some).alias("q")).select("doc_id", "ord", *[value(F.col(f"q.{n}")).alias(n) for n in ("content", "hpos", "vpos", "width", "height")])
-    bare = each.select("doc_id", "ord", *[F.left(n, F.length(n) - 1).alias(n) for n in ("content", "hpos", "vpos", "width", "height")])
-    plain = lambda n: ~F.col(n).rlike("[^0-9.eE+-]") | F.col(n).rlike("^[+-]?(?i:inf|infinity|nan)$")
-    number = lambda n: F.coalesce(F.when(plain(n), F.col(n).try_cast("double")), F.lit(0.0)).alias(n)
-    return bare.select("doc_id", "ord", "content", *[number(n) for n in ("hpos", "vpos", "width", "height")])
+    fields = tags.where(~F.col("tag").startswith("S\x01\x01")).select("doc_id", "ord", F.split("tag", "\x01", -1).alias("f"))
+    number = lambda i: F.coalesce(F.col("f")[i].try_cast("double"), F.lit(0.0)).alias(_FIELDS[i - 1].lower())
+    return fields.select("doc_id", "ord", F.col("f")[1].alias("content"), *[number(i) for i in range(2, 6)])
 
 
 def structured_text_cells(docs: DataFrame, text: str = "text", width: int = 200, height: int = 100) -> DataFrame:
